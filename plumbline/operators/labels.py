@@ -171,8 +171,8 @@ def image_counts(images: DataFrame) -> DataFrame:
     """How many images, mains, and mains lost for want of a file."""
     return images.agg(
         F.count("*").alias("n_images"),
-        F.count_if("is_main and approved").alias("n_main"),
-        F.count_if("is_main and approved and not image_exists").alias("n_main_missing"),
+        F.count_if(F.expr("is_main and approved")).alias("n_main"),
+        F.count_if(F.expr("is_main and approved and not image_exists")).alias("n_main_missing"),
     )
 
 
