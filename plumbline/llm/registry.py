@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, mixing, pii, secrets, simhash, toxicity
+from plumbline.llm import decontaminate, langid, media, mixing, ngram, pii, secrets, simhash, suffixdup, toxicity
 from plumbline.llm import oracles
 from plumbline.llm.common import Scratch, read, remainder
 
@@ -42,6 +42,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder("doc_id", 5) == 1
+    model = ngram.learn(docs.filter(~held), Scratch(spark, "ngram"))
+    got = ngram.score(docs, model)
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
@@ -53,6 +61,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.filter(remainder("doc_id", 3) != 1), Scratch(spark, "langid"))
@@ -60,5 +72,11 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_simhash, op5_toxicity, op7_secrets, op9_langid)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as images: the tables have no media column, so each page's visible text is rendered whole."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
+    return media.copies(pages, media.render).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_simhash, op5_toxicity, op6_ngram, op7_secrets, op8_suffix, op9_langid, op10_media)}
 ORACLES = {"op1_decontaminate": oracles.OP1, "op3_mixing": oracles.OP3, "op7_secrets": oracles.OP7}

@@ -89,8 +89,11 @@ def features(text: str | None, automaton) -> tuple[float, float, float]:
 
 
 def _log_odds(a: str, b: str, na: float, nb: float):
+    """(smoothed log-odds, signed root of the likelihood ratio) of counts a of na against b of nb."""
     w = F.log((F.col(a) + 0.5) / (na + 1)) - F.log((F.col(b) + 0.5) / (nb + 1))
-    return w, w / F.sqrt(1 / (F.col(a) + 0.5) + 1 / (F.col(b) + 0.5))
+    both = F.col(a) + F.col(b)
+    part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (na + nb) / (both * n))).otherwise(0.0)
+    return w, F.signum(w) * F.sqrt(F.greatest(2 * (part(a, na) + part(b, nb)), F.lit(0.0)))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
