@@ -75,7 +75,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as images: the tables have no media column, so each page's visible text is rendered whole."""
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
-    return media.copies(pages, media.render).withColumnRenamed("id", "page_id")
+    return media.copies(pages, media.render, tables=2).withColumnRenamed("id", "page_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_simhash, op5_toxicity, op6_ngram, op7_secrets, op8_suffix, op9_langid, op10_media)}

@@ -125,8 +125,8 @@ def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     versions = docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
     scratch = Scratch(docs.sparkSession, "redact")
     found, _ = scan(versions, ledger, scratch=scratch)
-    hits = scratch.keep(found.filter(F.size("spans") > 0).select(F.col("path").alias("_path"), "spans").dropDuplicates(["_path"]), "hits")
+    hits = scratch.keep(found.filter(F.size("spans") > 0).select(F.col("path").alias("_path"), F.col("spans").alias("_spans")).dropDuplicates(["_path"]), "hits")
     few = hits.count() <= BROADCAST_IDS
     joined = docs.join(F.broadcast(hits) if few else hits, F.col("doc_id") == F.col("_path"), "left")
-    text = F.when(F.col("_path").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("spans")))
+    text = F.when(F.col("_path").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
     return joined.withColumn("text", text).select(*docs.columns)
