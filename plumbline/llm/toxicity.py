@@ -36,16 +36,38 @@ HOMOGLYPHS = {
     "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ո": "n", "ս": "u", "օ": "o",
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i"}
-_TABLE = str.maketrans(HOMOGLYPHS | dict.fromkeys(map(chr, (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)), None))
-_SIGN = re.compile(r"(?<![0-9$@!|])[013457@$!|8]{1,2}(?=[a-z])")
+_DROPPED = "".join(map(chr, (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)))
+_TABLE = str.maketrans(HOMOGLYPHS | dict.fromkeys(_DROPPED))
+_MAPPED = re.compile("[" + "".join(HOMOGLYPHS) + _DROPPED + "]")
+_SIGN = re.compile(r"[013457@$!|8]{1,2}(?=[a-z])")
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     t = (text or "").lower()
     if not t.isascii():
-        t = unicodedata.normalize("NFKC", t).translate(_TABLE)
-    return _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
+        if not unicodedata.is_normalized("NFKC", t):
+            t = unicodedata.normalize("NFKC", t)
+        if _MAPPED.search(t):
+            t = t.translate(_TABLE)
+
+    def letters(m: re.Match) -> str:
+        if m.start() and t[m.start() - 1] in "0123456789$@!|":
+            return m[0]
+        return "".join(SIGNS[c] for c in m[0])
+
+    return _SIGN.sub(letters, t)
+
+
+def tokens(text: str | None) -> list[str]:
+    """Letter runs of the folded text."""
+    out = []
+    for w in fold(text).split():
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += _TOKEN.findall(w)
+    return out
 
 
 @dataclasses.dataclass
@@ -108,7 +130,7 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for b in batches:
         for t, y in zip(rows_of(b, "text"), rows_of(b, "y")):
-            words = _TOKEN.findall(fold(t))
+            words = tokens(t)
             count.update((w, y) for w in set(words))
             count["", y] += len(words)
             if len(count) > 400_000:
@@ -132,7 +154,7 @@ def learn(train: DataFrame, scratch: Scratch, max_candidates: int = 100_000, fit
         for b in batches:
             out = set()
             for t, y in zip(rows_of(b, "text"), rows_of(b, "y")):
-                ws = ["", *_TOKEN.findall(fold(t)), ""]
+                ws = ["", *tokens(t), ""]
                 out.update((x, ws[i - 1], ws[i + 1], y) for i, x in enumerate(ws) if x in wanted)
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:3]], pa.array(cols[3], pa.int64())], names=["token", "before", "after", "y"])
