@@ -355,7 +355,7 @@ def test_difference_covers(v):
 
 def test_language_by_centroid(spark, empty):
     a, b = "abcde", "vwxyz"
-    make = lambda al, s: "".join(random.Random(s).choice(al + " ") for _ in range(200))
+    make = lambda al, s: "".join(random.Random(s).choices(al + " ", k=200))
     rows = [(i, make(a if i % 2 else b, i), "aa" if i % 2 else "bb") for i in range(100)] + [(200, None, "aa"), (201, "", "bb"), (202, "12 !", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn(df, Scratch(spark, "t"))
