@@ -361,7 +361,7 @@ def test_language_by_centroid(spark, empty):
     model = langid.learn(df, Scratch(spark, "t"))
     got = {r.doc_id: r for r in langid.predict(df, model).collect()}
     assert all(got[i].lang_pred == ("aa" if i % 2 else "bb") for i in range(100)) and all(got[i].lang_pred == "und" for i in (200, 201, 202))
-    assert all(0 <= r.score <= 1 for r in got.values()) and not any(got[i].rejected for i in range(0, 100, 7))
+    assert all(0 <= r.score <= 1 for r in got.values()) and sum(got[i].rejected for i in range(100)) <= len(model.owner)  # a cluster's farthest own row lies below its quantile
     assert {r.lang_pred for r in langid.predict(df, langid.learn(df.limit(0), Scratch(spark, "t"))).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0
 
