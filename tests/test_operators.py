@@ -125,6 +125,6 @@ def test_query_agrees_with_sql(spark, small, name):
     a, b = QUERIES[name](spark, small).toPandas(), con.sql(ORACLES[name]).df()
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
-    text = lambda v: "" if pd.isna(v) else f"{v:.5f}" if isinstance(v, float) else str(v)
+    text = lambda v: "" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
     rows = lambda d: sorted(tuple(text(v) for v in r) for r in d[cols].astype(object).itertuples(index=False))
     assert rows(a) == rows(b)
