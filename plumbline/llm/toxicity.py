@@ -147,7 +147,8 @@ def learn(train: DataFrame, scratch: Scratch, max_candidates: int = 100_000, fit
     counts = scratch.keep(train.select("text", "y").mapInArrow(_token_counts, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "tokens")
     words = counts.filter("token = ''").first()
     w, z = _log_odds("pos", "neg", n[1], n[0])
-    cand = counts.filter("token <> '' and pos >= 3").select("token", z.alias("z")).filter("z >= 2.5").orderBy(F.desc("z"), "token").limit(max_candidates)
+    # by size of effect too: significance alone admits ever more common words as the corpus grows
+    cand = counts.filter("token <> '' and pos >= 3").select("token", w.alias("w"), z.alias("z")).filter("z >= 2.5 and w >= 0.5").orderBy(F.desc("z"), "token").limit(max_candidates)
     wanted = {r.token for r in cand.collect()}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +160,16 @@ def learn(train: DataFrame, scratch: Scratch, max_candidates: int = 100_000, fit
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:3]], pa.array(cols[3], pa.int64())], names=["token", "before", "after", "y"])
 
+    scratch.drop("tokens")
     seen = scratch.keep(train.select("text", "y").mapInArrow(contexts, "token string, before string, after string, y long").distinct(), "contexts")
     by = [F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")]
     w, z = _log_odds("pos", "neg", words["pos"], words["neg"])
-    kept = seen.groupBy("token").agg(*by).filter("pos >= 3").select("token", w.alias("w"), z.alias("z")).filter("z >= 4 and w >= 0.7")
+    kept = scratch.keep(seen.groupBy("token").agg(*by).filter("pos >= 3").select("token", w.alias("w"), z.alias("z")).filter("z >= 4 and w >= 0.7"), "terms")
     terms = {r.token: r.w for r in kept.collect()}  # at most max_candidates
     sides = seen.select("token", "y", F.explode(F.array(F.concat_ws(" ", "before", "token"), F.concat_ws(" ", "token", "after"))).alias("phrase"), "before", "after")
-    clean = sides.filter(F.col("token").isin(list(terms)[:5000])).groupBy("token", "phrase").agg(*by).select("token", "phrase", w.alias("w"), "neg").filter("neg >= 5 and w < 0 and trim(phrase) like '% %'")
-    exceptions = {r.phrase: terms[r.token] for r in clean.limit(max_candidates).collect()}
+    clean = sides.join(F.broadcast(kept.select("token")), "token", "left_semi").groupBy("token", "phrase").agg(*by).select("token", "phrase", w.alias("w"), "neg").filter("neg >= 5 and w < 0 and trim(phrase) like '% %'")
+    exceptions = {r.phrase: terms[r.token] for r in clean.orderBy(F.desc("neg"), "phrase").limit(max_candidates).collect()}
+    scratch.drop("contexts")
     lex = Lexicon(terms, exceptions, [0.0] * 3, [1.0] * 3, [0.0] * 3, 0.0)
     x = _featured(train, lex, keep="y").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows).collect()
     f, y = np.array([r.f for r in x]), np.array([r.y for r in x], float)
