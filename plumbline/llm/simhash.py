@@ -343,10 +343,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     j = close.join(some.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     links = scratch.keep(j.filter(both >= similarity * (F.size("ha") + F.size("hb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    for spent in ("reps", "segs", "least", "mates", "pairs", "close", "sets"):
+        scratch.drop(spent)
     comp = connected_components(links, scratch)
     degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = scratch.keep(classes.select("words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    scratch.drop("copies")
     return prints.select("doc_id", "words").join(named, "words").select("doc_id", "class_id", "n_links")
 
 
