@@ -314,17 +314,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     copies = scratch.keep(prints.groupBy("words").agg(F.min("doc_id").alias("rep")), "copies")
     reps = scratch.keep(prints.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "fp", "n", "segments"), "reps")
 
-    seg = scratch.keep(reps.select("doc_id", "n", F.explode("segments").alias("s")), "segs")
+    band = F.floor(F.log(F.col("n") + 1) / F.log(F.lit(1.25)))
+    seg = reps.select("doc_id", band.alias("band"), F.explode("segments").alias("s"))
     # candidates: the least document of each segment, and the next smaller one by range of sizes
     least = scratch.keep(seg.groupBy("s").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("s", "first"), "least")
-    shared = seg.join(least, "s")
+    shared = scratch.keep(seg.join(least, "s").select("s", "doc_id", "first", "band"), "shared")
+    scratch.drop("least")
     star = shared.filter("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    band = F.floor(F.log(F.col("n") + 1) / F.log(F.lit(1.25)))
-    by_size = shared.select("s", "doc_id", F.explode(F.array(band, band + 1)).alias("band"))
+    by_size = shared.select("s", "doc_id", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     mates = scratch.keep(by_size.groupBy("s", "band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi"), "mates")
-    near = by_size.join(mates, ["s", "band"])
-    more = near.select(F.col("lo").alias("a"), F.col("doc_id").alias("b")).unionByName(near.select(F.col("doc_id").alias("a"), F.col("hi").alias("b"))).filter("a <> b")
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    more = by_size.join(mates, ["s", "band"]).select(F.inline(F.array(pair("lo", "doc_id"), pair("doc_id", "hi")))).filter("a <> b")
     pairs = scratch.keep(star.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    scratch.drop("shared")
+    scratch.drop("mates")
 
     slim = reps.select("doc_id", "fp", "n")
     side = lambda c: slim.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}"))
@@ -343,7 +346,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     j = close.join(some.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
     both = F.size(F.array_intersect("ha", "hb"))
     links = scratch.keep(j.filter(both >= similarity * (F.size("ha") + F.size("hb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    for spent in ("reps", "segs", "least", "mates", "pairs", "close", "sets"):
+    for spent in ("reps", "pairs", "close", "sets"):
         scratch.drop(spent)
     comp = connected_components(links, scratch)
     degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
