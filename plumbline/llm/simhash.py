@@ -357,6 +357,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each near-duplicate class stays: the least doc_id. Columns are those of ``docs``."""
-    kept = near_duplicates(docs, **how).filter("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each near-duplicate class stays: the least doc_id. Columns are those of ``docs``.
+
+    The ids are broadcast while their counted number is bounded, so that texts stay where they are; beyond it the join shuffles.
+    """
+    kept = Scratch(docs.sparkSession, "kept").keep(near_duplicates(docs, **how).filter("doc_id = class_id").select("doc_id"), "ids")
+    return only(docs, kept, "doc_id", kept.count())
