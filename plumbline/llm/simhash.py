@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, docs_view, only, rows_of
@@ -260,38 +260,110 @@ def components(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
 
 
 # Below: near-duplicates by similarity, for deduplication. A fingerprint of 64 bits tells 0.8 from 0.5
-# only at ten and more differing bits, where no partition of 64 bits is selective. So candidates come from
-# fingerprints of segments, which copies share exactly, and are verified by document and by shingles.
+# only at ten and more differing bits, where no partition of 64 bits is selective. So the shingle sets
+# themselves are cut into parts, of which similar sets share one, and pairs are verified by shingles.
 
-SEGMENT = 12
+SKETCH = 512
 
 
-def segment_prints(text: str | None, size: int = SEGMENT, short: int = 125) -> np.ndarray:
-    """Distinct SimHashes of content-defined runs of words, about ``size`` long: a run ends at a word whose hash says so.
+def size_edges(similarity: float, top: int) -> list[int]:
+    """Least sizes of the bands: a set's similar ones lie in its band and the two beside it."""
+    edges = [1]
+    while edges[-1] <= top:
+        edges.append(int(edges[-1] / similarity + 1e-9) + 1)
+    return edges
 
-    Texts of fewer than ``short`` words also give runs of a third of that, since one run may be all they have.
+
+def part_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set of distinct hashes, one of which any set at least so similar has too.
+
+    Sets of sizes a and b differ in at most d = (1 - s) / (1 + s) * (a + b) elements, so of more than d parts
+    that hold an element one is equal in both. The number of parts goes by the band of the larger set, hence
+    keys for a set's own band and the next. Only a set with too few parts in use gives its empty parts too;
+    two such sets share one of all their parts.
     """
-    data, start, end = word_spans(text)
-    if not start:
-        return np.zeros(1, np.int64)
-    h = np.array([xxhash.xxh64_intdigest(data[a:b], 7) for a, b in zip(start, end)], np.uint64)
-    sign = 2 * np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) - 1
-    out = []
-    for width in (size, size // 3) if len(h) < short else (size,):
-        edges = np.unique(np.concatenate([[0], np.flatnonzero(h % np.uint64(width) == 0) + 1, [len(h)]]))
-        place = np.arange(len(h)) - np.repeat(edges[:-1], np.diff(edges))
-        total = np.add.reduceat(sign * (1 + place % 7)[:, None], edges[:-1], axis=0)  # weighted by place, so that order counts
-        out.append(np.packbits(total > 0, axis=1).view(">i8").astype(np.int64).ravel())
-    return np.unique(np.concatenate(out))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 16) -> DataFrame:
-    """(doc_id, class_id, n_links): classes linked by Jaccard similarity of word shingles of at least ``similarity``.
-
-    Texts with the same words collapse first, so groups of copies cost one row. Then segment fingerprints
-    propose pairs: each document with the least of those that share the segment, and with its neighbour by
-    size, which is linear in the rows of any group, however large. Pairs survive within ``tau`` bits of the
-    whole fingerprint and by the exact similarity. Null and empty texts form one class.
+    n, out = len(h), []
+    if not n:
+        return np.empty(0, np.int64)
+    edges = size_edges(similarity, int(n / similarity + 1) + 1)
+    own = int(np.searchsorted(edges, n, "right")) - 1
+    far = (1 - similarity) / (1 + similarity)
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    for band in (own, own + 1):
+        top = int(edges[band] / similarity + 1e-9)  # greatest size of the band
+        d = int(far * 2 * top + 1e-9)
+        k = d + 1 + d // 4
+        part = (mixed % np.uint64(k)).astype(np.int64)
+        used = np.bincount(part, minlength=k) > 0
+        total = np.zeros(k, np.uint64)
+        np.add.at(total, part, h * np.uint64(0x94D049BB133111EB))
+        if used.sum() > int(far * (n + min(int(n / similarity + 1e-9), top)) + 1e-9):
+            at = np.flatnonzero(used)
+        else:
+            at = np.arange(k)
+        x = total[at] ^ ((at.astype(np.uint64) + np.uint64(band << 32 | 1)) * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(x ^ (x >> np.uint64(32)))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements by hash: two sets' sketches differ in no more bits than the sets in elements."""
+    bits = (np.bincount((h >> np.uint64(7)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
+def _bucket_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of rows in a chunk of a bucket that lie in other classes and may be similar by size and sketch.
+
+    ``rows(key, chunk, home, guest, doc_id, root, n, sk)``: guests meet all rows at home in the chunk.
+    """
+    far = (1 - similarity) / (1 + similarity)
+
+    def pairs(home, guest, ids, root, n, sk):
+        us, vs = [], []
+        at = np.flatnonzero(home)
+        for g in np.flatnonzero(guest):
+            i = at[(root[at] != root[g]) & (np.minimum(n[at], n[g]) >= similarity * np.maximum(n[at], n[g]) - 1e-6)]
+            i = i[np.bitwise_count((sk[i] ^ sk[g]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= far * (n[i] + n[g]) + 1e-6]
+            us.append(np.minimum(ids[i], ids[g]))
+            vs.append(np.maximum(ids[i], ids[g]))
+        return us, vs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [b.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH // 64)]
+                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            if held is None or not len(held[0]):
+                continue
+            head = np.flatnonzero(np.append(True, (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])))
+            ends = np.append(head[1:], len(held[0]))
+            us, vs = [], []
+            for s, e in zip(head, ends) if b is None else zip(head[:-1], ends[:-1]):  # the last may go on in the next batch
+                u, v = pairs(*[x[s:e] for x in held[2:]])
+                us += u
+                vs += v
+            held = [x[head[-1] :] for x in held]
+            if us:
+                both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+                for i in range(0, len(both), 100_000):
+                    part = both[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+
+    return rows.select("key", "chunk", "home", "guest", "doc_id", "root", "n", "sk").repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, n_links): classes that all pairs with Jaccard similarity of word shingles of at least ``similarity`` connect.
+
+    Texts with the same words collapse first, so groups of copies cost one row. Every similar pair shares a
+    key of ``part_keys``. First each text meets the next of its bucket, which connects most of a family. Then
+    in each bucket all pairs of still different classes are compared, but for those that size or sketch rule
+    out; large buckets are dealt out in chunks. Only the exact similarity makes a link. n_links counts the links
+    verified, not every similar pair. Null and empty texts form one class.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -301,59 +373,74 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         for b in batches:
             rows = []
             for t in rows_of(b, "text"):
-                data, start, _ = word_spans(t)
-                h = shingle_hashes(t, shingle)
-                rows.append((xxhash.xxh128_digest(data), fingerprint(h), len(np.unique(h)), segment_prints(t)))
+                h = np.unique(shingle_hashes(t, shingle))
+                rows.append((xxhash.xxh128_digest(word_spans(t)[0]), len(h), part_keys(h, similarity), parity_sketch(h)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                names=["doc_id", "words", "fp", "n", "segments"],
+                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                names=["doc_id", "words", "n", "keys", "sk"],
             )
 
-    prints = scratch.keep(view.mapInArrow(run, "doc_id long, words binary, fp long, n long, segments array<long>"), "prints")
+    prints = scratch.keep(view.mapInArrow(run, "doc_id long, words binary, n long, keys array<long>, sk array<long>"), "prints")
     copies = scratch.keep(prints.groupBy("words").agg(F.min("doc_id").alias("rep")), "copies")
-    reps = scratch.keep(prints.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "fp", "n", "segments"), "reps")
-
-    band = F.floor(F.log(F.col("n") + 1) / F.log(F.lit(1.25)))
-    seg = reps.select("doc_id", band.alias("band"), F.explode("segments").alias("s"))
-    # candidates: the least document of each segment, and the next smaller one by range of sizes
-    least = scratch.keep(seg.groupBy("s").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").select("s", "first"), "least")
-    shared = scratch.keep(seg.join(least, "s").select("s", "doc_id", "first", "band"), "shared")
-    scratch.drop("least")
-    star = shared.filter("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    by_size = shared.select("s", "doc_id", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    mates = scratch.keep(by_size.groupBy("s", "band").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi"), "mates")
-    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    more = by_size.join(mates, ["s", "band"]).select(F.inline(F.array(pair("lo", "doc_id"), pair("doc_id", "hi")))).filter("a <> b")
-    pairs = scratch.keep(star.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    scratch.drop("shared")
-    scratch.drop("mates")
-
-    slim = reps.select("doc_id", "fp", "n")
-    side = lambda c: slim.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= tau) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    )
-    close = scratch.keep(close.select("a", "b"), "close")
-    ids = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
+    reps = prints.join(copies.select("words", F.col("rep").alias("doc_id")), ["words", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    reps = scratch.keep(reps.select("doc_id", "n", "sk", "keys"), "reps")
+    named = scratch.keep(prints.select("doc_id", "words"), "named")
+    scratch.drop("prints")
+
+    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    sizes = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
+    deal = F.pmod(F.xxhash64("doc_id", "key"), F.ceil(F.col("c") / BUCKET)).cast("int")
+    shared = scratch.keep(keyed.join(sizes, "key").select("key", "c", "doc_id", deal.alias("chunk")), "shared")
+    slim = reps.select("doc_id", "n", "sk")
+    far = (1 - similarity) / (1 + similarity)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in rows_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(h, pa.list_(pa.int64()))], names=["doc_id", "h"])
 
-    some = scratch.keep(only(view, ids, "doc_id", ids.count()).mapInArrow(sets, "doc_id long, h array<long>"), "sets")
-    j = close.join(some.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
-    both = F.size(F.array_intersect("ha", "hb"))
-    links = scratch.keep(j.filter(both >= similarity * (F.size("ha") + F.size("hb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    for spent in ("reps", "pairs", "close", "sets"):
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        some = scratch.keep(only(view, ids, "doc_id", ids.count()).mapInArrow(sets, "doc_id long, h array<long>").dropDuplicates(["doc_id"]), f"{name}-sets")
+        j = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
+        both = F.size(F.array_intersect("ha", "hb"))
+        out = scratch.keep(j.filter(both >= similarity * (F.size("ha") + F.size("hb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")
+        scratch.drop(f"{name}-sets")
+        return out
+
+    beside = F.lead("doc_id").over(Window.partitionBy("key", "chunk").orderBy(F.xxhash64("key", "doc_id"), "doc_id"))
+    chain = shared.select("doc_id", beside.alias("next")).filter("next is not null")
+    chain = scratch.keep(chain.select(F.least("doc_id", "next").alias("a"), F.greatest("doc_id", "next").alias("b")).distinct(), "chain")
+    side = lambda c: slim.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sk").alias(f"sk_{c}"))
+    apart = sum((F.bit_count(F.get("sk_a", F.lit(i)).bitwiseXOR(F.get("sk_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    close = chain.join(side("a"), "a").join(side("b"), "b").filter(
+        (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= far * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    )
+    links = verified(scratch.keep(close.select("a", "b"), "close"), "first")
+    scratch.drop("chain")
+    comp = connected_components(links, scratch, "cc-first").withColumnRenamed("node", "doc_id")
+
+    # Buckets that hold more than one class: rows outside a bucket's largest class are guests of all its chunks.
+    state = shared.join(comp, "doc_id", "left").select("key", "c", "chunk", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    state = scratch.keep(state, "state")
+    scratch.drop("shared")
+    per = state.groupBy("key", "root").agg(F.count("*").alias("m"))
+    mixed = per.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
+    rest = state.join(scratch.keep(mixed, "mixed"), "key").withColumn("guest", F.col("root") != F.col("main"))
+    to = F.when(F.col("guest"), F.sequence(F.lit(0), (F.ceil(F.col("c") / BUCKET) - 1).cast("int"))).otherwise(F.array("chunk"))
+    rest = rest.join(slim, "doc_id").select("key", "chunk", "guest", "doc_id", "root", "n", "sk", F.explode(to).alias("to"))
+    rest = rest.select("key", F.col("to").alias("chunk"), (F.col("to") == F.col("chunk")).alias("home"), "guest", "doc_id", "root", "n", "sk")
+    across = scratch.keep(_bucket_pairs(rest, similarity).distinct(), "across")
+    links = scratch.keep(links.unionByName(verified(across, "second")), "links")
+    for spent in ("reps", "close", "state", "mixed", "across", "sizes"):
         scratch.drop(spent)
     comp = connected_components(links, scratch)
     degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = scratch.keep(classes.select("words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    classes = scratch.keep(classes.select("words", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
     scratch.drop("copies")
-    return prints.select("doc_id", "words").join(named, "words").select("doc_id", "class_id", "n_links")
+    return named.join(classes, "words").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -137,6 +137,48 @@ def test_near_duplicates_by_similarity(spark):
     assert all(want[i] == want[c] for i, c in got.items())
 
 
+def similarity_classes(rows, k=5):
+    sets = {i: set(shingles(t, k)) for i, t in rows}
+    return components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def replaced(w, n, r):
+    v = list(w)
+    for i in r.sample(range(len(v)), n):
+        v[i] = "e%d" % r.randrange(10**9)
+    return v
+
+
+@pytest.mark.parametrize("bucket", [1024, 50])
+def test_near_duplicates_miss_no_pair(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    r = random.Random(bucket)
+    texts = []
+    for edits in (3, 4):  # families of hundreds at the threshold
+        base = [r.choice(VOCAB) + str(r.randrange(99)) for _ in range(240)]
+        texts += [replaced(base, edits, r) for _ in range(200)]
+    passages = [[r.choice(VOCAB) + str(r.randrange(99)) for _ in range(50)] for _ in range(12)]
+    common = [list(itertools.chain(*(r.choice(passages) for _ in range(6)))) for _ in range(250)]
+    texts += common + [replaced(w, 3, r) for w in common[:60]]  # pairs built of frequent passages
+    texts += [[r.choice("abc") for _ in range(r.randint(1, 14))] for _ in range(150)]  # short ones
+    r.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == similarity_classes(rows)
+
+
+def test_similar_sets_share_a_part():
+    r = np.random.default_rng(3)
+    for n in [*range(1, 60), 100, 500, 3000]:
+        for _ in range(20):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            cut, add = r.integers(0, n // 5 + 1), r.integers(0, n // 4 + 1)
+            b = np.unique(np.concatenate([r.permutation(a)[cut:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+            if (n - cut) >= 0.8 * (n + add):
+                assert len(np.intersect1d(simhash.part_keys(a, 0.8), simhash.part_keys(b, 0.8)))
+                assert np.bitwise_count((simhash.parity_sketch(a) ^ simhash.parity_sketch(b)).view(np.uint64)).sum() <= cut + add
+
+
 def test_keep_one_keeps_columns_and_least(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
