@@ -427,6 +427,20 @@ def test_media_finds_crops_edits_and_turns(spark):
     assert media.copies(spark.createDataFrame([], "id long, content binary")).count() == 0
 
 
+def test_op10_finds_edited_copies_of_ordinary_pages(spark, tmp_path):
+    from plumbline.llm import registry
+
+    rows = []
+    for i in range(12):
+        w = prose(220, 500 + i).split()
+        v = list(w)
+        v[110] = "#" * len(v[110])  # the rest of the page stays in place
+        rows += [(2 * i, "<p>%s</p>" % " ".join(w)), (2 * i + 1, "<p>%s</p>" % " ".join(v))]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.class_id for r in registry.op10_media(spark, str(tmp_path)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(24)}
+
+
 def test_png_decodes():
     import struct
 
