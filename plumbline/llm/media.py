@@ -7,15 +7,17 @@ by it. Strings are joined through two tables of 64 bits or four of 32 (strings w
 a table key) and verified whole; matches of two images vote for a similarity transform, and pairs with enough votes in one
 cell of rotation, scale and shift are links.
 
-Images with equal pixels collapse to one before the tables, and within a table key each image meets the
-key's least image only, so the rows of a key grow with its images, not their square; copies share many keys,
-rare ones too, through which they meet. Undecodable, null and empty media have no corner and form a class of
+Images with equal pixels collapse to one before the tables. Within a table key each image first meets the next;
+then all pairs with near strings that are not yet in one class are compared, all their corners with all, so
+links connect what all pairs of a key connect. Large keys are dealt out in chunks. n_links counts the links
+verified. Undecodable, null and empty media have no corner and form a class of
 their own each; images without corners link only to equal ones. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -24,13 +26,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, rows_of
 from plumbline.llm.graph import connected_components
 
 PATCH, RADIUS, TESTS = 9, 12, 128
+#: Rows of a table key that one task compares with its guests.
+BUCKET = 1024
 
 
 def decode(content: bytes | None) -> np.ndarray | None:
@@ -179,10 +183,84 @@ def describe(im: np.ndarray | None, scales: int = 2) -> tuple[np.ndarray, np.nda
     return np.concatenate(geo), np.concatenate(words)
 
 
-def _place(g: str) -> dict:
-    """A packed place's columns."""
-    bits = lambda at, n: F.shiftright(F.col(g), at).bitwiseAND(F.lit((1 << n) - 1))
-    return {"x": bits(0, 16), "y": bits(16, 28), "s": bits(44, 4), "o": bits(48, 10) * (2 * math.pi / 1023)}
+def agree(geo: np.ndarray, words: np.ndarray, geo0: np.ndarray, words0: np.ndarray, min_votes: int, max_bits: int) -> bool:
+    """Whether enough corners of an image vote for one similarity transform from another, all corners compared with all."""
+    hits = []
+    for i in range(0, len(geo), 256):
+        bits = np.bitwise_count((words[i : i + 256, None] ^ words0[None]).view(np.uint64)).sum(axis=2, dtype=np.int64)
+        a, b = np.nonzero(bits <= max_bits)
+        hits.append((a + i, b))
+    a, b = (np.concatenate(x) for x in zip(*hits)) if hits else (np.empty(0, np.int64),) * 2
+    if len(np.unique(a)) < min_votes:
+        return False
+    field = lambda g, at, n: (g >> at) & ((1 << n) - 1)
+    (x, y, s, o), (x0, y0, s0, o0) = ((field(g, 0, 16), field(g, 16, 28), field(g, 44, 4), field(g, 48, 10) * (2 * math.pi / 1023)) for g in (geo[a], geo0[b]))
+    turn, grow = o - o0, 2.0 ** (s - s0)
+    dx = (x - grow * (np.cos(turn) * x0 - np.sin(turn) * y0)) / 16
+    dy = (y - grow * (np.sin(turn) * x0 + np.cos(turn) * y0)) / 16
+    cell = np.round(turn / 0.2618).astype(np.int64) % 24
+    # a vote counts in the two nearest cells of each shift, so that no cell's edge splits a consensus
+    for i in (0.0, 0.5):
+        for j in (0.0, 0.5):
+            place = np.unique(np.stack([cell, s - s0, np.floor(dx + i).astype(np.int64), np.floor(dy + j).astype(np.int64), x, y], axis=1), axis=0)
+            if np.unique(place[:, :4], axis=0, return_counts=True)[1].max() >= min_votes:
+                return True
+    return False
+
+
+def _consensus(pairs: DataFrame, reps: DataFrame, min_votes: int, max_bits: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose corners agree."""
+    side = lambda c: reps.select(F.col("id").alias(c), F.col("geo").alias(f"geo_{c}"), F.col("words").alias(f"words_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = []
+            for name in ("geo_v", "words_v", "geo_u", "words_u"):
+                c = b.column(b.schema.get_field_index(name))
+                flat, at = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
+                cols.append([flat[x:y] for x, y in zip(at[:-1], at[1:])])
+            ok = [agree(g, w.reshape(-1, 2), g0, w0.reshape(-1, 2), min_votes, max_bits) for g, w, g0, w0 in zip(*cols)]
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
+
+
+def _across(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v) of images in other classes that have near strings in a chunk of a key; guests meet all rows at home there."""
+
+    def pairs(home, guest, ids, root, w0, w1):
+        us, vs = [], []
+        at = np.flatnonzero(home)
+        for g in np.flatnonzero(guest):
+            bits = np.bitwise_count((w0[at] ^ w0[g]).view(np.uint64)).astype(np.int64) + np.bitwise_count((w1[at] ^ w1[g]).view(np.uint64))
+            i = at[(bits <= max_bits) & (root[at] != root[g])]
+            us.append(np.minimum(ids[i], ids[g]))
+            vs.append(np.maximum(ids[i], ids[g]))
+        return us, vs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            if held is None or not len(held[0]):
+                continue
+            new = np.append(True, np.any([x[1:] != x[:-1] for x in held[:3]], axis=0))
+            head = np.flatnonzero(new)
+            ends = np.append(head[1:], len(held[0]))
+            us, vs = [], []
+            for s, e in zip(head, ends) if b is None else zip(head[:-1], ends[:-1]):  # the last may go on in the next batch
+                u, v = pairs(*[x[s:e] for x in held[3:]])
+                us += u
+                vs += v
+            held = [x[head[-1] :] for x in held]
+            if us:
+                both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+                for i in range(0, len(both), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(both[i : i + 100_000, 0]), pa.array(both[i : i + 100_000, 1])], names=["u", "v"])
+
+    return rows.repartition("t", "key", "at").sortWithinPartitions("t", "key", "at").mapInArrow(run, "u long, v long")
 
 
 def copies(media: DataFrame, to_image: Callable = decode, min_votes: int = 4, max_bits: int = 12, tables: int = 4) -> DataFrame:
@@ -207,32 +285,30 @@ def copies(media: DataFrame, to_image: Callable = decode, min_votes: int = 4, ma
     reps = seen.join(one.select(F.col("rep").alias("id")), "id", "left_semi")
 
     spot = F.posexplode("geo").alias("i", "g")
-    points = reps.select("id", spot, "words").select("id", "g", F.get("words", F.col("i") * 2).alias("w0"), F.get("words", F.col("i") * 2 + 1).alias("w1"))
+    points = reps.select("id", spot, "words").select("id", "i", F.get("words", F.col("i") * 2).alias("w0"), F.get("words", F.col("i") * 2 + 1).alias("w1"))
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     keys = [F.col("w0"), F.col("w1")] if tables == 2 else [F.shiftrightunsigned("w0", 32), low("w0"), F.shiftrightunsigned("w1", 32), low("w1")]
-    keyed = points.select("id", "g", "w0", "w1", F.posexplode(F.array(*keys)).alias("t", "key"))
-    # Table keys that more than one image has, with the least of them and its first corner there.
-    least = keyed.groupBy("t", "key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("t", "key", "first")
-    least = scratch.keep(least, "shared")
-    mine = scratch.keep(keyed.join(least, ["t", "key"]), "matched")
-    heads = mine.filter("id = first").groupBy("t", "key").agg(F.min(F.struct("g", "w0", "w1")).alias("h")).select("t", "key", F.col("h.g").alias("g0"), F.col("h.w0").alias("v0"), F.col("h.w1").alias("v1"))
-    heads = scratch.keep(heads, "heads")
-    pair = mine.filter("id <> first").join(heads, ["t", "key"])
-    bits = F.bit_count(F.col("w0").bitwiseXOR(F.col("v0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("v1")))
-    pair = pair.filter(bits <= max_bits).select("first", "id", "g", "g0").distinct()
-    pair = pair.withColumns(_place("g")).withColumns({f"{k}0": c for k, c in _place("g0").items()})
-    turn, grow = F.col("o") - F.col("o0"), F.pow(F.lit(2.0), F.col("s") - F.col("s0"))
-    shift_x = F.col("x") - grow * (F.cos(turn) * F.col("x0") - F.sin(turn) * F.col("y0"))
-    shift_y = F.col("y") - grow * (F.sin(turn) * F.col("x0") + F.cos(turn) * F.col("y0"))
-    votes = pair.select(
-        F.col("first").alias("u"), F.col("id").alias("v"), (F.pmod(F.round(turn / 0.2618), F.lit(24))).cast("int").alias("turn"), (F.col("s") - F.col("s0")).cast("int").alias("grow"),
-        (shift_x / 16).alias("dx"), (shift_y / 16).alias("dy"), F.col("x").cast("int").alias("px"), F.col("y").cast("int").alias("py"),
-    )
-    # a vote counts in the two nearest cells of each shift, so that no cell's edge splits a consensus
-    cells = votes.select("u", "v", "turn", "grow", "px", "py", F.explode(F.array(F.floor("dx"), F.floor(F.col("dx") + 0.5) + 100_000)).alias("cx"), "dy")
-    cells = cells.select("u", "v", "turn", "grow", "px", "py", "cx", F.explode(F.array(F.floor("dy"), F.floor(F.col("dy") + 0.5) + 100_000)).alias("cy"))
-    won = cells.distinct().groupBy("u", "v", "turn", "grow", "cx", "cy").agg(F.count("*").alias("n")).filter(F.col("n") >= min_votes)
-    links = scratch.keep(won.select("u", "v").distinct(), "links")
+    keyed = points.select("id", "w0", "w1", F.posexplode(F.array(*keys)).alias("t", "key")).distinct()
+    ids = keyed.groupBy("t", "key").agg(F.count("*").alias("c"), F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("t", "key", "c")
+    chunk = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("c") / BUCKET)).cast("int").alias("chunk")
+    mine = scratch.keep(keyed.join(scratch.keep(ids, "shared"), ["t", "key"]).select("t", "key", "c", chunk, "id", "w0", "w1"), "matched")
+
+    # Each image meets the next of its key, which connects most of a group of copies.
+    beside = F.lead("id").over(Window.partitionBy("t", "key", "chunk").orderBy(F.xxhash64("key", "id"), "id"))
+    chain = mine.select("id", beside.alias("next")).filter("id <> next").select(F.least("id", "next").alias("u"), F.greatest("id", "next").alias("v")).distinct()
+    near = scratch.keep(_consensus(scratch.keep(chain, "chain"), reps, min_votes, max_bits), "near")
+    comp = connected_components(near, scratch, "cc-near").withColumnRenamed("node", "id")
+
+    # Then all pairs of a key that are in different classes: rows outside a key's largest class are guests of all its chunks.
+    state = scratch.keep(mine.join(comp, "id", "left").withColumn("root", F.coalesce("root", "id")), "state")
+    per = state.groupBy("t", "key", "root").agg(F.count("*").alias("m"))
+    mixed = per.groupBy("t", "key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("t", "key", "main")
+    rest = state.join(scratch.keep(mixed, "mixed"), ["t", "key"]).withColumn("guest", F.col("root") != F.col("main"))
+    to = F.when(F.col("guest"), F.sequence(F.lit(0), (F.ceil(F.col("c") / BUCKET) - 1).cast("int"))).otherwise(F.array("chunk"))
+    rest = rest.select("t", "key", "chunk", "guest", "id", "root", "w0", "w1", F.explode(to).alias("to"))
+    rest = rest.select("t", "key", F.col("to").alias("at"), (F.col("to") == F.col("chunk")).alias("home"), "guest", "id", "root", "w0", "w1")
+    across = scratch.keep(_across(rest, max_bits).distinct(), "across")
+    links = scratch.keep(near.unionByName(_consensus(across, reps, min_votes, max_bits)), "links")
     comp = connected_components(links, scratch)
     degree = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = one.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

@@ -427,6 +427,22 @@ def test_media_finds_crops_edits_and_turns(spark):
     assert media.copies(spark.createDataFrame([], "id long, content binary")).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1024, 2])
+def test_media_copies_meet_behind_lesser_images_of_their_keys(spark, monkeypatch, bucket):
+    monkeypatch.setattr(media, "BUCKET", bucket)
+    r = np.random.default_rng(8)
+    one = np.kron(r.integers(0, 256, (40, 40)), np.ones((6, 6))).astype(np.uint8)
+    edited = one.copy()
+    edited[100:140, 60:100] = 0
+    rows = [(50, pgm(one)), (51, pgm(edited))]
+    for i, (y, x) in enumerate(itertools.product((0, 12, 24, 36), repeat=2)):  # the same patches, but in other places
+        tiles = [np.roll(one, (-y, -x), (0, 1))[a : a + 48, b : b + 48] for a in range(0, 240, 48) for b in range(0, 240, 48)]
+        tiles = [tiles[j] for j in r.permutation(25)]
+        rows.append((i, pgm(np.block([tiles[j : j + 5] for j in range(0, 25, 5)]))))
+    got = {x.id: x.class_id for x in media.copies(spark.createDataFrame(rows, "id long, content binary"), min_votes=40).collect()}
+    assert got == {i: min(i, 50) for i in got}
+
+
 def test_op10_finds_edited_copies_of_ordinary_pages(spark, tmp_path):
     from plumbline.llm import registry
 
