@@ -4,8 +4,10 @@ Found and validated: card numbers (Luhn), IBANs (mod 97), national ids of the fo
 numbers, IPv4 addresses, calendar dates and e-mail addresses. Each value is mapped within its own format: the
 characters that may vary are read as one mixed-radix number, permuted by a Feistel network over exactly that
 domain (cycle walking), and written back, with check digits made anew. Equal values get equal pseudonyms in
-every document, separators and letter case stay, and who holds the key can invert it. Numbers that fail
-validation are left alone.
+every document, separators and letter case stay, and who holds the key can invert it. Where a card or IBAN fails
+validation, shorter ones at its start are tried and the search goes on just after that start; other numbers that
+fail validation are left alone. A longer number that fails may by chance be valid once a part of it is replaced,
+so such a text is inverted by its spans' values, not always by a second search.
 
 Null text stays null; empty text has no span. A value is a match of the leftmost kind in the order below;
 repeated rows give equal results; an empty table gives an empty one. Other columns are ignored.
@@ -37,7 +39,12 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{8,14}(?![0-9]))"
 )
-_HINT = re.compile(r"[0-9]{2}|@")
+_HINT = re.compile(r"[0-9][ .-]?[0-9]|@")  # every match of PATTERN holds one of these
+# Kinds of varying length, whole; a shorter form must end where no such character follows.
+_CUT = {
+    "iban": (re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"), re.compile(r"[A-Za-z0-9]")),
+    "card": (re.compile(r"[0-9](?:[ -]?[0-9]){12,18}"), re.compile(r"[0-9]")),
+}
 _DAY0, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -168,19 +175,31 @@ def pseudonym(kind: str, value: str, f: Feistel, back: bool = False) -> str | No
     return head + _vary(f, value[len(head) :], b"phone", back)
 
 
+def _ends(text: str, m: re.Match) -> Iterator[int]:
+    """Ends of the values that may start where ``m`` does, longest first."""
+    yield m.end()
+    if m.lastgroup in _CUT:
+        whole, more = _CUT[m.lastgroup]
+        for end in range(m.end() - 1, m.start() + 12, -1):
+            if not more.match(text, end) and whole.fullmatch(text, m.start(), end):
+                yield end
+
+
 def pseudonymise(text: str | None, f: Feistel, back: bool = False, cache=None) -> tuple[str | None, list[tuple[str, int, int]]]:
     """(text, spans of the original as kind, start, end in code points)."""
     if not text or not _HINT.search(text):
         return text, []
-    out, spans, at = [], [], 0
+    out, spans, at, pos = [], [], 0, 0
     make = cache or (lambda k, v: pseudonym(k, v, f, back))
-    for m in PATTERN.finditer(text):
-        new = make(m.lastgroup, m[0])
-        if new is None:
-            continue
-        out += [text[at : m.start()], new]
-        spans.append((m.lastgroup, m.start(), m.end()))
-        at = m.end()
+    while m := PATTERN.search(text, pos):
+        pos = m.start() + 1
+        for end in _ends(text, m):
+            new = make(m.lastgroup, text[m.start() : end])
+            if new is not None:
+                out += [text[at : m.start()], new]
+                spans.append((m.lastgroup, m.start(), end))
+                at = pos = end
+                break
     return "".join(out) + text[at:], spans
 
 

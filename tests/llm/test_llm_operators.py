@@ -242,6 +242,18 @@ def test_pii_leaves_invalid_numbers_and_links_equal_values(spark, empty):
     assert pii.pseudonymised(empty, b"k").count() == 0
 
 
+@pytest.mark.parametrize("text,value", [
+    ("4111111111111111 123", "4111111111111111"), ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("12 4111111111111111", "4111111111111111"),
+    ("ES9121000418450200051332 EUR", "ES9121000418450200051332"), ("8.8.8.8", "8.8.8.8"), ("a 1.1.1.1 b", "1.1.1.1"), ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+])
+def test_pii_finds_values_beside_other_characters(text, value):
+    f = pii.Feistel(hashlib.blake2b(b"k", digest_size=32).digest())
+    new, spans = pii.pseudonymise(text, f)
+    a = text.index(value)
+    kind = spans[0][0]
+    assert spans == [(kind, a, a + len(value))] and new == text[:a] + pii.pseudonym(kind, value, f) + text[a + len(value) :]
+
+
 def test_apportionment_is_sainte_lague(spark):
     r = random.Random(3)
     for votes in ([5, 5, 5], [1000, 1, 1, 1], [r.random() * 100 for _ in range(12)], [0, 7, 0, 3]):
