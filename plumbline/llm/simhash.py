@@ -444,9 +444,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each near-duplicate class stays: the least doc_id. Columns are those of ``docs``.
+    """One row of each near-duplicate class stays: the least doc_id, rows without one last. Columns are those of ``docs``.
 
-    The ids are broadcast while their counted number is bounded, so that texts stay where they are; beyond it the join shuffles.
+    Rows have a scratch key, so that rows without an id are compared like others and repeated rows leave one.
+    The keys are broadcast while their counted number is bounded; beyond it the join shuffles.
     """
-    kept = Scratch(docs.sparkSession, "kept").keep(near_duplicates(docs, **how).filter("doc_id = class_id").select("doc_id"), "ids")
-    return only(docs, kept, "doc_id", kept.count())
+    scratch = Scratch(docs.sparkSession, "kept")
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), "class_id")
+    named = classes.join(rows.select("_row", "doc_id"), "_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = scratch.keep(named.groupBy("class_id").agg(least.alias("least")).select(F.col("least._row").alias("_row")), "ids")
+    return only(rows, kept, "_row", kept.count()).select(*docs.columns)

@@ -187,6 +187,21 @@ def test_keep_one_keeps_columns_and_least(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_rows_without_an_id_pass_and_repeated_rows_leave_one(spark, small):
+    import corpus_pipeline as cp
+    from plumbline.llm.common import read
+
+    item = read(spark, small, "benchmark").filter("text is not null").first().text
+    rows = [(None, BASE, "a"), (None, prose(60, 40), "a"), (None, prose(60, 40), "b"), (7, prose(60, 41), "a"), (7, prose(60, 41), "a"), (8, BASE, "b"), (None, item, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = cp.drop_near_duplicates(spark, df, small)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(8, BASE), (0, prose(60, 40)), (7, prose(60, 41)), (0, item)])
+    clean = cp.drop_contaminated(spark, kept, small)
+    assert sorted(r.doc_id or 0 for r in clean.collect()) == [0, 7, 8]
+    mixed = cp.mix_sources(spark, clean, small)
+    assert {r.text for r in mixed.collect()} == {BASE, prose(60, 40), prose(60, 41)}
+
+
 def test_containment_is_exact(spark, docs, empty):
     items = [(1, " ".join(BASE.split()[10:50])), (2, " ".join(BASE.split()[40:80])), (3, None), (4, ""), (5, "one"), (6, LONG), (7, " ".join(BASE.split()[10:50])), (8, prose(30, 77)), (9, "ONE, two!")]
     table = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n int")
