@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids up to this many may be broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Most rows and bytes of an Arrow batch: what a Python worker holds at once, whatever the texts' lengths.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +50,17 @@ class Scratch:
         self.spark, self.path = spark, f"{base.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._leave)
 
-    def keep(self, df: DataFrame, name: str, sort: bool = False) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` and reads it again; an empty frame keeps its schema."""
         to = f"{self.path}/{name}"
         df.write.option("compression", "zstd").mode("overwrite").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    def keep_with(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+        """``keep``, with aggregates of the rows that are taken while they are written, so without another job."""
+        seen = Observation()
+        return self.keep(df.observe(seen, *measures), name), seen.get
+
     def drop(self, name: str = "") -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -62,13 +69,19 @@ class Scratch:
         with contextlib.suppress(Exception):
             self.drop()
 
-    def local(self, name: str) -> str:
-        """The path as executors open it, where the shared folder is a mounted one."""
-        return f"{self.path}/{name}".removeprefix("file://")
 
+def arrow(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> Callable[[DataFrame], DataFrame]:
+    """``mapInArrow`` for ``transform``, under batches of at most BATCH; the session's own limits stay where they are lower."""
+
+    def mapped(df: DataFrame) -> DataFrame:
+        conf = df.sparkSession.conf
+        for key, most in BATCH.items():
+            own = re.fullmatch(r"(\d+)b?", conf.get(key))
+            if not own or not 0 < int(own[1]) <= most:
+                conf.set(key, str(most))
+        return df.mapInArrow(f, schema)
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    return mapped
 
 
 def rows_of(batch: pa.RecordBatch, name: str) -> list:
@@ -79,8 +92,3 @@ def only(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of ``df`` whose key is among ``ids``: broadcast while the counted ids are few, else a shuffled semi-join."""
     ids = ids.select(key).distinct()
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
-
-
-def cpu_batches(n_bytes: int = 4 << 20) -> int:
-    """Rows per Arrow batch are set by the session; long texts are bounded by its byte limit."""
-    return int(os.environ.get("PLUMBLINE_BATCH", n_bytes))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch
 
 
-def _round(edges: DataFrame, scratch: Scratch, name: str, large: bool) -> DataFrame:
+def _mark() -> list[Column]:
+    """Number and order-free hashes of the edges; taken while a round is written."""
+    return [F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1_000_003))).alias("s")]
+
+
+def _round(edges: DataFrame, scratch: Scratch, name: str, large: bool) -> tuple[DataFrame, dict]:
     """Large: every greater neighbour of u is hung on u's least; small: every lesser one, and u itself.
 
     The minima are a table of their own, so the join reads two plain tables and a hub's rows can be split.
@@ -18,7 +23,7 @@ def _round(edges: DataFrame, scratch: Scratch, name: str, large: bool) -> DataFr
     least = scratch.keep(sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}-least")
     on = sym.join(least, "u")
     hung = on.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else on.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    out = scratch.keep(hung.filter("u <> v").distinct(), name)
+    out = scratch.keep_with(hung.filter("u <> v").distinct(), name, *_mark())
     scratch.drop(f"{name}-least")
     return out
 
@@ -29,16 +34,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
     Ends when a round changes nothing, by count and an order-free hash of the edges; the number of rounds
     grows with the logarithm of the component size.
     """
-    state = scratch.keep(edges.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}0")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1_000_003)))).first())
-    seen, n = mark(state), 0
-    while seen[0]:
+    edges = edges.select("u", "v").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    state, seen = scratch.keep_with(edges, f"{label}0", *_mark())
+    n = 0
+    while seen["n"]:
         n += 1
-        a = _round(state, scratch, f"{label}{n}a", large=True)
-        state = _round(a, scratch, f"{label}{n}", large=False)
+        a, _ = _round(state, scratch, f"{label}{n}a", large=True)
+        state, now = _round(a, scratch, f"{label}{n}", large=False)
         scratch.drop(f"{label}{n}a")
         scratch.drop(f"{label}{n - 1}")
-        now = mark(state)
         if now == seen:
             break
         seen = now

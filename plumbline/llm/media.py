@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, rows_of
+from plumbline.llm.common import Scratch, arrow, rows_of
 from plumbline.llm.graph import connected_components
 
 PATCH, RADIUS, TESTS = 9, 12, 128
@@ -222,7 +222,7 @@ def _consensus(pairs: DataFrame, reps: DataFrame, min_votes: int, max_bits: int)
             ok = [agree(g, w.reshape(-1, 2), g0, w0.reshape(-1, 2), min_votes, max_bits) for g, w, g0, w0 in zip(*cols)]
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").transform(arrow(run, "u long, v long"))
 
 
 def _across(rows: DataFrame, max_bits: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _across(rows: DataFrame, max_bits: int) -> DataFrame:
                 for i in range(0, len(both), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(both[i : i + 100_000, 0]), pa.array(both[i : i + 100_000, 1])], names=["u", "v"])
 
-    return rows.repartition("t", "key", "at").sortWithinPartitions("t", "key", "at").mapInArrow(run, "u long, v long")
+    return rows.repartition("t", "key", "at").sortWithinPartitions("t", "key", "at").transform(arrow(run, "u long, v long"))
 
 
 def copies(media: DataFrame, to_image: Callable = decode, min_votes: int = 4, max_bits: int = 12, tables: int = 4) -> DataFrame:
@@ -280,7 +280,7 @@ def copies(media: DataFrame, to_image: Callable = decode, min_votes: int = 4, ma
                     words.append(w.ravel())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(digest), pa.array(geo, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int64()))], names=["id", "digest", "geo", "words"])
 
-    seen = scratch.keep(media.select("id", "content").mapInArrow(looked, "id long, digest binary, geo array<long>, words array<long>"), "seen")
+    seen = scratch.keep(media.select("id", "content").transform(arrow(looked, "id long, digest binary, geo array<long>, words array<long>")), "seen")
     one = scratch.keep(seen.groupBy("digest").agg(F.min("id").alias("rep")), "reps")
     reps = seen.join(one.select(F.col("rep").alias("id")), "id", "left_semi")
 

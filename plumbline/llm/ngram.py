@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
-from plumbline.llm.common import Scratch, docs_view, rows_of
+from plumbline.llm.common import Scratch, arrow, docs_view, rows_of
 
 END, BEGIN = b" end", b" begin"  # no word holds a space
 STEP = 128  # documents tokenised at a time
@@ -225,10 +225,10 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
             shared.put(base, f"count-{b}", c.astype(np.uint32 if c.max(initial=0) < 1 << 32 else np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(k)]), pa.array([int(c.sum())])], names=["bucket", "n", "total"])
 
-    packed = texts.mapInArrow(words, "bucket int, a binary, b binary").repartition(n_buckets, "bucket")
+    packed = texts.transform(arrow(words, "bucket int, a binary, b binary")).repartition(n_buckets, "bucket")
     sizes = np.zeros(n_buckets, np.int64)
     n_tokens = 0
-    for b, n, total in packed.mapInArrow(vocabulary, "bucket int, n long, total long").collect():  # one row a bucket
+    for b, n, total in packed.transform(arrow(vocabulary, "bucket int, n long, total long")).collect():  # one row a bucket
         sizes[b] = n
         n_tokens += total
     vocab, offsets = int(sizes.sum()), np.cumsum(sizes) - sizes
@@ -280,8 +280,8 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
             note = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array(_count_of_counts(c), np.int64).tobytes()]), pa.array([b""])], names=["bucket", "a", "b"])
             yield pa.Table.from_batches([out, note]).combine_chunks().to_batches()[0]
 
-    dealt = texts.mapInArrow(pairs, "bucket int, a binary, b binary, c binary").repartition(n_buckets, "bucket")
-    notes = scratch.keep(dealt.mapInArrow(contexts, "bucket int, a binary, b binary"), "continuations")
+    dealt = texts.transform(arrow(pairs, "bucket int, a binary, b binary, c binary")).repartition(n_buckets, "bucket")
+    notes = scratch.keep(dealt.transform(arrow(contexts, "bucket int, a binary, b binary")), "continuations")
     n_pair = np.zeros(4, np.int64)
     for (a,) in notes.filter("bucket < 0").select("a").collect():  # one row a bucket
         n_pair += np.frombuffer(a, np.int64)
@@ -293,7 +293,7 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
             yield pa.RecordBatch.from_arrays([pa.array([_count_of_counts(n)], pa.list_(pa.int64())), pa.array([int(n.sum())]), pa.array([int((n > 2).sum())])], names=["n", "total", "more"])
 
     n_word, total_word, more = np.zeros(4, np.int64), 0, 0
-    for n, total, m in notes.filter("bucket >= 0").repartition(n_buckets, "bucket").mapInArrow(continuations, "n array<long>, total long, more long").collect():  # one row a range
+    for n, total, m in notes.filter("bucket >= 0").repartition(n_buckets, "bucket").transform(arrow(continuations, "n array<long>, total long, more long")).collect():  # one row a range
         n_word += np.array(n)
         total_word += total
         more += m
@@ -311,7 +311,7 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
                 shared.put(base, f"cont-{k}", np.concatenate(parts))
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], names=["id"])
 
-    train.sparkSession.range(0, n_buckets, 1, min(n_buckets, 64)).mapInArrow(aligned, "id long").count()
+    train.sparkSession.range(0, n_buckets, 1, min(n_buckets, 64)).transform(arrow(aligned, "id long")).count()
     d_word = discounts(*map(int, n_word))
     left = d_word[0] * int(n_word[0]) + d_word[1] * int(n_word[1]) + d_word[2] * more
     return dataclasses.replace(draft, d_pair=discounts(*map(int, n_pair)), d_word=d_word, total_word=int(total_word), floor=left / total_word / (vocab + 1))
@@ -331,4 +331,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [part.column(0).cast(pa.int64()), pa.array(n), *[pa.array(np.add.reduceat(a, at)) for a in (known.astype(np.int64), base, p)]]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs_view(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return docs_view(docs).transform(arrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double"))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import docs_view, rows_of
+from plumbline.llm.common import arrow, docs_view, rows_of
 
 ROUNDS = 10
 KINDS = ("email", "iban", "date", "ipv4", "card", "ssn", "phone")
@@ -218,4 +218,4 @@ def pseudonymised(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
                 names=["doc_id", "n_spans", "spans", "text"],
             )
 
-    return docs_view(docs).mapInArrow(run, "doc_id long, n_spans long, spans string, text string")
+    return docs_view(docs).transform(arrow(run, "doc_id long, n_spans long, spans string, text string"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, docs_view, only, rows_of
+from plumbline.llm.common import Scratch, arrow, docs_view, only, rows_of
 from plumbline.llm.graph import connected_components
 
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = [fingerprint(shingle_hashes(t, shingle)) for t in rows_of(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs_view(docs).mapInArrow(run, "doc_id long, fp long")
+    return docs_view(docs).transform(arrow(run, "doc_id long, fp long"))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -81,7 +81,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             n += len(bits)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([joint.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "joint"])
 
-    parts = fps.select("fp").mapInArrow(run, "n long, joint array<double>")
+    parts = fps.select("fp").transform(arrow(run, "n long, joint array<double>"))
     cells = parts.select("n", F.posexplode("joint").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     out, n = np.zeros(BITS * BITS), 0
     for p, x, k in cells.collect():  # 4096 rows whatever the input
@@ -208,7 +208,7 @@ def _links_within(rows: DataFrame, tau: int) -> DataFrame:
         if len(held[0]):
             yield links(*held)
 
-    return rows.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "u long, v long")
+    return rows.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").transform(arrow(run, "u long, v long"))
 
 
 def _refine(rows: DataFrame, tau: int) -> DataFrame:
@@ -353,7 +353,7 @@ def _bucket_pairs(rows: DataFrame, similarity: float) -> DataFrame:
                     part = both[i : i + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
 
-    return rows.select("key", "chunk", "home", "guest", "doc_id", "root", "n", "sk").repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "a long, b long")
+    return rows.select("key", "chunk", "home", "guest", "doc_id", "root", "n", "sk").repartition("key", "chunk").sortWithinPartitions("key", "chunk").transform(arrow(run, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
                 names=["doc_id", "words", "n", "keys", "sk"],
             )
 
-    prints = scratch.keep(view.mapInArrow(run, "doc_id long, words binary, n long, keys array<long>, sk array<long>"), "prints")
+    prints = scratch.keep(view.transform(arrow(run, "doc_id long, words binary, n long, keys array<long>, sk array<long>")), "prints")
     copies = scratch.keep(prints.groupBy("words").agg(F.min("doc_id").alias("rep")), "copies")
     reps = prints.join(copies.select("words", F.col("rep").alias("doc_id")), ["words", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = scratch.keep(reps.select("doc_id", "n", "sk", "keys"), "reps")
@@ -402,7 +402,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        some = scratch.keep(only(view, ids, "doc_id", ids.count()).mapInArrow(sets, "doc_id long, h array<long>").dropDuplicates(["doc_id"]), f"{name}-sets")
+        some = scratch.keep(only(view, ids, "doc_id", ids.count()).transform(arrow(sets, "doc_id long, h array<long>")).dropDuplicates(["doc_id"]), f"{name}-sets")
         j = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
         both = F.size(F.array_intersect("ha", "hb"))
         out = scratch.keep(j.filter(both >= similarity * (F.size("ha") + F.size("hb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")

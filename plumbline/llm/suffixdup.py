@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
-from plumbline.llm.common import Scratch, docs_view
+from plumbline.llm.common import Scratch, arrow, docs_view
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -114,7 +114,7 @@ def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield out()
 
-    return docs_view(docs).mapInArrow(run, "g long, ids array<long>, sizes array<long>, data binary")
+    return docs_view(docs).transform(arrow(run, "g long, ids array<long>, sizes array<long>, data binary"))
 
 
 class Block:
@@ -290,7 +290,7 @@ def deduplicate(docs: DataFrame, length: int = 200, v: int = 133, block_bytes: i
 
     for which, arrays, judge in (("sample", 1, _repeated), ("tie", 2, _ties), ("suffix", 1, _repeated)):
         cols = "bucket int, g long, a binary" + ", b binary" * (arrays > 1)
-        packed.mapInArrow(step(which), cols).repartition(n, "bucket").mapInArrow(_answer(base, which, judge, arrays), "bucket int, n long").agg(F.sum("n")).collect()
+        packed.transform(arrow(step(which), cols)).repartition(n, "bucket").transform(arrow(_answer(base, which, judge, arrays), "bucket int, n long")).agg(F.sum("n")).collect()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict = {}
@@ -319,4 +319,4 @@ def deduplicate(docs: DataFrame, length: int = 200, v: int = 133, block_bytes: i
                 types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(types)])
 
-    return packed.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return packed.transform(arrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text))
