@@ -5,11 +5,11 @@ until none is above (water-filling, in closed form over the sorted ratios of cap
 ``block`` tokens are then given to sources by highest quotients target / (2 k + 1), and each source's blocks
 to its shards the same way by the shards' sizes, so every shard has an integer quota and selects alone:
 whole passes over its token stream first, then blocks by a seeded order. Shards are cut by a seeded hash so
-that each holds about ``shard_tokens``, up to ``max_shards`` a source, beyond which shards grow; a hot source has
-more shards.
+that each holds about ``shard_tokens``; a hot source has more shards, none of them larger.
 
 Null text has size 0 and takes nothing; a null source is a source, last in order; ties break by order; an
-empty table gives an empty result; repeated rows are rows of their own only if their ids differ.
+empty table gives an empty result. Every row is a row of its own, with or without an id: rows that share an id
+lie side by side in their shard's stream and each takes its own words.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the whole text."""
+    """(doc_id, source, size[, _row]): words of the whole text."""
     n = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
-    return docs.select("doc_id", "source", n.alias("size"))
+    return docs.select("doc_id", "source", n.alias("size"), *[c for c in docs.columns if c == "_row"])
 
 
 def targets(by_source: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -80,15 +80,20 @@ def apportion(rows: DataFrame, group: list[str], votes: str, seats: Column, orde
 
 def mix(
     sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 32,
-    shard_tokens: int = 200_000, max_shards: int = 4096, seed: int = 7,
+    shard_tokens: int = 200_000, seed: int = 7,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) from (doc_id, source, size)."""
+    """(_row, doc_id, source, size, source_size, target, taken) from (doc_id, source, size[, _row]).
+
+    ``_row`` numbers the rows, by the caller or here; it only ties rows to their words and orders nothing
+    but rows alike in id and size, so reruns agree.
+    """
     scratch = Scratch(sized.sparkSession, "mixing")
-    sized = scratch.keep(sized.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "sizes")
+    own = F.col("_row") if "_row" in sized.columns else F.monotonically_increasing_id().alias("_row")
+    sized = scratch.keep(sized.select(own, "doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "sizes")
     plan = scratch.keep(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     goal = plan.withColumn("all_", F.lit(1)).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy(F.lit(1))) / block))
     seats = apportion(goal, ["all_"], "target", F.col("blocks"), ["place"], "source_blocks")
-    seats = seats.withColumn("shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens))))
+    seats = seats.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)))
     seats = scratch.keep(seats.select("source", "source_size", "place", "target", "source_blocks", "shards"), "seats")
 
     # Few sources: a size-checked broadcast; the join carries no text.
@@ -102,9 +107,9 @@ def mix(
     quota = scratch.keep(apportion(per, ["place"], "shard_size", F.col("source_blocks"), ["shard"], "quota").select("place", "shard", "shard_size", "quota"), "quota")
 
     # A shard's stream: its documents in seeded order; each owns the words from its offset on.
-    stream = Window.partitionBy("place", "shard").orderBy("mark", "doc_id")
+    stream = Window.partitionBy("place", "shard").orderBy("mark", "doc_id", "size", "_row")
     placed = tagged.filter("size > 0").withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size"))
-    placed = scratch.keep(placed.join(quota.select("place", "shard", "shard_size", "quota"), ["place", "shard"]).select("doc_id", "place", "shard", "size", "begin", "end", "shard_size", "quota"), "placed")
+    placed = scratch.keep(placed.join(quota.select("place", "shard", "shard_size", "quota"), ["place", "shard"]).select("_row", "place", "shard", "size", "begin", "end", "shard_size", "quota"), "placed")
 
     # Whole passes, then as many more full blocks as the quota leaves, chosen in seeded order; the stream's
     # partial last block takes part as the block it is.
@@ -112,13 +117,24 @@ def mix(
     passes = F.least(F.floor(F.col("quota") * block / F.col("shard_size")), F.lit(int(most)))
     extra = F.when(passes >= most, 0).otherwise(F.least(n_blocks, F.round((F.col("quota") * block - passes * F.col("shard_size")) / block)))
     shards = quota.filter("shard_size > 0").withColumn("passes", passes).withColumn("extra", extra)
-    blocks = shards.select("place", "shard", "passes", "extra", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1)).alias("b"))
+    # Dealt out first: a block's row is made in its shard's task, where the window finds it.
+    spread = shards.repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "shard")
+    blocks = spread.select("place", "shard", "passes", "extra", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1)).alias("b"))
     pick = Window.partitionBy("place", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "place", "shard", "b")), "b")
     chosen = scratch.keep(blocks.withColumn("r", F.row_number().over(pick)).filter("r <= extra").select("place", "shard", "b"), "chosen")
 
-    own = placed.select("doc_id", "place", "shard", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("b"))
+    own = placed.select("_row", "place", "shard", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))).alias("b"))
     over = own.join(chosen, ["place", "shard", "b"]).withColumn("w", F.least("end", (F.col("b") + 1) * block) - F.greatest("begin", F.col("b") * block))
-    got = over.groupBy("doc_id").agg(F.sum("w").alias("picked"))
-    base = placed.join(shards.select("place", "shard", "passes"), ["place", "shard"]).select("doc_id", (F.col("passes") * F.col("size")).alias("passed"))
-    taken = scratch.keep(base.join(got, "doc_id", "left").select("doc_id", (F.col("passed") + F.coalesce("picked", F.lit(0))).cast("long").alias("taken")), "taken")
-    return tagged.select("doc_id", "source", "size", "source_size", "target").join(taken, "doc_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    got = over.groupBy("_row").agg(F.sum("w").alias("picked"))
+    base = placed.join(shards.select("place", "shard", "passes"), ["place", "shard"]).select("_row", (F.col("passes") * F.col("size")).alias("passed"))
+    taken = scratch.keep(base.join(got, "_row", "left").select("_row", (F.col("passed") + F.coalesce("picked", F.lit(0))).cast("long").alias("taken")), "taken")
+    return tagged.select("_row", "doc_id", "source", "size", "source_size", "target").join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """Rows of ``docs`` that the mix takes, with size, source_size, target and taken (columns of these names give way)."""
+    scratch = Scratch(docs.sparkSession, "mixed")
+    names = ["size", "source_size", "target", "taken"]
+    rows = scratch.keep(docs.drop(*names, "_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    got = mix(sizes(rows), **how).filter("taken > 0").select("_row", *names)
+    return rows.join(got, "_row").drop("_row")
