@@ -85,20 +85,26 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: str = RULE
     ``ledger(blob, rule_version, spans)`` holds what was scanned before. Copies are cut to one text per map
     task before the shuffle by blob, so a blob that a third of the rows share costs no more than another.
     """
-    scratch = scratch or Scratch(versions.sparkSession, "secrets")
     paths = address(versions)
-    fresh = paths.select("blob", "text")
-    if ledger is not None:
-        fresh = fresh.join(ledger.filter(F.col("rule_version") == rules).select("blob").distinct(), "blob", "left_anti")
-    found = scan_blobs(fresh.groupBy("blob").agg(F.first("text").alias("text")))
-    new = scratch.keep(found.select("blob", F.lit(rules).alias("rule_version"), "spans"), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.filter(F.col("rule_version") == rules).select("blob", "rule_version", "spans"))
-    # Most blobs have no finding: only those that have are joined back, the rest are empty by definition.
-    hits = known.filter(F.size("spans") > 0).select("blob", "spans")
+    hits, new = scan_unseen(paths.select("blob", "text"), ledger, rules, scratch or Scratch(versions.sparkSession, "secrets"))
     findings = paths.select("path", "version", "blob").join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
     return findings, new
 
 
+def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(blobs with findings as (blob, spans), ledger rows to append) for (blob, text), each blob scanned once.
+
+    Most blobs have no finding: only those that have are worth a join, the rest are empty by definition.
+    """
+    if ledger is not None:
+        ledger = ledger.filter(F.col("rule_version") == rules).select("blob", "rule_version", "spans")
+        blobs = blobs.join(ledger.select("blob").distinct(), "blob", "left_anti")
+    found = scan_blobs(blobs.groupBy("blob").agg(F.first("text").alias("text")))
+    new = scratch.keep(found.select("blob", F.lit(rules).alias("rule_version"), "spans"), "ledger")
+    known = new if ledger is None else new.unionByName(ledger)
+    return known.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), new
+
+
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -117,16 +123,17 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULE_VERSION) -> DataFrame:
     """``docs`` with each secret of ``text`` replaced; rows and columns stay, and null stays null.
 
-    Only documents with a finding meet it: the findings, few, are joined by id; the rest pass unchanged.
+    Findings meet the rows by content address, never by id, so rows without an id or with a shared one are
+    redacted by their own text. The blobs with findings, few, are broadcast while counted as such.
     """
-    versions = docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
     scratch = Scratch(docs.sparkSession, "redact")
-    found, _ = scan(versions, ledger, scratch=scratch)
-    hits = scratch.keep(found.filter(F.size("spans") > 0).select(F.col("path").alias("_path"), F.col("spans").alias("_spans")).dropDuplicates(["_path"]), "hits")
-    few = hits.count() <= BROADCAST_IDS
-    joined = docs.join(F.broadcast(hits) if few else hits, F.col("doc_id") == F.col("_path"), "left")
-    text = F.when(F.col("_path").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
+    blob = F.unhex(F.sha2("text", 256))
+    texts = docs.filter("text is not null").select(blob.alias("blob"), "text")
+    hits, _ = scan_unseen(texts, ledger, rules, scratch)
+    hits, seen = scratch.keep_with(hits.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "hits", F.count("*").alias("n"))
+    joined = docs.withColumn("_at", blob).join(F.broadcast(hits) if seen["n"] <= BROADCAST_IDS else hits, F.col("_at") == F.col("_blob"), "left")
+    text = F.when(F.col("_blob").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
     return joined.withColumn("text", text).select(*docs.columns)
