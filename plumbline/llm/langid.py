@@ -2,7 +2,8 @@
 
 Texts are lower-cased, everything but letters becomes one space, and the UTF-8 bytes' trigrams are hashed
 into ``DIM`` cells. Document frequencies are counted over all training rows. Each language's vectors are
-clustered into several centroids (spherical k-means) on at most ``fit_rows`` of its rows, chosen by hash.
+clustered into several centroids (spherical k-means) on at most ``fit_rows`` of its rows, the least by a hash
+of the id, so that every part of the table has its share.
 The nearest centroid by cosine gives the language; a text farther from it than nearly all of the cluster's
 own rows is flagged as rejected.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, rows_of
+from plumbline.llm.common import Scratch, arrow, rows_of
 
 DIM = 4096
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -63,7 +64,7 @@ def _frequencies(train: DataFrame) -> tuple[int, np.ndarray]:
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(np.append(df, n))], names=["cell", "n"])
 
-    got = train.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # DIM + 1 rows
+    got = train.select("text").transform(arrow(run, "cell long, n long")).groupBy("cell").agg(F.sum("n").alias("n")).collect()  # DIM + 1 rows
     out = np.zeros(DIM + 1, np.int64)
     for c, n in got:
         out[c] = n
@@ -97,14 +98,14 @@ def learn(train: DataFrame, scratch: Scratch, clusters: int = 4, fit_rows: int =
         return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
     share = F.create_map(*[v for k in langs for v in (F.lit(k), F.lit(min(1.0, 1.5 * fit_rows / sizes[k])))])
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(u < share[F.col("lang")])
+    sample = rows.withColumn("u", u).filter(F.col("u") < share[F.col("lang")])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").head(fit_rows)
+        pdf = pdf.sort_values(["u", "doc_id"]).head(fit_rows)
         c, least = _cluster(vectors(pdf["text"].tolist(), idf), clusters)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": list(c.astype(np.float64)), "least": least})
 
-    got = sample.select("doc_id", "text", "lang").groupBy("lang").applyInPandas(fit, "lang string, c array<double>, least double").collect()
+    got = sample.select("doc_id", "text", "lang", "u").groupBy("lang").applyInPandas(fit, "lang string, c array<double>, least double").collect()
     got.sort(key=lambda r: r.lang)
     return Model(langs, idf, np.array([r.c for r in got], np.float32), np.array([langs.index(r.lang) for r in got]), np.array([r.least for r in got]))
 
@@ -129,4 +130,4 @@ def predict(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame
                         lang[j] = model.langs[model.owner[k]]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(lang), pa.array(score), pa.array(far)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").transform(arrow(run, "doc_id long, lang_pred string, score double, rejected boolean"))
