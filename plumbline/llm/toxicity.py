@@ -4,8 +4,9 @@ Folding lower-cases, applies compatibility forms, maps homoglyphs to Latin lette
 substitutions before a letter. Weights are learned from all labelled training rows: a first pass counts
 tokens by document, a second counts the distinct contexts (word before, word after) of the candidates by
 class, so that copies of one text, however many, count as one. Exception phrases are two-word contexts of a
-term that occur mostly in clean texts; their hits take the term's weight back. A logistic link on three
-features is fitted on at most ``fit_rows`` rows, the first in md5 order of the id.
+term that occur mostly in clean texts; their hits take the term's weight back. No term or phrase that passes
+the tests is left out. A logistic link on three features is fitted on about ``fit_rows`` rows, chosen by a hash
+of the id. The driver holds the lexicon, which is the model, and those rows' features.
 
 Null and empty texts have no hit and get the score of such texts. Repeated labels of a document count once,
 toxic if any is; documents without a label only get scores. Empty tables give an empty result; with no
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_IDS, Scratch, docs_view, rows_of
+from plumbline.llm.common import BROADCAST_IDS, Scratch, arrow, docs_view, rows_of
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
@@ -133,22 +134,22 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             words = tokens(t)
             count.update((w, y) for w in set(words))
             count["", y] += len(words)
-            if len(count) > 400_000:
+            if len(count) > 150_000:
                 yield flush()
     yield flush()
 
 
-def learn(train: DataFrame, scratch: Scratch, max_candidates: int = 100_000, fit_rows: int = 50_000) -> Lexicon:
-    """Lexicon from ``train(doc_id, text, y)``. ``max_candidates`` bounds the model (by significance), not the rows."""
+def learn(train: DataFrame, scratch: Scratch, fit_rows: int = 50_000) -> Lexicon:
+    """Lexicon from ``train(doc_id, text, y)``."""
     n = {y: k for y, k in train.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
         return Lexicon({}, {}, [0.0] * 3, [1.0] * 3, [0.0] * 3, math.log(prior / (1 - prior)))
-    counts = scratch.keep(train.select("text", "y").mapInArrow(_token_counts, "token string, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "tokens")
+    counts = scratch.keep(train.select("text", "y").transform(arrow(_token_counts, "token string, pos long, neg long")).groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "tokens")
     words = counts.filter("token = ''").first()
     w, z = _log_odds("pos", "neg", n[1], n[0])
     # by size of effect too: significance alone admits ever more common words as the corpus grows
-    cand = counts.filter("token <> '' and pos >= 3").select("token", w.alias("w"), z.alias("z")).filter("z >= 2.5 and w >= 0.5").orderBy(F.desc("z"), "token").limit(max_candidates)
+    cand = counts.filter("token <> '' and pos >= 3").select("token", w.alias("w"), z.alias("z")).filter("z >= 2.5 and w >= 0.5")
     wanted = {r.token for r in cand.collect()}
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +162,18 @@ def learn(train: DataFrame, scratch: Scratch, max_candidates: int = 100_000, fit
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:3]], pa.array(cols[3], pa.int64())], names=["token", "before", "after", "y"])
 
     scratch.drop("tokens")
-    seen = scratch.keep(train.select("text", "y").mapInArrow(contexts, "token string, before string, after string, y long").distinct(), "contexts")
+    seen = scratch.keep(train.select("text", "y").transform(arrow(contexts, "token string, before string, after string, y long")).distinct(), "contexts")
     by = [F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")]
     w, z = _log_odds("pos", "neg", words["pos"], words["neg"])
     kept = scratch.keep(seen.groupBy("token").agg(*by).filter("pos >= 3").select("token", w.alias("w"), z.alias("z")).filter("z >= 4 and w >= 0.7"), "terms")
-    terms = {r.token: r.w for r in kept.collect()}  # at most max_candidates
+    terms = {r.token: r.w for r in kept.collect()}
     sides = seen.select("token", "y", F.explode(F.array(F.concat_ws(" ", "before", "token"), F.concat_ws(" ", "token", "after"))).alias("phrase"), "before", "after")
     clean = sides.join(F.broadcast(kept.select("token")), "token", "left_semi").groupBy("token", "phrase").agg(*by).select("token", "phrase", w.alias("w"), "neg").filter("neg >= 5 and w < 0 and trim(phrase) like '% %'")
-    exceptions = {r.phrase: terms[r.token] for r in clean.orderBy(F.desc("neg"), "phrase").limit(max_candidates).collect()}
+    exceptions = {r.phrase: terms[r.token] for r in clean.collect()}
     scratch.drop("contexts")
     lex = Lexicon(terms, exceptions, [0.0] * 3, [1.0] * 3, [0.0] * 3, 0.0)
-    x = _featured(train, lex, keep="y").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(fit_rows).collect()
+    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) < int(min(1.0, fit_rows / sum(n.values())) * (1 << 30))
+    x = _featured(train.filter(chance), lex, keep="y").collect()  # about fit_rows rows of three numbers
     f, y = np.array([r.f for r in x]), np.array([r.y for r in x], float)
     mean, scale = f.mean(axis=0), np.where(f.std(axis=0) > 1e-9, f.std(axis=0), 1.0)
     a = np.c_[(f - mean) / scale, np.ones(len(f))]
@@ -193,7 +195,7 @@ def _featured(df: DataFrame, lex: Lexicon, keep: str | None = None) -> DataFrame
             f = pa.array([list(features(t, a)) for t in rows_of(b, "text")], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), f, *([b.column(2).cast(pa.int64())] if keep else [])], names=["doc_id", "f", *([keep] if keep else [])])
 
-    return df.select("doc_id", "text", *([keep] if keep else [])).mapInArrow(run, "doc_id long, f array<double>" + (f", {keep} long" if keep else ""))
+    return df.select("doc_id", "text", *([keep] if keep else [])).transform(arrow(run, "doc_id long, f array<double>" + (f", {keep} long" if keep else "")))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def score(docs: DataFrame, lex: Lexicon, threshold: float = 0.3) -> DataFrame:
             s = lex.score(np.array([features(t, a) for t in rows_of(b, "text")]).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs_view(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs_view(docs).transform(arrow(run, "doc_id long, score double, predicted int"))
 
 
 def keep_clean(docs: DataFrame, lex: Lexicon, threshold: float = 0.3) -> DataFrame:
@@ -225,4 +227,4 @@ def keep_clean(docs: DataFrame, lex: Lexicon, threshold: float = 0.3) -> DataFra
             s = lex.score(np.array([features(t, a) for t in rows_of(b, "text")]).reshape(-1, 3))
             yield b.filter(pa.array(s < threshold))
 
-    return docs.select("doc_id", "text", *names).mapInArrow(run, docs.select("doc_id", "text", *names).schema).select(*docs.columns)
+    return docs.select("doc_id", "text", *names).transform(arrow(run, docs.select("doc_id", "text", *names).schema)).select(*docs.columns)
