@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 FIGURE_NAME = r"(?i)^([A-Z]{2}\w+?)_(SHR|OPN)_([A-Z0-9]+)_p(\d{3})_c(\d{2})$"
 ARCH_SUFFIX = r"^(.+?)_arch(\d+)$"
 IMAGE_NAME = r"(?i)\.(png|jpg|jpeg|tif|tiff|bmp|webp)$"
+SAMPLE_NAME = r"(?i)\.(png|jpg|jpeg)$"
 TRUE_WORDS = ("true", "1", "yes")
 
 
@@ -51,8 +52,8 @@ def stem(path: Column) -> Column:
 
 
 def truthy(c: Column, extra: tuple[str, ...] = ()) -> Column:
-    """P10: lower-cased text is one of the true words; null is false."""
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*TRUE_WORDS, *extra), F.lit(False))
+    """P10: lower-cased text is one of the true words, blanks around it not stripped; null is false."""
+    return F.coalesce(F.lower(c.cast("string")).isin(*TRUE_WORDS, *extra), F.lit(False))
 
 
 def first_listed(c: Column, sep: str = ";") -> Column:

@@ -23,8 +23,8 @@ MASKS = "path string, masks array<struct<bbox:array<double>,area:bigint,predicte
 class Encoder(Protocol):
     info: dict
 
-    def hidden_states(self, images: list[bytes]) -> dict[int, np.ndarray]:
-        """Layer to tokens, shaped (images, tokens, dim); the first n_prefix tokens aren't patches."""
+    def hidden_states(self, images: list[bytes], layers: list[int] | None = None) -> dict[int, np.ndarray]:
+        """Layer to tokens, shaped (images, tokens, dim), of the wanted layers or all; the first n_prefix tokens aren't patches."""
 
 
 class HashEncoder:
@@ -37,24 +37,24 @@ class HashEncoder:
             "num_register_tokens": registers, "n_prefix": 1 + registers, "device": "cpu",
         }
 
-    def hidden_states(self, images: list[bytes]) -> dict[int, np.ndarray]:
+    def hidden_states(self, images: list[bytes], layers: list[int] | None = None) -> dict[int, np.ndarray]:
         n = self.info["n_prefix"] + self.patches
 
         def one(b: bytes, layer: int) -> np.ndarray:
             seed = int.from_bytes(hashlib.blake2b(b, digest_size=8, salt=layer.to_bytes(8, "little")).digest(), "little")
             return np.random.default_rng(seed).standard_normal((n, self.dim), dtype=np.float32)
 
-        return {k: np.stack([one(b, k) for b in images]) for k in range(self.info["num_hidden_layers"] + 1)}
+        return {k: np.stack([one(b, k) for b in images]) for k in (range(self.info["num_hidden_layers"] + 1) if layers is None else layers)}
 
 
 def pool(tokens: np.ndarray, how: str, n_prefix: int) -> np.ndarray:
     return tokens[:, 0] if how == "cls" else tokens[:, n_prefix:].mean(axis=1)
 
 
-def encode_images(figures: DataFrame, make: Callable[[], Encoder], layers: list[int], poolings: list[str], batch_size: int = 16) -> DataFrame:
+def encode_images(figures: DataFrame, make: Callable[[], Encoder], layers: list[int], poolings: list[str], batch_size: int = 16, shards: int | None = None) -> DataFrame:
     """T11 from (row_idx, figure_id, patent_id, figure_type, content BINARY). Empty input gives an empty frame.
 
-    ``row_idx`` keeps the order of rows, so shards need no ordered merge.
+    ``row_idx`` keeps the order of rows, so shards need no ordered merge; ``shards`` is how many tasks share them (M3).
     """
     validate_layers(layers, poolings, make().info["num_hidden_layers"])
     meta = ["row_idx", "figure_id", "patent_id", "figure_type"]
@@ -65,13 +65,14 @@ def encode_images(figures: DataFrame, make: Callable[[], Encoder], layers: list[
             model = model or make()
             for i in range(0, len(pdf), batch_size):
                 part = pdf.iloc[i : i + batch_size]
-                states = model.hidden_states([bytes(b or b"") for b in part["content"]])
+                states = model.hidden_states([bytes(b or b"") for b in part["content"]], layers)
                 for layer in layers:
                     for how in poolings:
                         v = pool(states[layer], how, model.info["n_prefix"]).astype(np.float32)
                         yield part[meta].assign(layer=layer, pooling=how, vec=list(v))
 
-    return figures.select(*meta, "content").mapInPandas(run, MATRIX)
+    rows = figures.select(*meta, "content")
+    return (rows.repartition(shards, "row_idx") if shards else rows).mapInPandas(run, MATRIX)
 
 
 def mask_images(images: DataFrame, make: Callable[[], Callable[[bytes], list[dict]]]) -> DataFrame:

@@ -18,10 +18,10 @@ DROP_FIELDS = ("dinoUnderstanding", "footAmbiguous")
 DROP_PATTERN = r"(?i)(quickOverride|humanUncertain|quickCount|Notes?$|_notes$|otherNote)"
 STYLE_FIELDS = ("per", "acSty", "acCol", "bgSty", "bgCol", "parts", "acState", "qualityFlag")
 NON_ATTRIBUTES = (
-    "Patent_ID base_patent_id arch_index n_architectures multi_arch assignee assignee_country priority_year year_bin "
-    "cpc_first cpc_subclass any_uncertain image_path figure_id figure_type path patent_id perspective acSty acCol bgSty "
-    "bgCol parts acState qualityFlag label_source_file ingest_date"
-).split() + ["Publication/Issue Date"]
+    "Patent_ID", "base_patent_id", "arch_index", "n_architectures", "multi_arch", "assignee", "assignee_country", "priority_year", "year_bin",
+    "cpc_first", "cpc_subclass", "any_uncertain", "image_path", "figure_id", "figure_type", "path", "patent_id", "perspective", "acSty", "acCol",
+    "bgSty", "bgCol", "parts", "acState", "qualityFlag", "label_source_file", "ingest_date", "Publication/Issue Date",
+)
 
 
 def pool_long(frames: list[DataFrame]) -> DataFrame:
@@ -88,9 +88,22 @@ def build_wide(long: DataFrame, drop_fields: tuple[str, ...] = DROP_FIELDS) -> D
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the first by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """One row per key, the first by ``order`` (nulls last), combined before the shuffle."""
+    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    rank = F.struct(F.col(f"`{order}`").isNull().alias("none"), F.col(f"`{order}`").alias("o"))
+    got = df.groupBy(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*cols), rank).alias("r"))
+    return got.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def uncertain_flag(df: DataFrame, unsure: DataFrame, key: str = "Patent_ID", out: str = "any_uncertain") -> DataFrame:
+    """Whether the row's key is among ``unsure``."""
+    hit = unsure.select(key).distinct().withColumn("_u", F.lit(True))
+    return df.join(hit, key, "left").withColumn(out, F.coalesce("_u", F.lit(False))).drop("_u")
+
+
+def first_source(long: DataFrame, key: str = "Patent_ID", source: str = "_source_file", order: str = "row_ord", out: str = "label_source_file") -> DataFrame:
+    """The file that a key is first seen in."""
+    return long.groupBy(key).agg(F.min_by(source, order).alias(out))
 
 
 def join_metadata(wide: DataFrame, meta: DataFrame, id_col: str = "Record Number", bins: int = 3, order: str = "row_ord") -> DataFrame:
@@ -150,7 +163,7 @@ def image_table(long: DataFrame, existing_paths: DataFrame | None = None) -> Dat
             "base_patent_id": X.arch_base(pid),
             "arch_index": X.arch_index(F.col("arch"), pid),
             "is_main": X.truthy(F.col("isMain"), ("main",)),
-            "approved": F.coalesce(F.lower(F.trim("status")) == "approved", F.lit(False)),
+            "approved": F.coalesce(F.lower("status") == "approved", F.lit(False)),
         }
     )
     if existing_paths is None:
@@ -167,6 +180,14 @@ def select_main_images(images: DataFrame) -> DataFrame:
     return first.select("base_patent_id", "arch_index", F.col("Image_Path").alias("image_path"), *[F.col(c).alias("perspective" if c == "per" else c) for c in keep])
 
 
+def metadata_counts(canon: DataFrame) -> DataFrame:
+    """A20 of the label export: architectures, patents, rows without metadata, without an image, and unsure ones."""
+    return canon.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("base_patent_id").alias("n_patents"), F.count_if(F.col("assignee").isNull()).alias("n_unmatched"),
+        F.count_if(F.col("image_path").isNotNull()).alias("n_with_image"), F.count_if(F.col("any_uncertain")).alias("n_uncertain"), F.count_if(F.col("multi_arch")).alias("n_multi_arch"),
+    )
+
+
 def image_counts(images: DataFrame) -> DataFrame:
     """How many images, mains, and mains lost for want of a file."""
     return images.agg(
@@ -191,14 +212,12 @@ def build_canonical(
 ) -> tuple[DataFrame, DataFrame]:
     """Entry A: (canonical, images). J2, J4, J5 and F13 (date injected) on top of the parts above."""
     wide = join_metadata(build_wide(long, drop_fields), meta, id_col, year_bins)
-    unsure = long.filter(F.lower("Field").contains("humanuncertain") & X.truthy(F.col("Value"))).select("Patent_ID").distinct().withColumn("_u", F.lit(True))
+    unsure = long.filter(F.lower("Field").contains("humanuncertain") & X.truthy(F.col("Value")))
     images = image_table(long, existing_paths)
     mains = remap_paths(select_main_images(images), manifest)
-    origin = long.groupBy("Patent_ID").agg(F.min_by("_source_file", "row_ord").alias("label_source_file"))
     canon = (
-        wide.join(unsure, "Patent_ID", "left").withColumn("any_uncertain", F.coalesce("_u", F.lit(False))).drop("_u")
-        .join(mains, ["base_patent_id", "arch_index"], "left")
-        .join(origin, "Patent_ID", "left")
+        uncertain_flag(wide, unsure).join(mains, ["base_patent_id", "arch_index"], "left")
+        .join(first_source(long), "Patent_ID", "left")
         .withColumn("ingest_date", F.lit(ingest_date))
     )
     if exclude_uncertain:
@@ -239,14 +258,15 @@ def column_dictionary(df: DataFrame, cols: list[str] | None = None, top: int = 2
     cols = df.columns if cols is None else cols
     kinds = dict(df.dtypes)
     per = melt(df, cols, "column", "v").groupBy("column", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column").orderBy(F.col("v").asc_nulls_last())
+    parts = 64  # each part of a column keeps its own least values, so that no task sorts a whole column
+    w = Window.partitionBy("column", "part").orderBy(F.col("v").asc_nulls_last())
     types = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(kinds[c]))])
     return (
-        per.withColumn("rn", F.row_number().over(w)).groupBy("column")
+        per.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts))).withColumn("rn", F.row_number().over(w)).groupBy("column")
         .agg(
             F.bround(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 1).alias("null_pct"),
             F.count("v").alias("n_unique"),
-            F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= top, F.col("v")))), "; ").alias("observed_values"),
+            F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("rn") <= top, F.col("v")))), 1, top), "; ").alias("observed_values"),
         )
         .withColumn("dtype", types[F.col("column")])
     )
@@ -263,10 +283,10 @@ def validate_canonical(canon: DataFrame, order: str = "Patent_ID") -> DataFrame:
     issue = F.array(*[F.when(c, F.struct(F.lit(i).alias("k"), F.lit(n).alias("issue"), d.cast("string").alias("id"))) for i, (n, c, d) in enumerate(kinds)])
     flat = canon.withColumn("_rn", F.row_number().over(w)).select(F.col(order).alias("_o"), F.explode(F.filter(issue, lambda x: x.isNotNull())).alias("x"))
     shown = flat.groupBy("x.k", "x.issue", "x.id").agg(F.count("*").alias("n"), F.min("_o").alias("_o"))
-    top = Window.partitionBy("k").orderBy("_o", "id")
+    top = Window.partitionBy("k", "part").orderBy("_o", "id")
     return (
-        shown.withColumn("rn", F.row_number().over(top)).groupBy("k", "issue")
-        .agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("rn") <= 10, F.struct("rn", "id")))).alias("d"))
+        shown.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rn", F.row_number().over(top)).groupBy("k", "issue")
+        .agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_list(F.when(F.col("rn") <= 10, F.struct("_o", "id")))), 1, 10).alias("d"))
         .orderBy("k").select("issue", "n", F.array_join(F.transform("d", lambda e: e["id"]), ", ").alias("detail"))
     )
 
@@ -274,7 +294,7 @@ def validate_canonical(canon: DataFrame, order: str = "Patent_ID") -> DataFrame:
 def batch_summary(long: DataFrame) -> DataFrame:
     """Reviewed ids and approvals per file; unresolved can be negative."""
     t1 = long.filter(F.col("Section") == "T1")
-    v = F.lower(F.trim(F.col("Value")))
+    v = F.lower(F.col("Value"))
     is_flag = F.col("Field") == "isApproved"
     return (
         t1.groupBy(F.col("_source_file").alias("batch"))

@@ -48,7 +48,7 @@ def sampled_partner(df: DataFrame, idx: str, cls: str, style: str, seed: int = 4
     It's one sort per class instead of the class squared: the next other style after a run of the same
     style is found by carrying the following run's head backwards.
     """
-    h = F.xxhash64(F.col(idx), F.lit(seed), F.lit(epoch))
+    h = F.md5(F.concat_ws(":", F.col(idx).cast("string"), F.lit(str(seed)), F.lit(str(epoch))))
     rows = df.filter(F.col(cls).isNotNull() & F.col(style).isNotNull()).select(F.col(idx).alias("i"), F.col(cls).alias("c"), F.col(style).alias("s"), h.alias("h"))
     w = Window.partitionBy("c").orderBy("h", "i")
     runs = rows.withColumn("n", F.lead("s").over(w)).withColumn("ni", F.lead("i").over(w))

@@ -1,4 +1,4 @@
-"""Structure analytics of the archived tier: agreement, separation, clustering, probes, verdicts (X-series).
+"""Structure analytics of the archived tier: agreement, separation, clustering, spectra (X-series); probes.py has the rest.
 
 Wherever a pairwise quantity is linear in unit vectors it is computed from group sums, never from
 pairs: mean cosine distance to a group is 1 - u . mean(unit vectors of the group).
@@ -6,10 +6,14 @@ pairs: mean cosine distance to a group is 1 - u . mean(unit vectors of the group
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,17 +102,20 @@ def cosine_silhouette(df: DataFrame, idx: str, label: str, vec: str) -> DataFram
 
 
 def cluster_indices(df: DataFrame, label: str, vec: str) -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin (Euclidean)."""
-    cells = df.select(F.col(label).alias("g"), F.monotonically_increasing_id().alias("r"), F.posexplode(V.as_double(F.col(vec))).alias("pos", "x"))
-    cen = cells.groupBy("g", "pos").agg(F.avg("x").alias("c"), F.count("*").alias("n"))
-    all_ = cells.groupBy("pos").agg(F.avg("x").alias("m"))
-    dist = cells.join(cen, ["g", "pos"]).groupBy("g", "r").agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("d2"))
+    """Calinski-Harabasz and Davies-Bouldin (Euclidean), from class means; rows meet their own class's mean only."""
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("g"), V.as_double(F.col(vec)).alias("x"))
+    mean = vector_to_array(Summarizer.mean(F.col("v"))).alias("c")
+    vecs = rows.select("g", array_to_vector("x").alias("v"))
+    cen = vecs.groupBy("g").agg(mean, F.count("*").alias("n"))
+    centre = vecs.agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("m"))
+    d2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    dist = rows.join(cen, "g").select("g", d2(F.col("x"), F.col("c")).alias("d2"))
     scat = dist.groupBy("g").agg(F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"), F.count("*").alias("n"))
-    between = cen.join(all_, "pos").agg(F.sum(F.col("n") * (F.col("c") - F.col("m")) ** 2).alias("bt"))
-    a, b = cen.alias("a"), cen.alias("b")
-    far = a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.g") != F.col("b.g"))).groupBy(F.col("a.g").alias("i"), F.col("b.g").alias("j")).agg(F.sqrt(F.sum((F.col("a.c") - F.col("b.c")) ** 2)).alias("m"))
-    r = far.join(scat.select(F.col("g").alias("i"), F.col("s").alias("si")), "i").join(scat.select(F.col("g").alias("j"), F.col("s").alias("sj")), "j")
-    db = r.groupBy("i").agg(F.max((F.col("si") + F.col("sj")) / F.col("m")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    between = cen.join(centre, F.lit(True)).agg(F.sum(F.col("n") * d2(F.col("c"), F.col("m"))).alias("bt"))
+    spread = cen.select("g", "c").join(scat.select("g", "s"), "g")
+    a, b = (spread.select(F.col("g").alias(f"g{k}"), F.col("c").alias(f"c{k}"), F.col("s").alias(f"s{k}")) for k in "ab")  # a row a class
+    pairs = a.join(b, F.col("ga") != F.col("gb")).withColumn("r", (F.col("sa") + F.col("sb")) / F.sqrt(d2(F.col("ca"), F.col("cb"))))
+    db = pairs.groupBy("ga").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
     tot = scat.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("k"))
     return tot.join(between, F.lit(True)).join(db, F.lit(True)).select(
         ((F.col("bt") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"), "davies_bouldin"
@@ -132,11 +139,57 @@ def random_baseline(df: DataFrame, vec: str, seed: int = 42) -> DataFrame:
     return df.select(F.transform(V.as_double(F.col(vec)), lambda x: x).alias(vec)).withColumn(vec, F.transform(F.col(vec), lambda x, i: F.randn(seed)))
 
 
-def kmeans_best(df: DataFrame, vec: str, k: int, n_init: int = 20, seed: int = 42) -> DataFrame:
-    """The restart with the least training cost; adds ``cluster``."""
-    x = df.withColumn("_v", array_to_vector(V.as_double(F.col(vec)))).persist()
-    models = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(x) for i in range(n_init)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("_v")
+def kmeans_best(df: DataFrame, vec: str, k: int, n_init: int = 20, seed: int = 42, rounds: int = 50, seed_rows: int = 2000) -> DataFrame:
+    """The restart with the least cost over all rows; adds ``cluster``.
+
+    All restarts move together: a round is one job that sums each restart's clusters, partly in the tasks, so
+    the driver sees n_init x k sums. Seeds are chosen by k-means++ among about ``seed_rows`` rows.
+    """
+    rows = df.select(V.as_double(F.col(vec)).alias("v"))
+    n = rows.count()
+    if not n:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    some = rows.filter(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, seed_rows / n) * (1 << 30))).orderBy("v").collect() or rows.limit(k).collect()
+    x = np.array([r.v for r in some])
+    centres = np.stack([spread_seeds(x, k, np.random.default_rng([seed, i])) for i in range(n_init)])
+    cost = np.full(n_init, np.inf)
+    for _ in range(rounds):
+        here = centres
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, size, cost = np.zeros_like(here), np.zeros(here.shape[:2]), np.zeros(here.shape[:2])  # noqa: B023
+            for b in batches:
+                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+                for i, c in enumerate(here):  # noqa: B023
+                    d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+                    at = d.argmin(axis=1)
+                    np.add.at(sums[i], at, x)
+                    size[i] += np.bincount(at, minlength=k)
+                    cost[i] += np.bincount(at, weights=d.min(axis=1), minlength=k)
+            r, j = np.indices(size.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(j.ravel()), pa.array(size.ravel()), pa.array(cost.ravel()), pa.array(list(sums.reshape(size.size, -1)), pa.list_(pa.float64()))], names=["r", "j", "n", "cost", "s"])
+
+        got = rows.mapInArrow(summed, "r long, j long, n double, cost double, s array<double>").groupBy("r", "j").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).collect()
+        cost, centres = np.zeros(n_init), here.copy()
+        for g in got:
+            cost[g.r] += g.cost
+            if g.n:
+                centres[g.r, g.j] = np.array(g.s) / g.n
+        if np.allclose(centres, here, atol=1e-6):
+            break
+    best = centres[int(cost.argmin())]
+    far = [F.aggregate(F.zip_with(V.as_double(F.col(vec)), F.array(*[F.lit(float(e)) for e in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e) for c in best]
+    d = F.array(*far)
+    return df.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
+
+
+def spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each further centre is drawn by squared distance to the nearest so far."""
+    c = x[[rng.integers(len(x))]]
+    while len(c) < k:
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1)
+        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+    return c
 
 
 def cluster_mix(df: DataFrame, cluster: str, label: str, dominant: float = 0.8) -> DataFrame:
@@ -147,37 +200,6 @@ def cluster_mix(df: DataFrame, cluster: str, label: str, dominant: float = 0.8)
     return g.select(F.col("b").alias("cluster"), "size", frac.alias("dominant_fraction"), F.when(frac >= dominant, F.col("label").cast("string")).otherwise("mixed").alias("composition"))
 
 
-def permutation_separation(df: DataFrame, idx: str, label: str, vec: str, n_perm: int = 20, seed: int = 42) -> DataFrame:
-    """Null distribution of the separation ratio under seeded relabelling; one row of statistics."""
-    base = df.filter(F.col(label).isNotNull()).select(F.col(idx).alias("i"), F.col(label).alias("y"), F.col(vec).alias("v")).persist()
-    observed = separation_ratio(base, "y", "v").first()["sep_ratio"]
-    by_id = base.select("y", F.row_number().over(Window.orderBy("i")).alias("r"))
-    null = []
-    for p in range(n_perm):
-        shuffled = base.select("i", "v", F.row_number().over(Window.orderBy(F.xxhash64("i", F.lit(seed), F.lit(p)), "i")).alias("r"))
-        null.append(separation_ratio(shuffled.join(by_id, "r"), "y", "v").first()["sep_ratio"])
-    d = df.sparkSession.createDataFrame([(float(x),) for x in null], "x double")
-    o = F.lit(float(observed))
-    return d.agg(
-        o.alias("observed"), F.avg("x").alias("null_mean"), ((o - F.avg("x")) / F.stddev_pop("x")).alias("z_score"),
-        ((F.count_if(F.col("x") >= o) + 1) / (F.count("*") + 1)).alias("p_value"), (o - F.avg("x")).alias("effect_size"),
-    )
-
-
-def fold_of(idx: str, folds: int = 5, seed: int = 42):
-    return F.pmod(F.xxhash64(F.col(idx), F.lit(seed)), F.lit(folds)).cast("int")
-
-
-def knn_probe(df: DataFrame, idx: str, label: str, vec: str, k: int = 5, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Cosine k-nearest vote out of fold; accuracy. For bounded evaluation sets (it compares all pairs)."""
-    x = df.select(F.col(idx).alias("i"), F.col(label).alias("y"), V.l2_zero_safe(F.col(vec)).alias("u"), fold_of(idx, folds, seed).alias("f"))
-    a, b = x.alias("a"), x.alias("b")
-    sim = a.join(b, F.col("a.f") != F.col("b.f")).select(F.col("a.i").alias("i"), F.col("a.y").alias("y"), F.col("b.y").alias("w"), V.dot(F.col("a.u"), F.col("b.u")).alias("s"), F.col("b.i").alias("j"))
-    near = sim.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s"), "j"))).filter(F.col("r") <= k)
-    vote = near.groupBy("i", "y", "w").agg(F.count("*").alias("n"), F.sum("s").alias("t")).groupBy("i", "y").agg(F.max_by("w", F.struct("n", "t")).alias("p"))
-    return vote.agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
-
-
 def ridge_probe(df: DataFrame, target: str, vec: str, alpha: float = 10.0) -> DataFrame:
     """Ridge on standardised features; R2 and Spearman of the fit.
 
@@ -186,18 +208,11 @@ def ridge_probe(df: DataFrame, target: str, vec: str, alpha: float = 10.0) -> Da
     y = F.col(target).cast("double")
     x = df.filter(y.isNotNull()).select(y.alias("y"), array_to_vector(V.as_double(F.col(vec))).alias("v"))
     n, sd = x.agg(F.count("*"), F.stddev_pop("y")).first()
-    x = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="features").fit(x).transform(x)
+    x = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="sample").fit(x).transform(x)
+    grow = float(((n - 1) / n) ** -0.5) if n > 1 else 1.0  # the scaler divides by the sample deviation, the definition by the population's
+    x = x.withColumn("features", array_to_vector(F.transform(vector_to_array("sample"), lambda e: e * grow)))
     pred = LinearRegression(labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha * sd / n).fit(x).transform(x)
     rk = lambda c: (F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0)
     res = pred.select("y", "prediction", rk("y").alias("ry"), rk("prediction").alias("rp"))
     mean = x.agg(F.avg("y")).first()[0]
     return res.agg((1 - F.sum((F.col("y") - F.col("prediction")) ** 2) / F.sum((F.col("y") - mean) ** 2)).alias("r2"), F.corr("ry", "rp").alias("spearman"))
-
-
-def verdicts(stats: DataFrame, sep: float = 0.10, auc: float = 0.60) -> DataFrame:
-    """Gates as plain thresholds on measured columns."""
-    return stats.withColumn("signal", (F.col("sep_ratio") - 1 >= sep) & (F.col("probe_auc") >= auc))
-
-
-def vector_array(c: str):
-    return vector_to_array(F.col(c))

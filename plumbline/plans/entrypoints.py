@@ -22,25 +22,37 @@ def label_export(spark: SparkSession, reviews: str, metadata: str, *, ingest_dat
     return {
         "triples": labels.triple_counts(long), "overlaps": labels.overlap_between_files(long), "canonical": canon, "images": images,
         "coverage": labels.coverage_table(canon, only_with_image=True), "issues": labels.validate_canonical(canon),
-        "batches": labels.batch_summary(long), "duplicate_types": labels.duplicate_type_counts(long),
+        "counts": labels.metadata_counts(canon), "image_counts": labels.image_counts(images), "batches": labels.batch_summary(long), "duplicate_types": labels.duplicate_type_counts(long),
     }
 
 
 def frozen_extraction(spark: SparkSession, manifest: str, make: Callable[[], encode.Encoder], layers: list[int], poolings: list[str], *, reviews: str | None = None, scope: str = "all", seed: int = 42) -> dict[str, DataFrame]:
-    """Entry B: figures, their vectors and the gated report. ``reviews`` switches the dedupe to roots on."""
+    """Entry B: figures, their vectors and the gated report; missing files (S17) and duplicates leave with a count.
+
+    ``reviews`` switches the dedupe to roots on.
+    """
     roots = None
     man = readers.processing_manifest(spark, manifest)
     if reviews:
         long = readers.review_long(spark, reviews)
         roots = lineage.duplicate_roots(long.select(F.col("Patent_ID").alias("id")), lineage.duplicate_edges(long))
-    figures = catalog.figures_by_manifest(man, scope, roots=roots)
-    ranked = figures.orderBy("path").select("*", F.monotonically_increasing_id().alias("row_idx"))
-    content = spark.read.format("binaryFile").load([r.path for r in figures.select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().collect()]).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path"), "content"
-    )  # the folders' names only
+    listed = catalog.figures_by_manifest(man, scope)
+    folders = [r.f for r in listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]  # the folders' names only
+    seen = None
+    for f in folders:
+        if readers.matching_files(spark, f):
+            here = readers.image_paths(spark, f).select("path")
+            seen = here if seen is None else seen.unionByName(here)
+    found = listed.join(seen.distinct(), "path", "left_semi") if seen is not None else listed.limit(0)
+    figures = lineage.dedupe_to_roots(found, roots, "patent_id") if roots is not None else found
+    ranked = catalog.with_row_index(figures, "path")
+    content = spark.read.format("binaryFile").load(folders).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     matrix = encode.encode_images(ranked.join(content, "path"), make, layers, poolings)
     report = embeddings.qc_report(matrix, make().info, seed=seed)
-    return {"figures": figures, "matrix": matrix, "report": report, "gate": embeddings.qc_gate(report)}
+    return {
+        "figures": figures, "matrix": matrix, "report": report, "gate": embeddings.qc_gate(report),
+        "missing": catalog.dropped(listed, found), "duplicates": catalog.dropped(found, figures),
+    }
 
 
 def pair_preparation(canon: DataFrame, class_col: str, style_cols: list[str], *, seed: int = 42, epoch: int = 0, min_count: int = 2) -> dict[str, DataFrame]:

@@ -11,7 +11,7 @@ from plumbline.functions import text as X
 from plumbline.functions import vectors as V
 from plumbline.operators import embeddings as E
 from plumbline.operators import labels as L
-from plumbline.operators import lineage, pairs, structure
+from plumbline.operators import catalog, lineage, pairs, probes, structure
 from plumbline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,13 +197,12 @@ def path_remap_last_wins(spark, d):
 
 @query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS any_uncertain FROM documents")
 def uncertain_flag(spark, d):
-    hit = table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct().withColumn("u", F.lit(True))
-    return table(spark, d, "documents").select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.coalesce("u", F.lit(False)).alias("any_uncertain"))
+    return L.uncertain_flag(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").filter("toxic = 1"), "doc_id")
 
 
 @query("SELECT lang, arg_min(source, doc_id) AS label_source_file FROM documents GROUP BY lang")
 def provenance_first(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.min_by("source", "doc_id").alias("label_source_file"))
+    return L.first_source(table(spark, d, "documents"), "lang", "source", "doc_id")
 
 
 @query(
@@ -218,11 +217,15 @@ def quantile_bins(spark, d):
 
 
 @query(
-    "WITH m AS (SELECT unnest(['p_brand', 'p_type', 'p_size']) attribute, unnest([p_brand, p_type, p_size::VARCHAR]) class FROM part) "
-    "SELECT attribute, class, count(*) AS n, 0.0::DOUBLE AS null_pct, count(*) < 15 AS below_min FROM m GROUP BY attribute, class"
+    "WITH p AS (SELECT CASE WHEN p_partkey % 3 > 0 THEN p_brand END p_brand, p_type, CASE WHEN p_partkey % 7 > 0 THEN p_size END p_size FROM part), "
+    "m AS (SELECT unnest(['p_brand', 'p_type', 'p_size']) attribute, unnest([p_brand, p_type, p_size::VARCHAR]) class FROM p), "
+    "s AS (SELECT attribute, round_even(count(*) FILTER (class IS NULL) * 100.0::DOUBLE / count(*), 1) AS null_pct FROM m GROUP BY attribute) "
+    "SELECT attribute, class, count(*) AS n, any_value(null_pct) AS null_pct, count(*) < 15 AS below_min FROM m JOIN s USING (attribute) WHERE class IS NOT NULL GROUP BY attribute, class"
 )
 def coverage_table(spark, d):
-    return L.coverage_table(table(spark, d, "part"), ["p_brand", "p_type", "p_size"])
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").withColumns({"p_brand": F.when(k % 3 > 0, F.col("p_brand")), "p_size": F.when(k % 7 > 0, F.col("p_size"))})
+    return L.coverage_table(p, ["p_brand", "p_type", "p_size"])
 
 
 @query(
@@ -242,11 +245,15 @@ def duplicate_type_counts(spark, d):
 
 
 @query(
-    "WITH m AS (SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_orderkey']) col, unnest([o_orderstatus, o_orderpriority, o_orderkey::VARCHAR]) v FROM orders), u AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) rn FROM (SELECT DISTINCT col, v FROM m)) "
-    "SELECT col AS \"column\", CASE col WHEN 'o_orderkey' THEN 'bigint' ELSE 'string' END AS dtype, 0.0::DOUBLE AS null_pct, count(*) AS n_unique, string_agg(v, '; ' ORDER BY v) FILTER (rn <= 25) AS observed_values FROM u GROUP BY col"
+    "WITH o AS (SELECT o_orderstatus, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END o_orderpriority, o_orderkey FROM orders), "
+    "m AS (SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_orderkey']) col, unnest([o_orderstatus, o_orderpriority, o_orderkey::VARCHAR]) v FROM o), "
+    "s AS (SELECT col, round_even(count(*) FILTER (v IS NULL) * 100.0::DOUBLE / count(*), 1) AS null_pct FROM m GROUP BY col), "
+    "u AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) rn FROM (SELECT DISTINCT col, v FROM m WHERE v IS NOT NULL)) "
+    "SELECT col AS \"column\", CASE col WHEN 'o_orderkey' THEN 'bigint' ELSE 'string' END AS dtype, any_value(null_pct) AS null_pct, count(*) AS n_unique, string_agg(v, '; ' ORDER BY v) FILTER (rn <= 25) AS observed_values FROM u JOIN s USING (col) GROUP BY col"
 )
 def column_dictionary(spark, d):
-    return L.column_dictionary(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority", "o_orderkey"])
+    o = table(spark, d, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")))
+    return L.column_dictionary(o, ["o_orderstatus", "o_orderpriority", "o_orderkey"])
 
 
 @query(
@@ -308,7 +315,10 @@ def positive_pairs(spark, d):
     return pairs.least_partner(table(spark, d, "documents"), "doc_id", "lang", "source")
 
 
-@query()
+@query(
+    "WITH r AS (SELECT doc_id i, lang c, source s, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42:0'), doc_id) p FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) "
+    "SELECT a.i AS anchor, coalesce(arg_min(b.i, b.p) FILTER (b.p > a.p), arg_min(b.i, b.p)) AS partner FROM r a JOIN r b ON a.c = b.c AND a.s <> b.s GROUP BY a.i"
+)
 def sampled_pairs(spark, d):
     """One seeded partner per anchor."""
     return pairs.sampled_partner(table(spark, d, "documents"), "doc_id", "lang", "source")
@@ -389,25 +399,39 @@ def cosine_silhouette(spark, d):
     return rounded(structure.cosine_silhouette(table(spark, d, "embeddings"), "vec_id", "label", "embedding"))
 
 
-@query()
+_LNC = "lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + lgamma(t - n + 1) - lgamma(h - i + 1) - lgamma(t - n - h + i + 1)"
+
+
+@query(
+    "WITH g AS (SELECT source, count(*) n, sum(quality)::BIGINT k FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND quality IS NOT NULL GROUP BY source), "
+    "x AS (SELECT source, n, k, t, h, unnest(range(greatest(0, n + h - t)::BIGINT, least(n, h)::BIGINT + 1)) i FROM g, (SELECT sum(n)::BIGINT t, sum(k)::BIGINT h FROM g)), "
+    f"l AS (SELECT source, n, k, i, {_LNC} lw FROM x), m AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY source)) p FROM l), o AS (SELECT source, any_value(p) FILTER (i = k) po FROM m GROUP BY source) "
+    "SELECT source, any_value(n) AS n, any_value(k) AS k, round(sum(CASE WHEN p <= po * (1 + 1e-7) THEN p ELSE 0 END) / sum(p), 6) AS p_value FROM m JOIN o USING (source) GROUP BY source"
+)
 def fisher_enrichment(spark, d):
     j = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
     return rounded(structure.fisher_enrichment(j, "source", "quality"))
 
 
-@query()
+@query(
+    "WITH c AS (SELECT vec_id r, label g, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) p FROM embeddings), e AS (SELECT g, p, avg(x) c, count(*) n FROM c GROUP BY g, p), a AS (SELECT p, avg(x) m FROM c GROUP BY p), "
+    "d AS (SELECT g, r, sum((x - c) ** 2) d2 FROM c JOIN e USING (g, p) GROUP BY g, r), s AS (SELECT g, avg(sqrt(d2)) s, sum(d2) w, count(*) n FROM d GROUP BY g), b AS (SELECT sum(n * (c - m) ** 2) bt FROM e JOIN a USING (p)), "
+    "f AS (SELECT u.g i, v.g j, sqrt(sum((u.c - v.c) ** 2)) m FROM e u JOIN e v ON u.p = v.p AND u.g <> v.g GROUP BY ALL), q AS (SELECT i, max((x.s + y.s) / m) r FROM f JOIN s x ON x.g = i JOIN s y ON y.g = j GROUP BY i), t AS (SELECT sum(w) w, sum(n) n, count(*) k FROM s) "
+    "SELECT round((bt / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz, (SELECT round(avg(r), 6) FROM q) AS davies_bouldin FROM t, b"
+)
 def cluster_indices(spark, d):
     return rounded(structure.cluster_indices(table(spark, d, "embeddings"), "label", "embedding"))
 
 
 @query()
 def pca_variance(spark, d):
-    return rounded(structure.pca_variance(table(spark, d, "embeddings"), "embedding", 16))
+    """All components."""
+    return rounded(structure.pca_variance(table(spark, d, "embeddings"), "embedding", 64))
 
 
 @query()
 def kmeans_composition(spark, d):
-    x = structure.kmeans_best(table(spark, d, "embeddings"), "embedding", 4, n_init=2)
+    x = structure.kmeans_best(table(spark, d, "embeddings"), "embedding", 4)
     return rounded(structure.cluster_mix(x, "cluster", "label"))
 
 
@@ -418,18 +442,311 @@ def ridge_probe(spark, d):
 
 @query()
 def permutation_separation(spark, d):
-    return rounded(structure.permutation_separation(table(spark, d, "embeddings"), "vec_id", "label", "embedding", n_perm=3))
+    return rounded(probes.permutation_separation(table(spark, d, "embeddings"), "vec_id", "label", "embedding", n_perm=2000))
 
 
-@query("SELECT label AS cluster, count(*) AS size, 1.0::DOUBLE AS dominant_fraction, label::VARCHAR AS composition FROM embeddings GROUP BY label")
-def cluster_mix(spark, d):
-    return structure.cluster_mix(table(spark, d, "embeddings").withColumn("c", F.col("label")), "c", "label")
+@query()
+def knn_probe(spark, d):
+    return rounded(probes.knn_probe(table(spark, d, "embeddings"), "vec_id", "label", "embedding"))
+
+
+@query()
+def logistic_probe(spark, d):
+    y = table(spark, d, "embeddings").withColumn("y", (F.col("label") % 2).cast("int"))
+    return rounded(probes.logistic_probe(y, "vec_id", "y", "embedding", n_perm=200))
 
 
 @query()
+def ridge_out_of_fold(spark, d):
+    return rounded(probes.ridge_cv(table(spark, d, "embeddings"), "vec_id", "label", "embedding"))
+
+
+@query()
+def bootstrap_stability(spark, d):
+    return rounded(probes.bootstrap_stability(table(spark, d, "embeddings"), "vec_id", "label", "embedding", k=4))
+
+
+@query()
+def ward_clusters(spark, d):
+    return probes.ward_clusters(E.seeded_sample(table(spark, d, "embeddings"), "vec_id", 512, 42), "vec_id", "label", "embedding")
+
+
+@query()
+def first_component_gate(spark, d):
+    return rounded(probes.first_component_gate(table(spark, d, "embeddings"), "embedding"))
+
+
+@query(
+    f"WITH {_U}, s AS (SELECT p, sum(x) x FROM (SELECT unnest(v) x, generate_subscripts(v, 1) p FROM u) GROUP BY p), q AS (SELECT sum(list_sum(list_transform(v, lambda x: x * x))) q, count(*) n FROM u) "
+    "SELECT round(1 - ((SELECT sum(x * x) FROM s) - q) / (n * (n - 1)), 6) AS real_mean, 1.0::DOUBLE AS random_mean FROM q"
+)
+def distance_against_random(spark, d):
+    """X4; the random matrix's mean distance is 1 within a hundredth."""
+    return rounded(probes.distance_against_random(table(spark, d, "embeddings"), "embedding")).withColumn("random_mean", F.round("random_mean", 1))
+
+
+@query(
+    "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings), c AS (SELECT a.vec_id i, a.label own, b.label g, avg(sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda k: (a.v[k] - b.v[k]) ** 2)))) d "
+    "FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL), s AS (SELECT i, max(d) FILTER (own = g) a, min(d) FILTER (own <> g) b FROM c GROUP BY i) "
+    "SELECT i AS vec_id, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s"
+)
+def euclidean_silhouette(spark, d):
+    return rounded(probes.euclidean_silhouette(table(spark, d, "embeddings"), "vec_id", "label", "embedding"))
+
+
+@query(
+    "WITH e AS (SELECT CASE WHEN label < 3 THEN 0 ELSE label END c, label, count(*) n FROM embeddings GROUP BY ALL), g AS (SELECT c, sum(n)::BIGINT size, max(n) / sum(n) f, arg_max(label, n) l FROM e GROUP BY c) "
+    "SELECT c AS cluster, size, round(f, 6) AS dominant_fraction, CASE WHEN f >= 0.8 THEN l::VARCHAR ELSE 'mixed' END AS composition FROM g"
+)
+def cluster_mix(spark, d):
+    c = F.when(F.col("label") < 3, 0).otherwise(F.col("label"))
+    return rounded(structure.cluster_mix(table(spark, d, "embeddings").withColumn("c", c), "c", "label"))
+
+
+class LengthEncoder:
+    """Stand-in whose tokens SQL can state: content length modulo 97, plus layer, plus token times dimension."""
+
+    info = {"variant": "length", "num_hidden_layers": 2, "hidden_dim": 4, "num_register_tokens": 0, "n_prefix": 1}
+
+    def hidden_states(self, images, layers=None):
+        import numpy as np
+
+        size = np.array([len(b) % 97 for b in images], float)[:, None, None]
+        grid = np.arange(5)[:, None] * np.arange(4)[None]
+        return {k: size + k + grid for k in (range(3) if layers is None else layers)}
+
+
+@query(
+    "WITH s AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) % 97 n FROM documents), l AS (SELECT unnest([1, 2])::INTEGER AS layer), j AS (SELECT unnest(range(0, 4))::INTEGER AS pos) "
+    "SELECT doc_id AS row_idx, doc_id::VARCHAR AS figure_id, source AS patent_id, 'main' AS figure_type, layer, p.pooling, pos, round(n + layer + CASE WHEN p.pooling = 'cls' THEN 0 ELSE 2.5 * pos END, 6)::DOUBLE AS value "
+    "FROM s, l, j, (SELECT unnest(['cls', 'mean_patch']) AS pooling) p"
+)
 def encoded_matrix(spark, d):
-    """M2 with the stand-in encoder over document texts as content."""
-    from plumbline.operators.encode import HashEncoder, encode_images
+    """M2, V4, V5, A24 over document texts as content."""
+    from plumbline.operators.encode import encode_images
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("doc_id").cast("string").alias("figure_id"), F.col("source").alias("patent_id"), F.lit("main").alias("figure_type"), F.encode("text", "utf-8").alias("content"))
-    return encode_images(docs, lambda: HashEncoder(dim=8, layers=2), [1, 2], ["cls", "mean_patch"])
+    m = encode_images(docs, LengthEncoder, [1, 2], ["cls", "mean_patch"])
+    return rounded(m.select("row_idx", "figure_id", "patent_id", "figure_type", "layer", "pooling", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.col("value").cast("double")))
+
+
+def _two_masks(content: bytes) -> list[dict]:
+    n = len(content)
+    return [{"bbox": [0.0, 0.0, 1.0, float(k)], "area": n // k, "predicted_iou": 0.5, "stability_score": 1.0} for k in (3, 1, 2)]
+
+
+@query("WITH s AS (SELECT source || '/' || doc_id AS path, octet_length(encode(coalesce(text, ''))) n FROM documents) SELECT path, k::INTEGER AS rank, (n // (k + 1))::BIGINT AS area FROM s, range(0, 3) r(k)")
+def mask_images(spark, d):
+    """Records by area, largest first."""
+    from plumbline.operators.encode import mask_images as masks
+
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.encode("text", "utf-8").alias("content"))
+    return masks(docs, lambda: _two_masks).select("path", F.posexplode("masks").alias("rank", "m")).select("path", "rank", F.col("m.area").alias("area"))
+
+
+# Fields by turn, with what P1 drops and keeps among them.
+_FIELDS = ["dinoUnderstanding", "aQuickOverride", "Notes", "wing_notes", "tail", "Notes2"]
+
+
+@query(
+    f"WITH r AS (SELECT ['G1', 'M1', 'M2', 'M3', 'T1'][doc_id % 5 + 1] s, CASE WHEN doc_id % 7 < 6 THEN {_FIELDS}[doc_id % 7 + 1] END f FROM documents) "
+    "SELECT s AS \"Section\", f AS \"Field\", count(*) AS n FROM r WHERE s <> 'T1' AND (f IS NULL OR f IN ('tail', 'Notes2')) GROUP BY ALL"
+)
+def design_rows(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        F.get(F.array(*map(F.lit, ["G1", "M1", "M2", "M3", "T1"])), (k % 5).cast("int")).alias("Section"), F.get(F.array(*map(F.lit, _FIELDS)), (k % 7).cast("int")).alias("Field")
+    )
+    return L.design_rows(rows).groupBy("Section", "Field").agg(F.count("*").alias("n"))
+
+
+def image_rows(spark, d) -> DataFrame:
+    """T2 rows from line items: values that are true, approved and neither, some with blanks around them."""
+    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    fields = {
+        "isMain": F.when(n % 3 == 0, "Main").when(n % 3 == 1, F.when(F.col("l_partkey") % 2 == 0, "TRUE").otherwise(" true")).otherwise("no"),
+        "status": F.when(F.col("l_returnflag") == "N", "Approved").when(F.col("l_returnflag") == "A", " approved").otherwise(F.lit(None).cast("string")),
+        "per": F.col("l_linestatus"),
+    }
+    pid = F.concat(F.lit("US"), "l_orderkey", F.when(n % 2 == 0, "_arch2").otherwise(""))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("Field"), v.alias("Value")) for k, v in fields.items()])).alias("c")
+    return li.select(pid.alias("Patent_ID"), F.lit("T2").alias("Section"), F.concat(F.lit("img/"), "l_partkey").alias("Image_Path"), n.cast("long").alias("row_ord"), cells).select("*", "c.*").drop("c")
+
+
+_T2 = (
+    "t AS (SELECT 'US' || l_orderkey || CASE WHEN l_linenumber % 2 = 0 THEN '_arch2' ELSE '' END pid, 'US' || l_orderkey base, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END::INTEGER arch, 'img/' || l_partkey path, l_linenumber o, "
+    "CASE l_linenumber % 3 WHEN 0 THEN 'Main' WHEN 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'TRUE' ELSE ' true' END ELSE 'no' END m, CASE l_returnflag WHEN 'N' THEN 'Approved' WHEN 'A' THEN ' approved' END s, l_linestatus v, l_partkey k FROM lineitem), "
+    "i AS (SELECT pid, base, arch, path, any_value(k) % 5 <> 0 AS image_exists, coalesce(lower(arg_min(m, o)) IN ('true', '1', 'yes', 'main'), false) AS is_main, coalesce(lower(arg_min(s, o)) = 'approved', false) AS approved, arg_min(v, o) AS per FROM t GROUP BY pid, base, arch, path)"
+)
+
+
+def _images(spark, d) -> DataFrame:
+    there = table(spark, d, "lineitem").filter("l_partkey % 5 <> 0").select(F.concat(F.lit("img/"), "l_partkey").alias("path"))
+    return L.image_table(image_rows(spark, d), there)
+
+
+@query(f'WITH {_T2} SELECT pid AS "Patent_ID", path AS "Image_Path", base AS base_patent_id, arch AS arch_index, is_main, approved, image_exists FROM i')
+def image_table(spark, d):
+    return _images(spark, d).select("Patent_ID", "Image_Path", "base_patent_id", "arch_index", "is_main", "approved", "image_exists")
+
+
+@query(f"WITH {_T2} SELECT base AS base_patent_id, arch AS arch_index, min(path) AS image_path, arg_min(per, path) AS perspective FROM i WHERE is_main AND approved AND image_exists GROUP BY ALL")
+def main_images(spark, d):
+    return L.select_main_images(_images(spark, d))
+
+
+@query(f"WITH {_T2} SELECT count(*) AS n_images, count(*) FILTER (is_main AND approved) AS n_main, count(*) FILTER (is_main AND approved AND NOT image_exists) AS n_main_missing FROM i")
+def image_counts(spark, d):
+    return L.image_counts(_images(spark, d))
+
+
+def _canonical(spark, d) -> DataFrame:
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    pid = F.concat(F.lit("US"), k, F.when(k % 3 == 0, "_arch2").otherwise(""))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("Field"), F.col(c).alias("Value")) for f, c in (("state", "o_orderstatus"), ("prio", "o_orderpriority"))], F.when(k % 11 == 0, F.struct(F.lit("aHumanUncertain").alias("Field"), F.lit("Yes").alias("Value"))))).alias("c")
+    design = o.select(pid.alias("Patent_ID"), F.lit("G1").alias("Section"), F.lit(None).cast("string").alias("Image_Path"), F.col("o_custkey").cast("long").alias("row_ord"), F.concat(F.lit("f"), k % 4).alias("_source_file"), cells)
+    design = design.filter("c is not null").select("*", "c.*").drop("c")
+    long = L.pool_long([design, image_rows(spark, d).withColumn("_source_file", F.lit("z"))])
+    meta = o.filter(k % 4 != 0).select(F.concat(F.lit("US"), k).alias("Record Number"), F.concat(F.lit("c"), "o_custkey").alias("Assignee"), F.year("o_orderdate").cast("string").alias("Priority Year"), k.alias("row_ord"))
+    there = table(spark, d, "lineitem").filter("l_partkey % 5 <> 0").select(F.concat(F.lit("img/"), "l_partkey").alias("path"))
+    return L.build_canonical(long, meta, existing_paths=there, ingest_date="2026-01-01")[0]
+
+
+_CANON = (
+    f"{_T2}, m AS (SELECT base, arch, min(path) image_path FROM i WHERE is_main AND approved AND image_exists GROUP BY ALL), "
+    "c AS (SELECT 'US' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '_arch2' ELSE '' END pid, 'US' || o_orderkey base_patent_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::INTEGER arch_index, o_orderstatus st, o_orderpriority pr, o_orderkey % 11 = 0 any_uncertain, "
+    "CASE WHEN o_orderkey % 4 <> 0 THEN 'c' || o_custkey END assignee FROM orders), "
+    "r AS (SELECT c.*, image_path FROM c LEFT JOIN m ON base = base_patent_id AND arch = arch_index)"
+)
+
+
+@query(
+    f"WITH {_CANON} SELECT pid AS \"Patent_ID\", base_patent_id, arch_index, 1::INTEGER AS n_architectures, st AS \"G1_state\", pr AS \"G1_prio\", assignee, any_uncertain, image_path FROM r"
+)
+def canonical_table(spark, d):
+    """Entry A in whole: P1, J1, J2, J5, P8, W1 to W4."""
+    return _canonical(spark, d).select("Patent_ID", "base_patent_id", "arch_index", "n_architectures", "G1_state", "G1_prio", "assignee", "any_uncertain", "image_path")
+
+
+@query(
+    f"WITH {_CANON} SELECT count(*) AS n_rows, count(DISTINCT base_patent_id) AS n_patents, count(*) FILTER (assignee IS NULL) AS n_unmatched, count(image_path) AS n_with_image, count(*) FILTER (any_uncertain) AS n_uncertain, 0::BIGINT AS n_multi_arch FROM r"
+)
+def metadata_counts(spark, d):
+    return L.metadata_counts(_canonical(spark, d))
+
+
+@query("SELECT unnest(['wing', 'G1_tail', 'Section']) AS attribute")
+def attribute_columns(spark, d):
+    """What isn't bookkeeping."""
+    one = table(spark, d, "region").select(*[F.lit(1).alias(c) for c in ("Patent_ID", "wing", "arch_index", "G1_tail", "year_bin", "Section", "perspective", "ingest_date")])
+    return spark.createDataFrame([(c,) for c in L.attribute_columns(one)], "attribute string")
+
+
+@query(
+    "WITH e AS (SELECT lang FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id % 3 > 0 GROUP BY lang HAVING count(*) >= 2 AND count(DISTINCT source) >= 2) "
+    "SELECT doc_id::VARCHAR AS patent_id, 'x/' || doc_id || '.png' AS path, doc_id || '.png' AS figure_id, lang, source AS style_key, 'main' AS figure_type FROM documents JOIN e USING (lang) WHERE source IS NOT NULL AND doc_id % 3 > 0"
+)
+def pair_table(spark, d):
+    """P13, F7, A9, J12."""
+    k = F.col("doc_id")
+    canon = table(spark, d, "documents").select(k.cast("string").alias("base_patent_id"), F.lit(1).alias("arch_index"), F.when(k % 3 > 0, F.concat(F.lit("x/"), k, F.lit(".png"))).alias("image_path"), "lang", "source")
+    return pairs.pair_table(canon, "lang", ["source"]).select("patent_id", "path", "figure_id", "lang", "style_key", "figure_type")
+
+
+@query("SELECT (user_id % 10)::INTEGER AS epoch, round(avg(value), 6) AS avg_loss FROM events GROUP BY 1")
+def epoch_loss(spark, d):
+    return rounded(pairs.epoch_loss(table(spark, d, "events").select((F.col("user_id") % 10).cast("int").alias("epoch"), F.col("value").alias("loss"))))
+
+
+def _paths(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("odd "), k)).otherwise(F.concat(F.lit("us"), k, F.lit("_"), F.when(k % 2 == 0, "shr").otherwise("OPN"), F.lit("_b64c"), F.col("p_size"), F.lit("_p"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("_c01")))
+    return table(spark, d, "part").select(F.concat(F.lit("a/b/"), name, F.when(k % 5 == 0, ".TXT").otherwise(".Png")).alias("path"))
+
+
+_FIGURES = (
+    "n AS (SELECT p_partkey k, CASE WHEN p_partkey % 7 = 0 THEN 'odd ' || p_partkey ELSE 'us' || p_partkey || '_' || CASE WHEN p_partkey % 2 = 0 THEN 'shr' ELSE 'OPN' END || '_b64c' || p_size || '_p' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '_c01' END s FROM part WHERE p_partkey % 5 <> 0), "
+    "f AS (SELECT s || '.Png' AS figure_id, CASE WHEN k % 7 = 0 THEN s ELSE 'us' || k END AS patent_id, CASE WHEN k % 7 > 0 THEN CASE WHEN k % 2 = 0 THEN 'SHR' ELSE 'OPN' END END AS shrouded_open, "
+    "CASE WHEN k % 7 > 0 THEN upper(split_part(s, '_', 3)) END AS cpc, CASE WHEN k % 7 > 0 THEN split_part(s, '_', 4) || '_c01' END AS figure_type, 'a/b/' || s || '.Png' AS path FROM n)"
+)
+
+
+@query(f"WITH {_FIGURES} SELECT *, CASE shrouded_open WHEN 'SHR' THEN 1 WHEN 'OPN' THEN 0 END::INTEGER AS y FROM f")
+def figures_by_name(spark, d):
+    """T5 with X1's labels: figure_id is the file's name, with its suffix."""
+    return probes.binary_labels(catalog.figures_by_name(_paths(spark, d)))
+
+
+@query(f"WITH {_FIGURES} SELECT count(*) AS n_figures, count(DISTINCT patent_id) AS n_patents, count(*) FILTER (shrouded_open IS NULL) AS n_unparsed FROM f")
+def catalogue_counts(spark, d):
+    return catalog.catalogue_counts(catalog.figures_by_name(_paths(spark, d)))
+
+
+def _manifest(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("raw/"), k).alias("src_path"), F.when(k % 2 == 0, F.concat(F.lit("m/"), k, F.lit(".png"))).alias("dst_main"), F.concat(F.lit("all/"), k, F.lit(".png")).alias("dst_all"),
+        F.when(k % 5 > 0, k % 3 > 0).alias("processed"), F.concat(F.lit("US"), "o_custkey").alias("base_patent_id"), F.when(k % 4 > 0, k % 4 == 1).alias("is_main"), F.col("o_orderstatus").alias("bg_sty"),
+    )
+
+
+@query(
+    "SELECT o_orderkey || '.png' AS figure_id, 'US' || o_custkey AS patent_id, CASE WHEN o_orderkey % 4 IN (0, 1) THEN 'main' ELSE 'other' END AS figure_type, 'm/' || o_orderkey || '.png' AS path, o_orderkey % 4 IN (0, 1) AS is_main, o_orderstatus AS bg_sty "
+    "FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 5 > 0 AND o_orderkey % 3 > 0"
+)
+def figures_by_manifest(spark, d):
+    return catalog.figures_by_manifest(_manifest(spark, d), "main").select("figure_id", "patent_id", "figure_type", "path", "is_main", "bg_sty")
+
+
+@query(
+    "WITH f AS (SELECT 'US' || o_custkey p, o_orderkey % 7 > 0 AS there FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 3 > 0) "
+    "SELECT count(*) FILTER (NOT there) AS n_dropped_figures, count(DISTINCT p) - count(DISTINCT p) FILTER (there) AS n_dropped_patents FROM f"
+)
+def missing_files(spark, d):
+    """Figures whose file is absent leave with a count."""
+    m = _manifest(spark, d)
+    there = m.filter(F.substring("src_path", 5, 20).cast("long") % 7 > 0).select(F.col("dst_all").alias("path"))
+    return catalog.dropped(catalog.figures_by_manifest(m), catalog.figures_by_manifest(m, existing_paths=there))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders")
+def row_index(spark, d):
+    """J15's numbering: no gaps, whatever the partitions."""
+    return catalog.with_row_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(
+    "SELECT o_orderkey AS patent_id, year(o_orderdate)::INTEGER AS filing_year, CASE WHEN o_orderkey % 4 > 0 THEN regexp_matches('c' || o_custkey, '[37]$')::INTEGER END AS is_bell FROM orders WHERE o_orderkey % 4 > 0 "
+    "UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 4 = 0"
+)
+def derived_confounds(spark, d):
+    return _confounds(spark, d).select("patent_id", "filing_year", "is_bell")
+
+
+def _confounds(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    facts = o.filter("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("patent_id"), F.col("o_orderdate").alias("priority_date"), F.concat(F.lit("c"), "o_custkey").alias("assignee"))
+    return probes.derive_confounds(o.select(F.col("o_orderkey").alias("patent_id"), F.col("o_orderstatus").alias("status")), facts, pattern="[37]$")
+
+
+@query(
+    "WITH c AS (SELECT o_orderstatus AS label, year(o_orderdate)::DOUBLE y, regexp_matches('c' || o_custkey, '[37]$')::INTEGER::DOUBLE b, o_orderkey % 4 > 0 k FROM orders), l AS (SELECT label, unnest(['filing_year', 'is_bell']) AS confound, unnest([CASE WHEN k THEN y END, CASE WHEN k THEN b END]) v FROM c) "
+    "SELECT confound, label, count(v) AS n, round(avg(v), 6) AS mean FROM l GROUP BY ALL"
+)
+def confound_presence(spark, d):
+    return rounded(probes.confound_presence(_confounds(spark, d), "status", ["filing_year", "is_bell"]))
+
+
+@query("SELECT o_orderstatus, arg_min(o_orderkey, (-o_totalprice, o_orderkey)) AS o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY o_orderstatus")
+def best_rows(spark, d):
+    return probes.best_row(table(spark, d, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], ["o_orderstatus"])
+
+
+@query(
+    "WITH m AS (SELECT unnest(['silhouette', 'davies_bouldin', 'pc1_ratio', 'dominant_share', 'p_sep', 'probe_auc']) AS measure, unnest([0.15, 1.9, 3.0, 0.91, 0.04, NULL])::DOUBLE AS value) "
+    "SELECT measure, value, CASE measure WHEN 'davies_bouldin' THEN '<' WHEN 'p_sep' THEN '<' WHEN 'pc1_ratio' THEN '>=' WHEN 'dominant_share' THEN '<=' ELSE '>' END AS sign, CASE measure WHEN 'silhouette' THEN 0.15 WHEN 'davies_bouldin' THEN 2.0 WHEN 'pc1_ratio' THEN 3.0 WHEN 'dominant_share' THEN 0.9 WHEN 'p_sep' THEN 0.05 ELSE 0.65 END::DOUBLE AS \"limit\", measure IN ('davies_bouldin', 'pc1_ratio', 'p_sep') AS passed FROM m"
+)
+def verdict_gates(spark, d):
+    """X20."""
+    rows = [("silhouette", 0.15), ("davies_bouldin", 1.9), ("pc1_ratio", 3.0), ("dominant_share", 0.91), ("p_sep", 0.04), ("probe_auc", None)]
+    return probes.gates(spark.createDataFrame(rows, "measure string, value double"))

@@ -7,6 +7,7 @@ The Python data sources open files by path, so they read from folders every exec
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 import zipfile
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from plumbline.functions.text import IMAGE_NAME
+from plumbline.functions.text import IMAGE_NAME, SAMPLE_NAME
 from plumbline.schemas import PROCESSING_MANIFEST, REVIEW_LONG
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -191,32 +192,82 @@ def review_long(spark: SparkSession, pattern: str, sheet: str = "Review") -> Dat
     return spark.read.format("xlsx").schema(REVIEW_LONG).option("path", pattern).option("sheet", sheet).load()
 
 
-def sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Chosen columns of a workbook's first sheet, as text, with row_ord."""
+def sheet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Chosen columns of a workbook's first sheet, or all of them, as text, with row_ord."""
     register(spark)
+    columns = sheet_columns(path) if columns is None else columns
     fields = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.format("xlsx").schema(f"{fields}, row_ord long").option("path", path).load()
 
 
+def matching_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, in order, in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(s.getPath().toString() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
+def csv_by_header(spark: SparkSession, pattern: str) -> DataFrame:
+    """A CSV glob in file order, each file's columns found by its own header; what a file lacks is null there. All text."""
+    files = matching_files(spark, pattern)
+    if not files:
+        raise FileNotFoundError(pattern)
+    out = None
+    for i, f in enumerate(files):
+        df = spark.read.option("header", True).csv(f).withColumn("row_ord", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row")))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def processing_manifest(spark: SparkSession, pattern: str, soft: bool = False) -> DataFrame | None:
-    """Typed CSV glob in file order; ``soft`` returns None where no file matches."""
-    try:
-        df = spark.read.schema(PROCESSING_MANIFEST).option("header", True).option("enforceSchema", False).csv(pattern)
-    except Exception as e:
-        if soft and "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    order = F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id())
-    return df.select("*", order.alias("row_ord"))
+    """Manifests of a glob by their headers, columns in any order, the optional ones absent or not.
+
+    ``soft`` returns None where no file matches. Truth is what a typed CSV column holds: true or 1.
+    """
+    if soft and not matching_files(spark, pattern):
+        return None
+    df = csv_by_header(spark, pattern)
+    truth = lambda c: F.lower(F.col(c)).isin("true", "1", "1.0")
+    kinds = {f.name: f.dataType.simpleString() for f in PROCESSING_MANIFEST.fields}
+    have = [truth(c).alias(c) if t == "boolean" else F.col(c) for c, t in kinds.items() if c in df.columns]
+    lack = [F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in df.columns]
+    return df.select(*have, *lack, "row_ord")
+
+
+def stage_result(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A report that a stage wrote as CSV, with the types of ``schema`` or those found in it."""
+    r = spark.read.option("header", True)
+    return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(path)
+
+
+def configured_reviews(cfg: dict) -> str:
+    """The glob of review sheets, or where it isn't set the single file of the older configuration."""
+    taxonomy = cfg.get("taxonomy") or {}
+    found = taxonomy.get("wizard_excel_glob") or taxonomy.get("wizard_excel")
+    if not found:
+        raise ValueError("neither taxonomy.wizard_excel_glob nor taxonomy.wizard_excel is set")
+    return str(found)
+
+
+def sheet_columns(path: str, sheet_name: str | None = None) -> list[str]:
+    """The header of a workbook's sheet, for a scan of all of it."""
+    return [c for c in next(sheet_rows(path, sheet_name), []) if c is not None]
 
 
 def image_paths(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Image files, empty ones too, sorted by path."""
+    """Image files of a folder and below, empty ones too, sorted by path."""
     register(spark)
     df = spark.read.format("listing").option("path", folder).option("recursive", str(recursive).lower()).load()
     return df.filter(F.col("path").rlike(IMAGE_NAME)).orderBy("path")
 
 
+def sample_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Png and jpeg files of a folder itself, sorted by path; none is an error."""
+    df = image_paths(spark, folder, recursive=False).filter(F.col("path").rlike(SAMPLE_NAME))
+    if not df.limit(1).count():
+        raise FileNotFoundError(f"no png or jpeg files in {folder}")
+    return df
+
+
 def image_bytes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """Path and content; the decode itself belongs to the model."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
@@ -229,3 +280,9 @@ def embedding_bundle(spark: SparkSession, folder: str, layers: list[int], poolin
     o = {"path": folder, "layers": ",".join(map(str, layers)), "poolings": ",".join(poolings)}
     m = spark.read.format("npy").options(**o).load()
     return spark.read.parquet(os.path.join(folder, "metadata.parquet")).join(m, "row_idx")
+
+
+def model_info(spark: SparkSession, folder: str) -> dict:
+    """The facts beside a bundle's matrices; {} where there are none."""
+    files = matching_files(spark, f"{folder}/model_info.json")
+    return json.loads("\n".join(r.value for r in spark.read.text(files[0], wholetext=True).collect())) if files else {}

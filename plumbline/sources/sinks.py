@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators.labels import column_dictionary
@@ -30,6 +32,36 @@ def save_matrix(matrix: DataFrame, folder: str, info: dict) -> None:
     write_text(matrix.sparkSession, f"{folder}/model_info.json", json.dumps(info, indent=1))
 
 
+def export_npy(matrix: DataFrame, folder: str, max_rows: int = 1_000_000) -> list[str]:
+    """K1: one ``emb_layer<L>_<pooling>.npy`` per matrix and metadata.parquet, in order of row_idx; for hand-over, so bounded."""
+    os.makedirs(folder, exist_ok=True)
+    names = []
+    for layer, how, n in sorted(tuple(r) for r in matrix.groupBy("layer", "pooling").count().collect()):  # the matrices' names
+        if n > max_rows:
+            raise ValueError(f"{n} rows in one file; export at most {max_rows}, or use save_matrix")
+        rows = matrix.filter((matrix.layer == layer) & (matrix.pooling == how)).select("row_idx", "vec").orderBy("row_idx").toLocalIterator()
+        names.append(f"emb_layer{layer}_{how}.npy")
+        np.save(os.path.join(folder, names[-1]), np.array([r.vec for r in rows], np.float32))
+    meta = [c for c in matrix.columns if c not in ("layer", "pooling", "vec")]
+    matrix.select(*meta).dropDuplicates(["row_idx"]).write.mode("overwrite").parquet(os.path.join(folder, "metadata.parquet"))
+    return names
+
+
+def append_loss(spark: SparkSession, path: str, epoch: int, losses: list[float]) -> None:
+    """K8: one epoch's batch losses to the history that ``pairs.epoch_loss`` reads; an epoch written again replaces itself."""
+    rows = spark.createDataFrame([(epoch, i, float(x)) for i, x in enumerate(losses)], "epoch int, batch int, loss double")
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/epoch_{epoch:03d}")
+
+
+def loss_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("epoch int, batch int, loss double").option("header", True).csv(f"{path}/epoch_*")
+
+
+def save_masks(masks: DataFrame, folder: str) -> None:
+    """K9: mask records as JSON lines, a row an image."""
+    masks.write.mode("overwrite").json(folder)
+
+
 def load_matrix(spark: SparkSession, folder: str, layers: list[int], poolings: list[str]) -> DataFrame:
     df = spark.read.parquet(f"{folder}/vectors")
     return df.filter(df.layer.isin(layers) & df.pooling.isin(poolings))

@@ -69,7 +69,7 @@ def test_canonical_end_to_end(spark):
 
 def test_manifest_rules(spark):
     m = spark.createDataFrame([("s1", "m1/x.png", None, True, "P", False), ("s2", None, "a/y.png", True, "Q", None), ("s3", "z", "z", None, "R", True)], "src_path string, dst_main string, dst_all string, processed boolean, base_patent_id string, is_main boolean")
-    assert [(r.figure_id, r.figure_type, r.bg_sty) for r in catalog.figures_by_manifest(m).collect()] == [("y", "main", None)]
+    assert [(r.figure_id, r.figure_type, r.bg_sty) for r in catalog.figures_by_manifest(m).collect()] == [("y.png", "main", None)]
     assert [r.path for r in catalog.figures_by_manifest(m, "main").collect()] == ["m1/x.png"]
     with pytest.raises(KeyError):
         catalog.figures_by_manifest(m, "other")
