@@ -6,6 +6,7 @@ speculative task writes the same bytes under another temporary name, so a lost e
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 
@@ -30,7 +31,20 @@ def put(base: str, name: str, a: np.ndarray) -> None:
 
 
 def get(base: str, name: str, mapped: bool = True) -> np.ndarray:
-    return np.load(f"{base}/{name}.npy", mmap_mode="r" if mapped else None)
+    """The array; mapped without keeping its file open, so that any number of arrays may be mapped at once."""
+    path = f"{base}/{name}.npy"
+    if not mapped:
+        return np.load(path)
+    with open(path, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, _, kind = read(f)
+        n = int(np.prod(shape))
+        if not n:
+            return np.empty(shape, kind)
+        at = f.tell()
+        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    return np.frombuffer(m, kind, n, at).reshape(shape)
 
 
 def has(base: str, name: str) -> bool:

@@ -212,8 +212,14 @@ def test_containment_is_exact(spark, docs, empty):
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     want = {(i, j): len(sh(t) & sh(u)) / len(sh(u)) for i, t in TEXTS for j, u in items if sh(u) and len(sh(t) & sh(u)) / len(sh(u)) >= 0.8}
-    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.containment(docs.dropDuplicates(["doc_id"]), table).collect()}
-    assert got == pytest.approx(want) and want
+    found = decontaminate.containment(docs, table).collect()
+    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
+    assert {(r.doc_id, r.item_id): r.containment for r in found} == pytest.approx(want) and want
+    shared_id = docs.filter("doc_id in (1, 11)").withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.filter("doc_id = 2")).unionByName(docs.filter("doc_id = 2"))
+    again = decontaminate.containment(shared_id, table).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.containment) for r in again) == sorted((i, j, c) for d, i in ((1, 0), (11, 0), (2, 2)) for (e, j), c in want.items() if e == d)
+    left = decontaminate.decontaminated(docs, table)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, _ in TEXTS if not any(i == d for d, _ in want))
     assert decontaminate.containment(empty, table).count() == 0
     assert decontaminate.containment(docs, table.limit(0)).count() == 0
 
@@ -297,6 +303,18 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.mix(mixing.sizes(docs.filter("text is null or text = ''"))).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_keeps_every_row(spark):
+    """Rows with the same id, without one, and repeated whole: each is there once, with its own words."""
+    rows = [(None, "a", 40), (None, "a", 40), (7, "a", 30), (7, "a", 30), (7, "b", 50), (8, "b", 0), (9, None, 20)]
+    got = [(r.doc_id, r.source, r.size, r.taken) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), block=4, shard_tokens=60).collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((r[:3] for r in got), key=key) == sorted(rows, key=key) and all(0 <= r[3] <= 2 * r[2] for r in got)
+    text = " ".join(["w"] * 40)
+    docs = spark.createDataFrame([(i, text, s, 1.5) for i, s in ((None, "a"), (None, "a"), (3, "b"))], "doc_id long, text string, source string, target double")
+    out = mixing.mixed(docs, share=10.0)
+    assert out.columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"] and sorted((r.doc_id or 0, r.taken) for r in out.collect()) == [(0, 80), (0, 80), (3, 80)]
+
+
 def test_homoglyphs_and_signs_fold():
     assert toxicity.fold("1d10t іdіоt ID1OT $tupid 555 in$$$ x") == "idiot idiot idiot stupid 555 in$$$ x"
 
@@ -322,40 +340,60 @@ def test_toxicity_learns_terms_not_copies(spark, empty):
     assert toxicity.score(empty, none).count() == 0 and toxicity.score(tests, none).count() == 6
 
 
-def test_ngram_is_kneser_ney(spark, docs, empty):
+@pytest.mark.parametrize("bucket_tokens", [4_000_000, 40])
+def test_ngram_is_kneser_ney(spark, docs, empty, bucket_tokens):
+    """Also with nearly every word frequent, so that middle words are dealt in parts."""
     train = docs.filter("doc_id % 2 = 1")
-    model = ngram.learn(train, Scratch(spark, "t"))
+    model = ngram.learn(train, Scratch(spark, "t"), bucket_tokens)
+    assert bool(len(model.hot)) == (bucket_tokens == 40)
     got = sorted(ngram.score(docs, model).collect(), key=lambda r: (r.doc_id, r.n_tokens))
     text = lambda t: [*words(t), "</s>"]
     tr = [text(t) for i, t in TEXTS if i % 2]
+    triples = lambda t: list(zip(["<s>", "<s>", *t], ["<s>", *t], t))
     c = collections.Counter(itertools.chain(*tr))
     n, v = sum(c.values()), len(c)
-    bi = collections.Counter(p for t in tr for p in zip(["<s>", *t], t))
-    cont, ctx, st = collections.Counter(w for _, w in bi), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (u, _), k in bi.items():
-        ctx[u] += k
-        st[u][min(k, 3) - 1] += 1
+    counts = {3: collections.Counter(itertools.chain(*map(triples, tr)))}
+    counts[2] = collections.Counter((u, w) for _, u, w in counts[3])
+    counts[1] = collections.Counter(w for _, w in counts[2])
     cc = lambda x: [sum(1 for k in x.values() if k == i) for i in (1, 2, 3, 4)]
-    d2, d1 = [0, *ngram.discounts(*cc(bi))], [0, *ngram.discounts(*cc(cont))]
-    tot = sum(cont.values())
-    floor = sum(d1[min(k, 3)] for k in cont.values()) / tot / (v + 1)
-
-    def low(w):
-        return max(cont[w] - d1[min(cont[w], 3)], 0) / tot + floor
-
-    def p(u, w):
-        if u not in ctx:
-            return low(w)
-        k = bi[u, w]
-        return max(k - d2[min(k, 3)], 0) / ctx[u] + sum(a * b for a, b in zip(d2[1:], st[u])) / ctx[u] * low(w)
-
-    assert sum(p(VOCAB[0].encode(), w) for w in [*c, "?"]) == pytest.approx(1)
+    d = {k: [0, *ngram.discounts(*cc(x))] for k, x in counts.items()}
+    total, left = collections.Counter(), collections.Counter()
+    for k in (2, 3):
+        for g, x in counts[k].items():
+            total[g[:-1]] += x
+            left[g[:-1]] += d[k][min(x, 3)]
+    tot = sum(counts[1].values())
+    floor = sum(d[1][min(x, 3)] for x in counts[1].values()) / tot / (v + 1)
+
+    def p(context, w):
+        k = len(context) + 1
+        if k == 1:
+            return max(counts[1][w] - d[1][min(counts[1][w], 3)], 0) / tot + floor
+        lower = p(context[1:], w)
+        if context not in total:
+            return lower
+        x = counts[k][(*context, w)]
+        return max(x - d[k][min(x, 3)], 0) / total[context] + left[context] / total[context] * lower
+
+    for context in ((VOCAB[0].encode(), VOCAB[1].encode()), ("<s>", "<s>"), triples(tr[0])[5][:2]):
+        assert sum(p(context, w) for w in [*c, "?"]) == pytest.approx(1)
     for r, (i, t) in zip(got, sorted(TEXTS, key=lambda x: (x[0], len(text(x[1]))))):
         t = text(t)
         assert (r.doc_id, r.n_tokens, r.n_known) == (i, len(t), sum(w in c for w in t))
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t)))
-    assert ngram.score(empty, ngram.learn(empty, Scratch(spark, "t"))).count() == 0
+        assert r.score == pytest.approx(sum(math.log10(p((a, u), w)) for a, u, w in triples(t)))
+    none = ngram.learn(empty, Scratch(spark, "t"))
+    assert ngram.score(empty, none).count() == 0 and {r.score for r in ngram.score(docs, none).collect()} == {0.0}
+
+
+def test_packed_columns_and_wide_ids_round_trip():
+    r = np.random.default_rng(1)
+    cols = [r.integers(0, 1 << 32, 1000).astype(np.uint32) for _ in range(4)]
+    assert all((a == b).all() for a, b in zip(ngram.unsqueezed(ngram.squeezed(cols), 4), cols))
+    u, t, w = (r.integers(0, 5, 300).astype(np.uint32) for _ in range(3))
+    narrow = ngram.count_triples(u, t, w, np.ones(300, np.uint32))
+    wide = ngram.count_triples(*[x + np.uint32(1 << 31) for x in (u, t, w)], np.ones(300, np.uint32))
+    assert all((a == b - (np.uint32(1 << 31) if i < 3 else 0)).all() for i, (a, b) in enumerate(zip(narrow, wide)))
 
 
 SECRETS = [
@@ -392,6 +430,9 @@ def test_redaction_removes_findings_only(spark):
     got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
     assert secrets.redacted(df).columns == df.columns and got[3] is None and got[4] == "" and got[2] == SECRETS[1][1]
     assert got[1] == "[SECRET]\"" and all(not brute_secrets(t) for t in got.values())
+    no_ids = [(None, "password = hunter2hunter2"), (None, "nothing here"), (5, "x password = hunter2hunter2"), (5, "token=abcdefgh99 y")]
+    out = secrets.redacted(spark.createDataFrame(no_ids, "doc_id long, text string"))
+    assert sorted(r.text for r in out.collect()) == sorted(["[SECRET]", "nothing here", "x [SECRET]", "[SECRET] y"])
 
 
 def test_suffix_dedup_matches_brute_force(spark, docs, empty):
