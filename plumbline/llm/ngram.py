@@ -11,7 +11,8 @@ no part of the model passes through the driver but the frequent words' totals an
 p3(w | t u) = max(c(t u w) - D(c), 0) / c(t u) + g(t u) p2(w | u), where p2 and p1 discount the numbers of
 distinct words before (u w) and w likewise, and p1 interpolates with 1 / (V + 1), one place being the unknown
 word's. Every text starts after two begin marks and ends with an end token, which counts. An unseen context
-leaves the lower order. Pair keys are a permutation of the two ids, hence exact; triple keys are 64-bit hashes.
+leaves the lower order. Pairs and triples are known by 64-bit hashes, of which tables keep enough that an unseen
+one passes for a seen one about once in 2^27 lookups.
 
 Null text is empty text: its only token is the end. An empty table gives an empty result; with nothing to
 learn from, every token has probability 1. Repeated rows count as often as they occur; ids only name the rows
@@ -39,26 +40,32 @@ FLUSH = 3_000_000  # triples a task counts before it packs what it has
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word to hash; forgets all once it is large."""
+class Places(dict):
+    """Word to its place among the words met so far, with their hashes in order; forgets all once it is large."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+        self.turn = 0  # how often all was forgotten
 
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return at
 
-def tokens(texts: list[str | None], memo: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words with an end after each text, tokens per text)."""
-    out, n = [], []
-    end = memo[END]
-    for t in texts:
-        words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-        out += [memo[w] for w in words]
-        out.append(end)
-        n.append(len(words) + 1)
-    return np.array(out, np.uint64), np.array(n, np.int64)
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all words with an end after each text, tokens per text)."""
+        if len(self.hashes) > 300_000:
+            self.clear()
+            self.hashes = []
+            self.turn += 1
+        out, n = [], []
+        for t in texts:
+            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            words.append(END)
+            out += [self[w] for w in words]
+            n.append(len(words))
+        return np.array(out, np.int64), np.array(n, np.int64)
 
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -105,7 +112,11 @@ def _summed(n: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    if len(n) and n.min() == n.max() == 1:
+        keys = np.sort(keys)
+        head = _heads(keys)
+        return keys[head], np.diff(np.append(head, len(keys)))
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     head = _heads(keys)
     return keys[head], _summed(n, head)
@@ -137,11 +148,17 @@ def unsqueezed(data: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(np.ascontiguousarray(p.reshape(4, n).T).view(np.uint32).ravel(), dtype=np.uint32) for p in raw.reshape(columns, 4 * n)] if n else [np.empty(0, np.uint32)] * columns
 
 
+def _grouped(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by bucket, sorted buckets, heads); narrow numbers are sorted by radix."""
+    narrow = bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket
+    order = np.argsort(narrow, kind="stable")
+    b = bucket[order]
+    return order, b, _heads(b)
+
+
 def _rows(bucket: np.ndarray, kind: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, a): one row a bucket, the columns squeezed; the order within a bucket stays."""
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    head = _heads(b)
+    order, b, head = _grouped(bucket)
     for i, j in zip(head, np.append(head[1:], len(b))):
         at = order[i:j]
         yield pa.RecordBatch.from_arrays([pa.array([int(b[i])], pa.int32()), pa.array([kind], pa.int32()), pa.array([squeezed([c[at] for c in columns])], pa.binary())], names=["bucket", "kind", "a"])
@@ -219,10 +236,11 @@ class Model:
 
 
 class Lookup:
-    """Memory-mapped model of one worker."""
+    """Memory-mapped model of one worker, with what it has looked up of the words met so far."""
 
     def __init__(self, m: Model):
-        self.m, self.open = m, {}
+        self.m, self.open, self.places, self.turn = m, {}, Places(), 0
+        self.ids, self.stat = np.empty(0, np.int64), np.empty((0, 2), np.int64)
 
     def file(self, name: str) -> np.ndarray:
         if name not in self.open:
@@ -230,47 +248,51 @@ class Lookup:
         return self.open[name]
 
     def gather(self, bucket: np.ndarray, keys: np.ndarray, table: str, *values: tuple[str, int]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(found, values by (array, width)) of sorted keys in their buckets; buckets that no key needs stay closed."""
+        """(found, values by (array, width)) of keys in their buckets; buckets that no key needs stay closed."""
         found = np.zeros(len(keys), bool)
         out = [np.zeros((len(keys), k), np.int64) for _, k in values]
-        order = np.argsort(bucket, kind="stable")
-        b = bucket[order]
-        head = _heads(b)
+        order, b, head = _grouped(bucket)
         for i, j in zip(head, np.append(head[1:], len(b))):
             at = order[i:j]
-            where = shared.find(self.file(f"{table}-{b[i]}"), keys[at])
+            where = shared.in_table(self.file(f"{table}-{b[i]}-at"), self.file(f"{table}-{b[i]}"), keys[at])
             at, where = at[where >= 0], where[where >= 0]
             found[at] = True
             for o, (name, k) in zip(out, values):
                 o[at] = self.file(f"{name}-{b[i]}")[where].reshape(-1, k)
         return found, out
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of the distinct hashes or -1, their (count, continuation), index of each token among them)."""
-        h, back = np.unique(x, return_inverse=True)
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each token among the words met, tokens per text); ``ids`` (or -1) and ``stat`` (count,
+        continuation) are brought up to date, each new word being looked up once."""
+        x, n = self.places.tokens(texts)
+        if self.places.turn != self.turn:
+            self.ids, self.stat, self.turn = self.ids[:0], self.stat[:0], self.places.turn
+        new = np.array(self.places.hashes[len(self.ids) :], np.uint64)
+        order = np.argsort(new)
+        h, ids, stat = new[order], np.full(len(new), -1, np.int64), np.zeros((len(new), 2), np.int64)
         bucket = (h >> np.uint64(64 - self.m.bits)).astype(np.int64)
-        ids, stat = np.full(len(h), -1, np.int64), np.zeros((len(h), 2), np.int64)
         head = _heads(bucket)
         for i, j in zip(head, np.append(head[1:], len(h))):
             at = shared.find(self.file(f"word-{bucket[i]}"), h[i:j])
             hit = np.flatnonzero(at >= 0)
-            ids[i + hit] = at[hit] + self.m.offsets[bucket[i]]
+            to = order[i + hit]
+            ids[to] = at[hit] + self.m.offsets[bucket[i]]
             for col, name in enumerate(("count", "cont")):
                 a = self.file(f"{name}-{bucket[i]}")
                 if len(a):
-                    stat[i + hit, col] = a[at[hit]]
-        return ids, stat, back
+                    stat[to, col] = a[at[hit]]
+        self.ids, self.stat = np.concatenate([self.ids, ids]), np.concatenate([self.stat, stat])
+        return x, n
 
     def scores(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 base probability, log10 model probability, known) of each token."""
-        m = self.m
-        ids, stat, back = self.encode(x)
-        base = np.log10((stat[:, 0] + 0.5) / (m.n_tokens + 0.5 * (m.vocab + 1)))
+        m, stat = self.m, self.stat
         d = {k: np.array([0.0, *v]) for k, v in m.d.items()}
         kept = lambda c, k: np.maximum(c - d[k][np.minimum(c, 3)], 0)
-        left = lambda s, k: (s[:, 1:] * d[k][1:]).sum(axis=1)
-        p = (kept(stat[:, 1], 1) / max(m.total_word, 1) + m.floor)[back]
-        w = ids[back]
+        left = lambda s, k: s[:, 1:] @ d[k][1:]
+        base = np.log10((stat[:, 0] + 0.5) / (m.n_tokens + 0.5 * (m.vocab + 1)))[x]
+        p = (kept(stat[:, 1], 1) / max(m.total_word, 1) + m.floor)[x]
+        w = self.ids[x]
         u = before(w, n, m.vocab)
         t = before(u, n, m.vocab)
 
@@ -278,36 +300,37 @@ class Lookup:
         mid, to = np.unique(u, return_inverse=True)
         total = np.zeros((len(mid), 4), np.int64)
         known = np.flatnonzero(mid >= 0)
-        none = np.zeros(len(known), np.int64)
-        _, (got,) = self.gather(m.place(mid[known], none), mid[known], "mid", ("midstat", 4))
-        total[known] = got
+        bucket = m.place(mid[known], np.zeros(len(known), np.int64))
+        order, b, head = _grouped(bucket)
+        for i, j in zip(head, np.append(head[1:], len(b))):
+            at = order[i:j]
+            where = shared.find(self.file(f"mid-{b[i]}"), mid[known[at]])
+            total[known[at[where >= 0]]] = self.file(f"midstat-{b[i]}")[where[where >= 0]].reshape(-1, 4)
         if len(m.hot):
             at = shared.find(m.hot, mid)
             total[at >= 0] = m.hot_stat[at[at >= 0]]
-        ok = np.flatnonzero(total[to, 0] > 0)
-        s = total[to[ok]]
-        p[ok] *= left(s, 2) / s[:, 0]
-        has = ok[w[ok] >= 0]
-        key, first, same = np.unique(pair_key(u[has], w[has]), return_index=True, return_inverse=True)
-        _, (c,) = self.gather(m.place(u[has[first]], w[has[first]]), key, "pair", ("paircont", 1))
-        p[has] += kept(c[same, 0], 2) / total[to[has], 0]
+        rest = left(total, 2) / np.maximum(total[:, 0], 1)
+        p *= np.where(total[:, 0] > 0, rest, 1.0)[to]
+        has = np.flatnonzero((total[to, 0] > 0) & (w >= 0))
+        _, (c,) = self.gather(m.place(u[has], w[has]), pair_key(u[has], w[has]), "pair", ("paircont", 1))
+        p[has] += kept(c[:, 0], 2) / total[to[has], 0]
 
         # triples: contexts that occur once, or with their totals; then the counts
         ok = np.flatnonzero((t >= 0) & (u >= 0))
-        key, first, same = np.unique(pair_key(t[ok], u[ok]), return_index=True, return_inverse=True)
-        bucket = m.place(u[ok[first]], t[ok[first]])
+        key, bucket = pair_key(t[ok], u[ok]), m.place(u[ok], t[ok])
+        s = np.zeros((len(ok), 4), np.int64)
         once, _ = self.gather(bucket, key, "once")
-        _, (s,) = self.gather(bucket, key, "ctx", ("ctxstat", 4))
         s[once] = (1, 1, 0, 0)
-        s = s[same]
-        ok, s = ok[s[:, 0] > 0], s[s[:, 0] > 0]
+        more = np.flatnonzero(~once)
+        _, (s[more],) = self.gather(bucket[more], key[more], "ctx", ("ctxstat", 4))
+        seen = s[:, 0] > 0
+        ok, s, bucket = ok[seen], s[seen], bucket[seen]
         p[ok] *= left(s, 3) / s[:, 0]
-        has = np.flatnonzero(w[ok] >= 0)
-        total3, has = s[has, 0], ok[has]
-        key, first, same = np.unique(triple_key(t[has], u[has], w[has]), return_index=True, return_inverse=True)
-        _, (c,) = self.gather(m.place(u[has[first]], t[has[first]]), key, "triple", ("count3", 1))
-        p[has] += kept(c[same, 0], 3) / total3
-        return base[back], np.log10(p), w >= 0
+        at = np.flatnonzero(w[ok] >= 0)
+        has = ok[at]
+        _, (c,) = self.gather(bucket[at], triple_key(t[has], u[has], w[has]), "triple", ("count3", 1))
+        p[has] += kept(c[:, 0], 3) / s[at, 0]
+        return base, np.log10(p), w >= 0
 
 
 def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) -> Model:
@@ -319,23 +342,22 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
     texts = train.select("text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, keys, counts, held = _Hashes(), [], [], 0
+        places, count = Places(), np.empty(0, np.int64)
 
         def flush():
-            k, c = _merged(np.concatenate(keys), np.concatenate(counts))
+            k, c = _merged(np.array(places.hashes, np.uint64), count)
             yield from _rows((k >> np.uint64(64 - bits)).astype(np.int32), 0, [(k >> np.uint64(32)).astype(np.uint32), k.astype(np.uint32), c])
 
         for b in batches:
             for part in slices(b):
-                x, _ = tokens(rows_of(part, "text"), memo)
-                k, c = np.unique(x, return_counts=True)
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
-                if held > FLUSH:
+                if len(places.hashes) > 300_000:  # before they are forgotten
                     yield from flush()
-                    keys, counts, held = [], [], 0
-        if keys:
+                    count = count[:0]
+                x, _ = places.tokens(rows_of(part, "text"))
+                now = np.bincount(x, minlength=len(places.hashes))
+                now[: len(count)] += count
+                count = now
+        if len(count):
             yield from flush()
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +389,7 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
         raise ValueError("ids of over four billion distinct words do not fit the packed columns")
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, look, held, size = _Hashes(), Lookup(draft), [], 0
+        look, held, size = Lookup(draft), [], 0
 
         def flush():
             u, t, w, c = count_triples(*[np.concatenate(x) for x in zip(*held)])
@@ -378,9 +400,8 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
 
         for b in batches:
             for part in slices(b):
-                x, n = tokens(rows_of(part, "text"), memo)
-                ids, _, back = look.encode(x)
-                w = ids[back]
+                x, n = look.encode(rows_of(part, "text"))
+                w = look.ids[x]
                 u = before(w, n, vocab)
                 held.append([a.astype(np.uint32) for a in (u, before(u, n, vocab), w, np.ones(len(w), np.uint32))])
                 size += len(w)
@@ -399,7 +420,7 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
             u, t, w, c = count_triples(*[np.concatenate(x) for x in zip(plain, by_t)])
             key = triple_key(t, u, w)
             order = np.argsort(key)
-            shared.put(base, f"triple-{b}", key[order])
+            shared.put_table(base, f"triple-{b}", key[order])
             shared.put(base, f"count3-{b}", _small(c[order]))
             n3 = _count_of_counts(c)
             head = _heads(u, t)
@@ -407,8 +428,8 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
             order = np.argsort(key)
             stat, key = stat[order], key[order]
             once = stat[:, 0] == 1
-            shared.put(base, f"once-{b}", key[once])
-            shared.put(base, f"ctx-{b}", key[~once])
+            shared.put_table(base, f"once-{b}", key[once])
+            shared.put_table(base, f"ctx-{b}", key[~once])
             shared.put(base, f"ctxstat-{b}", _small(stat[~once]))
             del t, c, key, order, stat, once
 
@@ -418,7 +439,7 @@ def learn(train: DataFrame, scratch: Scratch, bucket_tokens: int = 4_000_000) ->
             u, w = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
             key = pair_key(u, w)
             order = np.argsort(key)
-            shared.put(base, f"pair-{b}", key[order])
+            shared.put_table(base, f"pair-{b}", key[order])
             shared.put(base, f"paircont-{b}", _small(cont[order]))
             head = _heads(u)
             stat, mid = _by_size(cont, head), u[head].astype(np.int64)
@@ -476,10 +497,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, look = _Hashes(), Lookup(model)
+        look = Lookup(model)
         for b in batches:
             for part in slices(b):
-                x, n = tokens(rows_of(part, "text"), memo)
+                x, n = look.encode(rows_of(part, "text"))
                 base, p, known = look.scores(x, n)
                 at = np.cumsum(n) - n
                 cols = [part.column(0).cast(pa.int64()), pa.array(n), *[pa.array(np.add.reduceat(a, at)) for a in (known.astype(np.int64), base, p)]]

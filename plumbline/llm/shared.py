@@ -58,3 +58,29 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     i = np.searchsorted(keys, wanted)
     i[i == len(keys)] = 0
     return np.where(keys[i] == wanted, i, -1)
+
+
+def put_table(base: str, name: str, keys: np.ndarray) -> None:
+    """Sorted 64-bit hashes in cells of about 32 by their top bits, 32 further bits kept of each: see ``in_table``."""
+    bits = max(1, (len(keys) // 32).bit_length())
+    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    put(base, f"{name}-at", edges.astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
+    put(base, name, (keys >> np.uint64(32 - bits)).astype(np.uint32))
+
+
+def in_table(edges: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each hash in a table, or -1. About 32 + log2(n / 32) bits are compared, so that an absent hash
+    passes for a present one about once in 2^27 times whatever the table's size."""
+    if not len(low):
+        return np.full(len(wanted), -1, np.int64)
+    bits = int(len(edges) - 1).bit_length() - 1
+    cell = (wanted >> np.uint64(64 - bits)).astype(np.int64)
+    v = (wanted >> np.uint64(32 - bits)).astype(np.uint32)
+    lo, end = edges[cell].astype(np.int64), edges[cell + 1].astype(np.int64)
+    hi = end
+    for _ in range(int((end - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (low[np.minimum(mid, len(low) - 1)] < v) & (lo < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    at = np.minimum(lo, len(low) - 1)
+    return np.where((lo < end) & (low[at] == v), at, -1)
