@@ -167,7 +167,7 @@ def test_near_duplicates_miss_no_pair(spark, monkeypatch, bucket):
     assert got == similarity_classes(rows)
 
 
-def test_similar_sets_share_a_part():
+def test_similar_sets_share_a_band():
     r = np.random.default_rng(3)
     for n in [*range(1, 60), 100, 500, 3000]:
         for _ in range(20):
@@ -175,10 +175,21 @@ def test_similar_sets_share_a_part():
             cut, add = r.integers(0, n // 5 + 1), r.integers(0, n // 4 + 1)
             b = np.unique(np.concatenate([r.permutation(a)[cut:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
             if (n - cut) >= 0.8 * (n + add):
-                assert len(np.intersect1d(simhash.part_keys(a, 0.8), simhash.part_keys(b, 0.8)))
+                assert len(np.intersect1d(simhash.band_keys(a), simhash.band_keys(b)))
                 assert np.bitwise_count((simhash.parity_sketch(a) ^ simhash.parity_sketch(b)).view(np.uint64)).sum() <= cut + add
 
 
+def test_bands_are_shared_as_often_as_reckoned():
+    """At a similarity of 0.5 a band is shared with probability 0.5 ** 4, so the least hashes are as good as independent."""
+    r = np.random.default_rng(4)
+    share = []
+    for _ in range(400):
+        both, a, b = (np.unique(r.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(3))
+        x, y = (simhash.band_keys(np.concatenate([both, z[:30]])) for z in (a, b))
+        share.append(len(np.intersect1d(x, y)) / simhash.BANDS)
+    assert np.mean(share) == pytest.approx(0.5**4, rel=0.15)
+
+
 def test_keep_one_keeps_columns_and_least(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
