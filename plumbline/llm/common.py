@@ -84,6 +84,11 @@ def arrow(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], sch
     return mapped
 
 
+def dealt(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """Rows of bucket 0 to n - 1 in a task of their own for each bucket, sorted by bucket and ``order``."""
+    return df.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", *order)
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
-from plumbline.llm.common import Scratch, arrow, docs_view, rows_of
+from plumbline.llm.common import Scratch, arrow, dealt, docs_view, rows_of
 
 END, BEGIN = b" end", b" begin"  # no word holds a space
 STEP = 256  # documents tokenised at a time
@@ -185,10 +185,6 @@ def one_at_a_time(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[t
         yield at, whole()
 
 
-def dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
-
-
 def _count_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == i).sum()) for i in (1, 2, 3, 4)]
 

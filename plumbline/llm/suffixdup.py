@@ -16,7 +16,9 @@ from there at least length - v + 1 equal bytes. That bounds what must be sorted:
 
 Texts are first packed into blocks; tasks hash a block at a time, buckets hold names of the block's
 positions as packed arrays, and answers are bits in the shared folder, read back by the block that asked.
-Memory is bounded by a block and by a bucket, whose number grows with the input. A string that a third of
+Memory is bounded by a block and by a bucket, whose number grows with the input; a task holds one bucket.
+Strings are ordered by their names, not by their bytes: names keep 56 bits beside the bucket's, and equal names
+are taken for equal strings, so one of n unlike strings in a bucket is taken for a repeat with a chance of n / 2^56. A string that a third of
 all texts share gives its rank one representative per distinct neighbourhood, not one per text.
 
 Null text has no bytes; texts shorter than ``length`` keep theirs; exact copies lose all bytes where they
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
-from plumbline.llm.common import Scratch, arrow, docs_view
+from plumbline.llm.common import Scratch, arrow, dealt, docs_view
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -69,7 +71,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Names:
     """Prefix sums of a block; the name of any of its substrings is a difference, moved to the origin."""
 
-    _codes = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _codes = np.random.default_rng(20240229).integers(0, (1 << 64) - 1, 256, dtype=np.uint64)
     _power = _inverse = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray):
@@ -193,21 +195,32 @@ def _ties(rank: np.ndarray, hood: np.ndarray) -> np.ndarray:
 
 
 def _answer(base: str, step: str, judge, n_arrays: int):
-    """A task's buckets one at a time: judged, and the answers written under the bucket, by block in order of g."""
+    """Buckets one at a time, from rows sorted by bucket and g: judged, and the answers written by block."""
+
+    def whole(bucket: int, gs: list[int], parts: list[list[bytes]]) -> pa.RecordBatch:
+        sizes = np.array([len(p) // 7 for p in parts[0]])
+        arrays = []
+        while parts:  # each packed form goes as soon as it is open
+            arrays.append(_unpack(parts.pop(0)))
+        code = judge(*arrays).astype(np.uint8)
+        shared.put(base, f"{step}-{bucket}-g", np.array(gs, np.int64))
+        shared.put(base, f"{step}-{bucket}-at", np.append(0, np.cumsum(sizes)))
+        shared.put(base, f"{step}-{bucket}", np.packbits(np.unpackbits(code[:, None], axis=1, bitorder="little")[:, :2].ravel(), bitorder="little"))
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(code)])], names=["bucket", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        at, gs, parts = None, [], []
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns]):
-                held.setdefault(row[0], []).append(row[1:])
-        for bucket in sorted(held):
-            rows = sorted(held.pop(bucket), key=lambda r: r[0])
-            code = judge(*[_unpack([r[1 + i] for r in rows]) for i in range(n_arrays)]).astype(np.uint8)
-            sizes = np.array([len(r[1]) // 7 for r in rows])
-            shared.put(base, f"{step}-{bucket}-g", np.array([r[0] for r in rows], np.int64))
-            shared.put(base, f"{step}-{bucket}-at", np.append(0, np.cumsum(sizes)))
-            shared.put(base, f"{step}-{bucket}", np.packbits(np.unpackbits(code[:, None], axis=1, bitorder="little")[:, :2].ravel(), bitorder="little"))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(code)])], names=["bucket", "n"])
+            for i, (bucket, g) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if bucket != at:
+                    if gs:
+                        yield whole(at, gs, parts)
+                    at, gs, parts = bucket, [], [[] for _ in range(n_arrays)]
+                gs.append(g)
+                for k in range(n_arrays):
+                    parts[k].append(b.column(2 + k)[i].as_py())
+        if gs:
+            yield whole(at, gs, parts)
 
     return run
 
@@ -220,7 +233,7 @@ def _answers(base: str, step: str, g: int, names: np.ndarray, bits: int, files:
     for k in np.unique(bucket):
         key = f"{step}-{k}"
         if key not in files:
-            files[key] = (shared.get(base, f"{key}-g", False), shared.get(base, f"{key}-at", False), shared.get(base, key))
+            files[key] = (shared.get(base, f"{key}-g"), shared.get(base, f"{key}-at"), shared.get(base, key))
         gs, at, packed = files[key]
         i = int(np.searchsorted(gs, g))
         a, z = int(at[i]), int(at[i + 1])
@@ -290,7 +303,7 @@ def deduplicate(docs: DataFrame, length: int = 200, v: int = 133, block_bytes: i
 
     for which, arrays, judge in (("sample", 1, _repeated), ("tie", 2, _ties), ("suffix", 1, _repeated)):
         cols = "bucket int, g long, a binary" + ", b binary" * (arrays > 1)
-        packed.transform(arrow(step(which), cols)).repartition(n, "bucket").transform(arrow(_answer(base, which, judge, arrays), "bucket int, n long")).agg(F.sum("n")).collect()
+        packed.transform(arrow(step(which), cols)).transform(lambda x: dealt(x, n, "g")).transform(arrow(_answer(base, which, judge, arrays), "bucket int, n long")).agg(F.sum("n")).collect()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict = {}
