@@ -33,6 +33,11 @@ def docs_view(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def id_kind(df: DataFrame, id_col: str = "doc_id") -> str:
+    """The id column's type, which results keep."""
+    return df.schema[id_col].dataType.simpleString()
+
+
 class Scratch:
     """Tables in the folder that spark.checkpoint.dir names, which driver and executors share.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, arrow, rows_of
+from plumbline.llm.common import Scratch, arrow, id_kind, rows_of
 
 DIM = 4096
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -128,6 +128,6 @@ def predict(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame
                     far[at] = score[at] < model.least[best] - 1e-6
                     for j, k in zip(at, best):
                         lang[j] = model.langs[model.owner[k]]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(lang), pa.array(score), pa.array(far)], names=["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(far)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").transform(arrow(run, "doc_id long, lang_pred string, score double, rejected boolean"))
+    return docs.select("doc_id", "text").transform(arrow(run, f"doc_id {id_kind(docs)}, lang_pred string, score double, rejected boolean"))

@@ -12,6 +12,8 @@ then all pairs with near strings that are not yet in one class are compared, all
 links connect what all pairs of a key connect. Large keys are dealt out in chunks. n_links counts the links
 verified. Undecodable, null and empty media have no corner and form a class of
 their own each; images without corners link only to equal ones. Empty tables give an empty result.
+Ids are whole numbers. Plain 8-bit PNG and binary PGM and PPM are decoded, all else counts as undecodable; images
+over 65,535 pixels wide get wrong places. Other columns are ignored, repeated rows are copies.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ leaves the lower order. Pairs and triples are known by 64-bit hashes, of which t
 one passes for a seen one about once in 2^27 lookups.
 
 Null text is empty text: its only token is the end. An empty table gives an empty result; with nothing to
-learn from, every token has probability 1. Repeated rows count as often as they occur; ids only name the rows
-of the result and must be whole numbers or null. Other columns are ignored.
+learn from, every token has probability 1. Repeated rows count as often as they occur; ids of any type only name
+the rows of the result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shared
-from plumbline.llm.common import Scratch, arrow, dealt, docs_view, rows_of
+from plumbline.llm.common import Scratch, arrow, dealt, docs_view, id_kind, rows_of
 
 END, BEGIN = b" end", b" begin"  # no word holds a space
 STEP = 256  # documents tokenised at a time
@@ -499,7 +499,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x, n = look.encode(rows_of(part, "text"))
                 base, p, known = look.scores(x, n)
                 at = np.cumsum(n) - n
-                cols = [part.column(0).cast(pa.int64()), pa.array(n), *[pa.array(np.add.reduceat(a, at)) for a in (known.astype(np.int64), base, p)]]
+                cols = [part.column(0), pa.array(n), *[pa.array(np.add.reduceat(a, at)) for a in (known.astype(np.int64), base, p)]]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs_view(docs).transform(arrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+    return docs_view(docs).transform(arrow(run, f"doc_id {id_kind(docs)}, n_tokens long, n_known long, base_score double, score double"))

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import arrow, docs_view, rows_of
+from plumbline.llm.common import arrow, docs_view, id_kind, rows_of
 
 ROUNDS = 10
 KINDS = ("email", "iban", "date", "ipv4", "card", "ssn", "phone")
@@ -213,9 +213,9 @@ def pseudonymised(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
         for b in batches:
             got = [pseudonymise(t, f, back, cache) for t in rows_of(b, "text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array([len(s) for _, s in got], pa.int64()), pa.array([",".join(f"{k}:{a}:{z}" for k, a, z in s) for _, s in got], pa.string()),
+                [b.column(0), pa.array([len(s) for _, s in got], pa.int64()), pa.array([",".join(f"{k}:{a}:{z}" for k, a, z in s) for _, s in got], pa.string()),
                  pa.array([t for t, _ in got], pa.string())],
                 names=["doc_id", "n_spans", "spans", "text"],
             )
 
-    return docs_view(docs).transform(arrow(run, "doc_id long, n_spans long, spans string, text string"))
+    return docs_view(docs).transform(arrow(run, f"doc_id {id_kind(docs)}, n_spans long, spans string, text string"))

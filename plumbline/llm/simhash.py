@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, arrow, docs_view, only, rows_of
+from plumbline.llm.common import Scratch, arrow, docs_view, id_kind, only, rows_of
 from plumbline.llm.graph import connected_components
 
 BITS = 64
@@ -64,9 +64,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(shingle_hashes(t, shingle)) for t in rows_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
-    return docs_view(docs).transform(arrow(run, "doc_id long, fp long"))
+    return docs_view(docs).transform(arrow(run, f"doc_id {id_kind(docs)}, fp long"))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:

@@ -22,7 +22,7 @@ are taken for equal strings, so one of n unlike strings in a bucket is taken for
 all texts share gives its rank one representative per distinct neighbourhood, not one per text.
 
 Null text has no bytes; texts shorter than ``length`` keep theirs; exact copies lose all bytes where they
-are long enough; repeated rows are copies; an empty table gives an empty result.
+are long enough; repeated rows are copies; an empty table gives an empty result. Ids are whole numbers or null.
 """
 
 from __future__ import annotations

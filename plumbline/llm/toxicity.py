@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_IDS, Scratch, arrow, docs_view, rows_of
+from plumbline.llm.common import BROADCAST_IDS, Scratch, arrow, docs_view, id_kind, rows_of
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
@@ -193,9 +193,9 @@ def _featured(df: DataFrame, lex: Lexicon, keep: str | None = None) -> DataFrame
         a = lex.automaton()
         for b in batches:
             f = pa.array([list(features(t, a)) for t in rows_of(b, "text")], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), f, *([b.column(2).cast(pa.int64())] if keep else [])], names=["doc_id", "f", *([keep] if keep else [])])
+            yield pa.RecordBatch.from_arrays([b.column(0), f, *([b.column(2).cast(pa.int64())] if keep else [])], names=["doc_id", "f", *([keep] if keep else [])])
 
-    return df.select("doc_id", "text", *([keep] if keep else [])).transform(arrow(run, "doc_id long, f array<double>" + (f", {keep} long" if keep else "")))
+    return df.select("doc_id", "text", *([keep] if keep else [])).transform(arrow(run, f"doc_id {id_kind(df)}, f array<double>" + (f", {keep} long" if keep else "")))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,9 +212,9 @@ def score(docs: DataFrame, lex: Lexicon, threshold: float = 0.3) -> DataFrame:
         a = lex.automaton()
         for b in batches:
             s = lex.score(np.array([features(t, a) for t in rows_of(b, "text")]).reshape(-1, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs_view(docs).transform(arrow(run, "doc_id long, score double, predicted int"))
+    return docs_view(docs).transform(arrow(run, f"doc_id {id_kind(docs)}, score double, predicted int"))
 
 
 def keep_clean(docs: DataFrame, lex: Lexicon, threshold: float = 0.3) -> DataFrame:

@@ -407,6 +407,19 @@ def test_packed_columns_and_wide_ids_round_trip():
     assert all((a == b - (np.uint32(1 << 31) if i < 3 else 0)).all() for i, (a, b) in enumerate(zip(narrow, wide)))
 
 
+def test_ids_of_any_type_name_the_rows(spark):
+    rows = [("b", "zork zork one two three", 1, "aa"), (None, None, 0, "bb"), ("a", "zork zork one two three", 1, "aa"), ("c", "4111111111111111 plain", 0, "bb")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, y long, lang string")
+    ids = ["", "a", "b", "c"]
+    got = simhash.components(df)
+    assert sorted(r.doc_id or "" for r in got.collect()) == ids and {r.doc_id: r.component_id for r in got.collect()}["b"] == "a"
+    for out in (
+        pii.pseudonymised(df, b"k"), toxicity.score(df, toxicity.learn(df, Scratch(spark, "t"))), langid.predict(df, langid.learn(df, Scratch(spark, "t"))),
+        ngram.score(df, ngram.learn(df, Scratch(spark, "t"))),
+    ):
+        assert sorted(r.doc_id or "" for r in out.collect()) == ids
+
+
 SECRETS = [
     (1, 'token = "abcdefgh12345"'), (2, "token=secret: abcdefghijk"), (3, None), (4, ""), (5, "x AKIAABCDEFGHIJKL y AKIA1 " + "0f" * 20), (6, "é\U0001f600 PASSWORD:'A+/_.=-12' api-key api_key=short apikey : longenough1"),
     (7, "0f" * 15 + "g" + "0f" * 16), (8, 'token = "abcdefgh12345"'), (9, "password=token=abcdefghi"), (10, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 36), (11, "a" * 5000 + " secret = zzzzzzzz " + "b" * 40),
