@@ -200,12 +200,18 @@ def agree(geo: np.ndarray, words: np.ndarray, geo0: np.ndarray, words0: np.ndarr
     turn, grow = o - o0, 2.0 ** (s - s0)
     dx = (x - grow * (np.cos(turn) * x0 - np.sin(turn) * y0)) / 16
     dy = (y - grow * (np.sin(turn) * x0 + np.cos(turn) * y0)) / 16
-    cell = np.round(turn / 0.2618).astype(np.int64) % 24
+    turned = (np.round(turn / 0.2618).astype(np.int64) % 24 << 4) + (s - s0 + 8)
+    spot = (y << 16) | x
     # a vote counts in the two nearest cells of each shift, so that no cell's edge splits a consensus
     for i in (0.0, 0.5):
         for j in (0.0, 0.5):
-            place = np.unique(np.stack([cell, s - s0, np.floor(dx + i).astype(np.int64), np.floor(dy + j).astype(np.int64), x, y], axis=1), axis=0)
-            if np.unique(place[:, :4], axis=0, return_counts=True)[1].max() >= min_votes:
+            cell = (((turned << 20) + np.floor(dx + i).astype(np.int64) + (1 << 19)) << 32) + np.floor(dy + j).astype(np.int64) + (1 << 31)
+            order = np.lexsort((spot, cell))
+            c, p = cell[order], spot[order]
+            first = np.append(True, (c[1:] != c[:-1]) | (p[1:] != p[:-1]))  # a corner votes once in a cell
+            c = c[first]
+            head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            if np.diff(np.append(head, len(c))).max() >= min_votes:
                 return True
     return False
 
