@@ -77,10 +77,10 @@ def in_table(edges: np.ndarray, low: np.ndarray, wanted: np.ndarray) -> np.ndarr
     cell = (wanted >> np.uint64(64 - bits)).astype(np.int64)
     v = (wanted >> np.uint64(32 - bits)).astype(np.uint32)
     lo, end = edges[cell].astype(np.int64), edges[cell + 1].astype(np.int64)
-    hi = end
-    for _ in range(int((end - lo).max(initial=0)).bit_length()):
-        mid = (lo + hi) >> 1
-        less = (low[np.minimum(mid, len(low) - 1)] < v) & (lo < hi)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    for k in reversed(range(int((end - lo).max(initial=0)).bit_length())):
+        probe = lo + ((1 << k) - 1)
+        less = np.take(low, probe, mode="clip") < v
+        less &= probe < end
+        lo += less.astype(np.int64) << k
     at = np.minimum(lo, len(low) - 1)
     return np.where((lo < end) & (low[at] == v), at, -1)
