@@ -36,6 +36,7 @@ from plumbline.llm.common import Scratch, arrow, dealt, docs_view, id_kind, rows
 
 END, BEGIN = b" end", b" begin"  # no word holds a space
 STEP = 256  # documents tokenised at a time
+SCORED = 1024  # documents scored at a time, at most the bytes of an Arrow batch: each bucket is opened once for all of them
 FLUSH = 3_000_000  # triples a task counts before it packs what it has
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,9 +69,9 @@ class Places(dict):
         return np.array(out, np.int64), np.array(n, np.int64)
 
 
-def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(b), STEP):
-        yield b.slice(i, STEP)
+def slices(b: pa.RecordBatch, step: int = STEP) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(b), step):
+        yield b.slice(i, step)
 
 
 def before(x: np.ndarray, n: np.ndarray, begin: int) -> np.ndarray:
@@ -495,7 +496,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(model)
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, SCORED):
                 x, n = look.encode(rows_of(part, "text"))
                 base, p, known = look.scores(x, n)
                 at = np.cumsum(n) - n
