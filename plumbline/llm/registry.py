@@ -8,8 +8,7 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, media, mixing, ngram, pii, secrets, simhash, suffixdup, toxicity
-from plumbline.llm import oracles
+from plumbline.llm import decontaminate, fim, langid, media, minhash, mixing, ngram, oracles, pii, secrets, simhash, suffixdup, toxicity, whitening
 from plumbline.llm.common import Scratch, read, remainder
 
 #: For trying the query out where PLUMBLINE_PII_KEY is not set: known to all, so its pseudonyms hide nothing.
@@ -83,5 +82,31 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.copies(pages, media.render).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_simhash, op5_toxicity, op6_ngram, op7_secrets, op8_suffix, op9_langid, op10_media)}
-ORACLES = {"op1_decontaminate": oracles.OP1, "op3_mixing": oracles.OP3, "op7_secrets": oracles.OP7}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid vector on the first 32 components. A deviation beyond 64 bits is null."""
+    vecs = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vecs)
+    white = whitening.whitened(vecs, model, components=32)
+    each = white.select("vec_id", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*map(F.lit, model.explained or [0.0])), F.col("at")).alias("explained"), F.lit(whitening.identity_error(white)).cast("double").alias("identity_error"),
+    )
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the outputs and of the texts that are read back from them."""
+    got = fim.transformed(read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_pii, op3_mixing, op4_simhash, op5_toxicity, op6_ngram, op7_secrets, op8_suffix, op9_langid, op10_media, op11_whitening, op12_minhash, op13_fim)
+}
+ORACLES = {"op1_decontaminate": oracles.OP1, "op3_mixing": oracles.OP3, "op7_secrets": oracles.OP7, "op12_minhash": oracles.OP12, "op13_fim": oracles.OP13}
