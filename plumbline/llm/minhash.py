@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, arrow, docs_view, id_kind, only, rows_of
 from plumbline.llm.graph import connected_components
-from plumbline.llm.simhash import shingle_hashes
+from plumbline.llm.simhash import SKETCH, parity_sketch, shingle_hashes
 
 #: Bins of a band, and bands. Two sets of similarity s agree in no band with probability (1 - s ** ROWS) ** BANDS:
 #: 7e-8 at 0.85, 1e-13 at 0.9.
@@ -92,22 +92,27 @@ def stars(shared: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows in different components that may be similar: all pairs that share a prefix shingle and agree in size.
+    """(a, b) of rows in different components that may be similar, by prefix, position, size and sketch.
 
-    ``sets(node, root, h)``. Exact: it loses no pair of at least ``percent`` of a hundred.
+    ``sets(node, root, h, sk)``. Exact: each condition holds for every pair of at least ``percent`` of a hundred, the
+    one on positions at the first shingle that the pair has in common, the one on ``parity_sketch`` always.
     """
     each = sets.select("node", "root", F.size("h").alias("n"), F.explode("h").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "s"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    post = each.join(often, "s").withColumn("rank", rank).filter((F.col("rank") <= first) & (F.col("f") > 1)).select("s", "node", "root", "n")
+    post = each.join(often, "s").withColumn("rank", rank).filter((F.col("rank") <= first) & (F.col("f") > 1)).select("s", "node", "root", "n", "rank")
     per = post.groupBy("s", "root").agg(F.count("*").alias("m"))
     main = per.groupBy("s").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("s", "main")
-    live = post.join(main, "s")
-    guest = live.filter("root <> main").select("s", F.col("node").alias("g"), F.col("root").alias("g_root"), F.col("n").alias("g_n"))
+    live = post.join(main, "s").join(sets.select("node", "sk"), "node")
+    guest = live.filter("root <> main").select("s", *[F.col(c).alias(f"g_{c}") for c in ("node", "root", "n", "rank", "sk")])
+    both, apart = F.col("n") + F.col("g_n"), sum((F.bit_count(F.get("sk", F.lit(i)).bitwiseXOR(F.get("g_sk", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
     fits = F.least("n", "g_n") * 100 >= F.greatest("n", "g_n") * percent
-    pair = guest.join(live, "s").filter((F.col("root") != F.col("g_root")) & fits & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("g"))))
-    return pair.select(F.least("node", "g").alias("a"), F.greatest("node", "g").alias("b")).distinct()
+    enough = (F.least(F.col("n") - F.col("rank"), F.col("g_n") - F.col("g_rank")) + 1) * (100 + percent) >= both * percent
+    close = apart * (100 + percent) <= both * (100 - percent)
+    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("g_node"))
+    pair = guest.join(live, "s").filter((F.col("root") != F.col("g_root")) & once & fits & enough & close)
+    return pair.select(F.least("node", "g_node").alias("a"), F.greatest("node", "g_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
@@ -138,9 +143,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [_set(t, shingle) for t in rows_of(b, "text")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))], names=["digest", "h"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([r[1].view(np.int64) for r in rows], [parity_sketch(r[1]) for r in rows])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *lists], names=["digest", "h", "sk"])
 
-    sets = wanted.transform(arrow(full, "digest binary, h array<long>")).join(met.select("digest", "node"), "digest").select("node", "h")
+    sets = wanted.transform(arrow(full, "digest binary, h array<long>, sk array<long>")).join(met.select("digest", "node"), "digest").select("node", "h", "sk")
     sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ pytest.importorskip("plumbline.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from plumbline.llm import fim, minhash, registry, whitening  # noqa: E402
+from plumbline.llm import fim, minhash, registry, simhash, whitening  # noqa: E402
 
 R = random.Random(9)
 VOCAB = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(400)]
@@ -176,10 +176,10 @@ def test_pages_of_one_template_make_few_pairs(spark):
     """A thousand pages with 500 of 600 words in common, no similar pair: the prefix filter pairs none of them."""
     shared = prose(500, 21)
     sets = [(i, i, sorted({hash(s) for s in shingle_set(" ".join(shared + [f"p{i}w{k}" for k in range(100)]))})) for i in range(1000)]
-    df = spark.createDataFrame(sets, "node long, root long, h array<long>")
-    assert minhash.prefix_pairs(df, 85).count() == 0
+    made = lambda rows: spark.createDataFrame([(*r, simhash.parity_sketch(np.array(r[2]).view(np.uint64)).tolist()) for r in rows], "node long, root long, h array<long>, sk array<long>")
+    assert minhash.prefix_pairs(made(sets), 85).count() == 0
     near = [(i, i, h[: 3 if i < 4 else len(h)] + sets[0][2][3:] if i < 4 else h) for i, _, h in sets]
-    got = {tuple(r) for r in minhash.prefix_pairs(spark.createDataFrame(near, "node long, root long, h array<long>"), 85).collect()}
+    got = {tuple(r) for r in minhash.prefix_pairs(made(near), 85).collect()}
     assert got >= {(a, b) for a, b in itertools.combinations(range(4), 2)} and len(got) < 50
 
 
