@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.operators.quantiles import exact_quantiles
+from plumbline.session import cut
 
 KEYS = ["layer", "pooling"]
 POOLINGS = ("cls", "mean_patch")
@@ -89,12 +91,13 @@ def cosine_stats(pairs: DataFrame) -> DataFrame:
 
 def figures_per_patent(m: DataFrame) -> DataFrame:
     """Counts per patent; null patents are left out of them."""
-    per = m.groupBy(*KEYS, "patent_id").count()
+    per = cut(m.groupBy(*KEYS, "patent_id").count())
     named = F.when(F.col("patent_id").isNotNull(), F.col("count"))
-    return per.groupBy(*KEYS).agg(
-        F.sum("count").alias("n_figures"), F.count("patent_id").alias("n_patents"),
-        F.min(named).alias("fig_per_patent_min"), F.median(named).alias("fig_per_patent_median"), F.max(named).alias("fig_per_patent_max"),
+    counts = per.groupBy(*KEYS).agg(
+        F.sum("count").alias("n_figures"), F.count("patent_id").alias("n_patents"), F.min(named).alias("fig_per_patent_min"), F.max(named).alias("fig_per_patent_max")
     )
+    middle = exact_quantiles(per.select(*KEYS, named.alias("n")), "n", [0.5], KEYS).select(*KEYS, F.col("quantiles")[0].alias("fig_per_patent_median"))
+    return counts.join(middle, KEYS).select(*KEYS, "n_figures", "n_patents", "fig_per_patent_min", "fig_per_patent_median", "fig_per_patent_max")
 
 
 def qc_report(m: DataFrame, info: dict | None = None, sample_size: int = 512, seed: int = 42, id_col: str = "figure_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.schemas import REQUIRED_LONG, require_columns
 
 # Sections, fields and names the label format defines.
@@ -121,11 +122,9 @@ def join_metadata(wide: DataFrame, meta: DataFrame, id_col: str = "Record Number
 
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
-    """One row: the distinct exact percentile edges and the number of values."""
-    return df.agg(
-        F.array_distinct(F.percentile(F.col(col).cast("double"), [i / q for i in range(q + 1)])).alias("edges"),
-        F.count(col).alias("n_valid"),
-    )
+    """One row: the distinct exact percentile edges and the number of values, by distributed selection."""
+    got = exact_quantiles(df, col, [i / q for i in range(q + 1)])
+    return got.select(F.array_distinct("quantiles").alias("edges"), "n_valid")
 
 
 def bin_index(value: Column, edges: Column) -> Column:

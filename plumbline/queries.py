@@ -11,7 +11,8 @@ from plumbline.functions import text as X
 from plumbline.functions import vectors as V
 from plumbline.operators import embeddings as E
 from plumbline.operators import labels as L
-from plumbline.operators import catalog, lineage, pairs, probes, structure
+from plumbline.operators import catalog, lineage, pairs, probes, structure, tiles
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +65,36 @@ def pairwise_cosine_stats(spark, d):
     return rounded(E.cosine_stats(E.pairwise_cosine(E.seeded_sample(m, "figure_id", 512, 42, E.KEYS), "figure_id")))
 
 
+_ALL = _COS.replace(_SAMPLE, "embeddings")
+
+
+@query(f"WITH {_ALL} SELECT 0::INTEGER AS layer, 'cls' AS pooling, count(*) AS n_pairs, {_STATS} FROM c")
+def all_pairs_cosine(spark, d):
+    """J8/A15 over every pair of the whole matrix, by tiles."""
+    return rounded(tiles.cosine_summary(matrix(spark, d), "figure_id"))
+
+
+@query(
+    f"WITH {_ALL}, b AS (SELECT i, j, round(cos, 12) cos FROM c UNION ALL SELECT j, i, round(cos, 12) FROM c), r AS (SELECT i, j, cos, row_number() OVER (PARTITION BY i ORDER BY cos DESC, j) rank FROM b) "
+    "SELECT i AS figure_id, rank::INTEGER AS rank, j AS neighbour, round(cos, 6) AS cos FROM r WHERE rank <= 5"
+)
+def nearest_rows(spark, d):
+    """V8: the five rows most like each row, by tiles."""
+    return rounded(tiles.nearest(matrix(spark, d), "figure_id", 5).select(F.col("id").alias("figure_id"), "rank", "neighbour", "cos"))
+
+
+_PROBS = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.95, 0.999, 1.0]
+
+
+@query(
+    f"SELECT l_returnflag, count(l_extendedprice) AS n_valid, unnest(range({len(_PROBS)}))::INTEGER AS k, round(unnest(quantile_cont(l_extendedprice::DOUBLE, {_PROBS})), 6) AS value FROM lineitem GROUP BY l_returnflag"
+)
+def exact_quantiles_by_flag(spark, d):
+    """Interpolated quantiles of each group by distributed selection."""
+    q = exact_quantiles(table(spark, d, "lineitem"), "l_extendedprice", _PROBS, ["l_returnflag"])
+    return rounded(q.select("l_returnflag", "n_valid", F.posexplode("quantiles").alias("k", "value")))
+
+
 @query(
     "WITH m AS (SELECT label, p, avg(x) m FROM (SELECT label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) p FROM embeddings) GROUP BY ALL), "
     "n AS (SELECT label, sqrt(sum(m * m)) n FROM m GROUP BY label) SELECT label, (p - 1)::INTEGER AS pos, round(m / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS value FROM m JOIN n USING (label)"

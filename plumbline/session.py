@@ -1,8 +1,11 @@
-"""Session construction."""
+"""Session construction and cuts of lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbline", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -23,3 +26,25 @@ def build_session(app: str = "plumbline", master: str | None = None, shuffle_par
 def table(spark: SparkSession, base: str, name: str):
     """One of the driver's tables; ``base`` may be any path Spark can read."""
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that spark.checkpoint.dir names, so that lineage ends there and a lost executor costs a re-read.
+
+    Only a local session without the setting gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-cut-"))
+    return df.checkpoint()
+
+
+def join_null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner", where: Column | None = None) -> DataFrame:
+    """``a`` joined with ``b`` on columns of one name, null meeting null, and on ``where``; both may come from one written table."""
+    right = b.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in b.columns])
+    cond = where if where is not None else F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return a.join(right, cond, how).drop(*[f"_on_{c}" for c in on])

@@ -12,16 +12,18 @@ import os
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from xml.etree import ElementTree
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from plumbline.functions.text import IMAGE_NAME, SAMPLE_NAME
 from plumbline.schemas import PROCESSING_MANIFEST, REVIEW_LONG
+from plumbline.sources.npy import NpySource
+from plumbline.sources.pushdown import FILTERED, Pushed
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -39,6 +41,15 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _sheets(z: zipfile.ZipFile) -> list:
+    return list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"))
+
+
+def sheet_names(path: str) -> list[str]:
+    with zipfile.ZipFile(path) as z:
+        return [s.get("name") for s in _sheets(z)]
+
+
 def sheet_rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
     """Rows of one sheet (the first by default) as text; gaps are None. Standard library only."""
     with zipfile.ZipFile(path) as z:
@@ -48,7 +59,7 @@ def sheet_rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in si.iter(f"{_NS}t")))
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(s.get("name"), rels[s.get(f"{_REL}id")]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
+        sheets = [(s.get("name"), rels[s.get(f"{_REL}id")]) for s in _sheets(z)]
         target = next((t for n, t in sheets if sheet in (None, n)), None)
         if target is None:
             raise ValueError(f"{path}: no sheet {sheet!r}; it has {[n for n, _ in sheets]}")
@@ -74,26 +85,46 @@ def sheet_rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]
 
 
 class _XlsxReader(DataSourceReader):
+    """Filters on _source_file choose files, those on _sheet choose sheets, those on cells are applied before a row leaves Python.
+
+    Files and sheets that are not chosen are not opened.
+    """
+
     def __init__(self, schema, options):
-        self.names, self.options = [f.name for f in schema.fields], options
+        self.names, self.options, self.pushed = [f.name for f in schema.fields], options, Pushed()
+        self.cells = [f.name for f in schema.fields if f.dataType.simpleString() == "string"]
 
     def partitions(self):
         files = sorted(glob.glob(self.options["path"]))
         if not files:
             raise FileNotFoundError(self.options["path"])
-        return [_File(i, p) for i, p in enumerate(files)]
+        return [_File(i, p) for i, p in enumerate(files) if self.pushed.passes(_source_file=os.path.basename(p))] or [_File(0, "")]
 
     def read(self, part):
-        rows = sheet_rows(part.path, self.options.get("sheet"))
-        at = {n: i for i, n in enumerate(next(rows, []))}
-        for k, r in enumerate(rows):
-            cell = lambda n: r[at[n]] if n in at and at[n] < len(r) else None  # noqa: B023, E731
-            own = {"_source_file": os.path.basename(part.path), "row_ord": part.rank * (1 << 40) + k}
-            yield tuple(own.get(n, cell(n)) for n in self.names)
+        if not part.path:
+            return
+        one = self.options.get("sheet")
+        chosen = [one] if one or "_sheet" not in self.names else [s for s in sheet_names(part.path) if self.pushed.passes(_sheet=s)]
+        for s, name in enumerate(chosen):
+            rows = sheet_rows(part.path, name)
+            at = {n: i for i, n in enumerate(next(rows, []))}
+            for k, r in enumerate(rows):
+                own = {"_source_file": os.path.basename(part.path), "_sheet": name, "row_ord": part.rank * (1 << 40) + s * (1 << 32) + k}
+                row = {n: own[n] if n in own else r[at[n]] if n in at and at[n] < len(r) else None for n in self.names}
+                if self.pushed.passes(**{n: row[n] for n in self.pushed.by}):
+                    yield tuple(row.values())
+
+
+class _FilteredXlsxReader(_XlsxReader):
+    def pushFilters(self, filters):
+        yield from self.pushed.take(filters, self.cells)
 
 
 class XlsxSource(DataSource):
-    """Options: path (glob), sheet. Only the columns of the given schema are built; it emits _source_file and row_ord."""
+    """Options: path (glob), sheet (the first by default). Only the columns of the given schema are built.
+
+    It emits _source_file and row_ord; with a column _sheet in the schema and no option, every sheet's rows with their sheet's name.
+    """
 
     @classmethod
     def name(cls):
@@ -103,82 +134,57 @@ class XlsxSource(DataSource):
         return REVIEW_LONG
 
     def reader(self, schema):
-        return _XlsxReader(schema, dict(self.options))
-
-
-class _NpyReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
-
-    def partitions(self):
-        want = {f"emb_layer{x}_{p}.npy" for x in self.options["layers"].split(",") for p in self.options["poolings"].split(",")}
-        base = self.options["path"]
-        step = int(self.options.get("rows", 65536))
-        parts = []
-        for name in sorted(want & set(os.listdir(base))):  # missing matrices are skipped
-            n = np.load(os.path.join(base, name), mmap_mode="r").shape[0]
-            parts += [_File(i, os.path.join(base, name)) for i in range(0, n, step)]
-        return parts or [_File(-1, "")]
-
-    def read(self, part):
-        if part.rank < 0:
-            return
-        m = re.fullmatch(r"emb_layer(\d+)_(\w+)\.npy", os.path.basename(part.path))
-        block = np.load(part.path, mmap_mode="r")[part.rank : part.rank + int(self.options.get("rows", 65536))]
-        n = len(block)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(part.rank, part.rank + n)), pa.array(np.full(n, int(m[1]), np.int32)), pa.array([m[2]] * n),
-                pa.array(list(np.asarray(block, np.float32)), pa.list_(pa.float32())),
-            ],
-            names=["row_idx", "layer", "pooling", "vec"],
-        )
+        return (_FilteredXlsxReader if FILTERED in self.options else _XlsxReader)(schema, dict(self.options))
 
 
-class NpySource(DataSource):
-    """Options: path (folder), layers, poolings (comma lists), rows per partition."""
-
-    @classmethod
-    def name(cls):
-        return "npy"
-
-    def schema(self):
-        return "row_idx long, layer int, pooling string, vec array<float>"
-
-    def reader(self, schema):
-        return _NpyReader(dict(self.options))
+class _Listing(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
 
 
 class _ListingReader(DataSourceReader):
+    """Filters on the path are applied to names, before a file's size is asked for; folders that a prefix rules out are not read."""
+
     def __init__(self, options):
-        self.options = options
+        self.options, self.pushed = options, Pushed()
+
+    def _may_hold(self, folder: str) -> bool:
+        return all(f"{folder}/".startswith(p) or p.startswith(f"{folder}/") for p in self.pushed.prefixes("path"))
 
     def partitions(self):
-        base = self.options["path"]
+        base = self.options["path"].rstrip("/")
         if not os.path.isdir(base):
             raise FileNotFoundError(base)
         subs = sorted(e.path for e in os.scandir(base) if e.is_dir()) if self.options.get("recursive", "true") == "true" else []
-        return [_File(0, base), *[_File(1, s) for s in subs]]
+        return [_Listing(base, False), *[_Listing(s, True) for s in subs if self._may_hold(s)]]
 
     def read(self, part):
-        for d, _, files in os.walk(part.path) if part.rank else [(part.path, [], [e.name for e in os.scandir(part.path) if e.is_file()])]:
+        for d, dirs, files in os.walk(part.path) if part.deep else [(part.path, [], [e.name for e in os.scandir(part.path) if e.is_file()])]:
+            dirs[:] = [x for x in dirs if self._may_hold(os.path.join(d, x))]
             for f in files:
                 p = os.path.join(d, f)
-                yield p, os.path.getsize(p)
+                if self.pushed.passes(path=p):
+                    s = os.stat(p)
+                    yield p, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC)
+
+
+class _FilteredListingReader(_ListingReader):
+    def pushFilters(self, filters):
+        yield from self.pushed.take(filters, ("path",))
 
 
 class ListingSource(DataSource):
-    """Every file with its size, empty ones included. Options: path, recursive. One partition per subfolder."""
+    """Every file with its size and time of change, empty ones included. Options: path, recursive. One partition per subfolder."""
 
     @classmethod
     def name(cls):
         return "listing"
 
     def schema(self):
-        return "path string, bytes long"
+        return "path string, bytes long, modified timestamp"
 
     def reader(self, schema):
-        return _ListingReader(dict(self.options))
+        return (_FilteredListingReader if FILTERED in self.options else _ListingReader)(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
@@ -186,18 +192,41 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(s)
 
 
-def review_long(spark: SparkSession, pattern: str, sheet: str = "Review") -> DataFrame:
-    """Every Review sheet of the glob in file order. Legacy single files are a glob of one."""
+def scan(spark: SparkSession, source: str, where: Column | str | None = None, schema: str | StructType | None = None, **options: str) -> DataFrame:
+    """Rows of a Python data source that meet ``where``, whose conditions the reader takes before it opens anything.
+
+    A relation of Spark 4.1 keeps the filters of its last query and applies them to the next one, whatever that asks
+    for. So filters are offered only here, to a relation that nothing reaches but through ``where``, and what a caller
+    filters further stays in Spark.
+    """
     register(spark)
-    return spark.read.format("xlsx").schema(REVIEW_LONG).option("path", pattern).option("sheet", sheet).load()
+    reader = spark.read.format(source).options(**options, **({} if where is None else {FILTERED: "true"}))
+    df = (reader.schema(schema) if schema else reader).load()
+    if where is None:
+        return df
+    df, key = df.filter(where), "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set(key, before)
+    return df
+
+
+def review_long(spark: SparkSession, pattern: str, sheet: str = "Review", where: Column | str | None = None) -> DataFrame:
+    """Every Review sheet of the glob in file order. Legacy single files are a glob of one.
+
+    ``where`` chooses files (by _source_file) and rows while they are read.
+    """
+    return scan(spark, "xlsx", where, REVIEW_LONG, path=pattern, sheet=sheet)
 
 
-def sheet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def sheet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
     """Chosen columns of a workbook's first sheet, or all of them, as text, with row_ord."""
-    register(spark)
     columns = sheet_columns(path) if columns is None else columns
     fields = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.format("xlsx").schema(f"{fields}, row_ord long").option("path", path).load()
+    return scan(spark, "xlsx", where, f"{fields}, row_ord long", path=path)
 
 
 def matching_files(spark: SparkSession, pattern: str) -> list[str]:
@@ -253,10 +282,9 @@ def sheet_columns(path: str, sheet_name: str | None = None) -> list[str]:
     return [c for c in next(sheet_rows(path, sheet_name), []) if c is not None]
 
 
-def image_paths(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Image files of a folder and below, empty ones too, sorted by path."""
-    register(spark)
-    df = spark.read.format("listing").option("path", folder).option("recursive", str(recursive).lower()).load()
+def image_paths(spark: SparkSession, folder: str, recursive: bool = True, where: Column | str | None = None) -> DataFrame:
+    """Image files of a folder and below, empty ones too, sorted by path. A prefix in ``where`` spares folders."""
+    df = scan(spark, "listing", where, path=folder, recursive=str(recursive).lower())
     return df.filter(F.col("path").rlike(IMAGE_NAME)).orderBy("path")
 
 
@@ -275,10 +303,8 @@ def image_bytes(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
 
 
 def embedding_bundle(spark: SparkSession, folder: str, layers: list[int], poolings: list[str]) -> DataFrame:
-    """Npy matrices zipped with metadata.parquet on row_idx."""
-    register(spark)
-    o = {"path": folder, "layers": ",".join(map(str, layers)), "poolings": ",".join(poolings)}
-    m = spark.read.format("npy").options(**o).load()
+    """Npy matrices zipped with metadata.parquet on row_idx. Files of other matrices are not opened."""
+    m = scan(spark, "npy", F.col("layer").isin(layers) & F.col("pooling").isin(poolings), path=folder)
     return spark.read.parquet(os.path.join(folder, "metadata.parquet")).join(m, "row_idx")
 
 

@@ -7,10 +7,12 @@ import os
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.operators.labels import column_dictionary
+from plumbline.sources.npy import matrix_name
+from plumbline.sources.readers import register
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -32,19 +34,26 @@ def save_matrix(matrix: DataFrame, folder: str, info: dict) -> None:
     write_text(matrix.sparkSession, f"{folder}/model_info.json", json.dumps(info, indent=1))
 
 
-def export_npy(matrix: DataFrame, folder: str, max_rows: int = 1_000_000) -> list[str]:
-    """K1: one ``emb_layer<L>_<pooling>.npy`` per matrix and metadata.parquet, in order of row_idx; for hand-over, so bounded."""
-    os.makedirs(folder, exist_ok=True)
-    names = []
-    for layer, how, n in sorted(tuple(r) for r in matrix.groupBy("layer", "pooling").count().collect()):  # the matrices' names
-        if n > max_rows:
-            raise ValueError(f"{n} rows in one file; export at most {max_rows}, or use save_matrix")
-        rows = matrix.filter((matrix.layer == layer) & (matrix.pooling == how)).select("row_idx", "vec").orderBy("row_idx").toLocalIterator()
-        names.append(f"emb_layer{layer}_{how}.npy")
-        np.save(os.path.join(folder, names[-1]), np.array([r.vec for r in rows], np.float32))
+def export_npy(matrix: DataFrame, folder: str) -> list[str]:
+    """K1: one ``emb_layer<L>_<pooling>.npy`` per matrix and metadata.parquet, in order of row_idx.
+
+    Each task writes its slice of rows, so no matrix is ever in one place. Rows must be numbered 0..n-1 within each
+    matrix and have one length; anything else, or a failed task, leaves no file.
+    """
+    register(matrix.sparkSession)
+    size = F.size("vec")
+    facts = matrix.groupBy("layer", "pooling").agg(F.count("*").alias("n"), F.count("vec").alias("given"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"), F.min(size).alias("short"), F.max(size).alias("long"))
+    shapes = {}
+    for r in sorted(facts.collect(), key=lambda r: (r.layer, r.pooling)):  # one row a matrix
+        if (r.first, r.last) != (0, r.n - 1) or r.short != r.long or r.given < r.n:
+            raise ValueError(f"layer {r.layer}, {r.pooling}: rows {r.first}..{r.last} for {r.n} vectors of length {r.short}..{r.long}")
+        shapes[matrix_name(r.layer, r.pooling)] = (r.n, r.short)
+    order = ["layer", "pooling", "row_idx"]
+    rows = matrix.select(*order, F.col("vec").cast("array<float>").alias("vec")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.format("npy").mode("append").option("path", folder).option("shapes", json.dumps(shapes)).save()
     meta = [c for c in matrix.columns if c not in ("layer", "pooling", "vec")]
     matrix.select(*meta).dropDuplicates(["row_idx"]).write.mode("overwrite").parquet(os.path.join(folder, "metadata.parquet"))
-    return names
+    return list(shapes)
 
 
 def append_loss(spark: SparkSession, path: str, epoch: int, losses: list[float]) -> None:

@@ -60,8 +60,6 @@ def test_bundles_round_trip(spark, tmp_path):
     assert names == ["emb_layer1_cls.npy", "emb_layer2_cls.npy"] and np.load(tmp_path / "npy" / names[1]).tolist() == [[i, 2] for i in range(5)]
     back = readers.embedding_bundle(spark, str(tmp_path / "npy"), [1, 2], ["cls"])
     assert sorted((r.row_idx, r.layer, tuple(r.vec)) for r in back.collect()) == sorted((r[0], r[4], tuple(r[6])) for r in rows)
-    with pytest.raises(ValueError, match="at most"):
-        sinks.export_npy(m, str(tmp_path / "npy"), max_rows=2)
     sinks.save_pipeline(m, str(tmp_path / "pipe"), {"hidden_dim": 2}, {"lr": 1})
     assert sinks.load_matrix(spark, str(tmp_path / "pipe"), [2], ["cls"]).count() == 5
     assert readers.model_info(spark, str(tmp_path / "pipe")) == {"hidden_dim": 2} and readers.model_info(spark, str(tmp_path)) == {}
@@ -134,3 +132,116 @@ def test_stream_repivots(spark, tmp_path):
     q = w.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("windows").collect()) == [5, 5]
+
+
+def pushed(df):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+
+
+def matrix_rows(spark, n=300, dim=6):
+    r = np.random.default_rng(2)
+    data = {(layer, how): r.normal(size=(n + layer, dim + layer)).astype(np.float32) for layer in (1, 2) for how in ("cls", "mean_patch")}
+    rows = [(i, f"f{i}", layer, how, v.tolist()) for (layer, how), a in data.items() for i, v in enumerate(a)]
+    return data, spark.createDataFrame(rows, "row_idx long, figure_id string, layer int, pooling string, vec array<float>").repartition(7)
+
+
+def test_npy_files_are_numpys_own(spark, tmp_path):
+    data, m = matrix_rows(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks a file
+    try:
+        names = sinks.export_npy(m, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(names) == sorted(f for f in os.listdir(tmp_path) if "npy" in f) and len(names) == 4
+    for (layer, how), a in data.items():
+        np.save(tmp_path / "want", a)
+        assert (tmp_path / f"emb_layer{layer}_{how}.npy").read_bytes() == (tmp_path / "want.npy").read_bytes()
+    assert spark.read.parquet(str(tmp_path / "metadata.parquet")).count() == 302
+
+
+def test_a_failed_export_leaves_no_file(spark, tmp_path):
+    _, m = matrix_rows(spark)
+
+    def breaks(batches):
+        for b in batches:
+            if any(i >= 290 for i in b["row_idx"]):
+                raise RuntimeError("executor is gone")
+            yield b
+
+    shapes = json.dumps({f"emb_layer{layer}_{how}.npy": [300 + layer, 6 + layer] for layer in (1, 2) for how in ("cls", "mean_patch")})
+    rows = m.select("layer", "pooling", "row_idx", "vec").repartitionByRange(4, "layer", "pooling", "row_idx").sortWithinPartitions("layer", "pooling", "row_idx")
+    readers.register(spark)
+    write = lambda df: df.write.format("npy").mode("append").option("path", str(tmp_path)).option("shapes", shapes).save()
+    with pytest.raises(Exception, match="executor is gone"):
+        write(rows.mapInPandas(breaks, rows.schema))
+    assert os.listdir(tmp_path) == []
+    with pytest.raises(Exception, match="rows came"):
+        write(rows.filter("row_idx <> 5"))
+    assert os.listdir(tmp_path) == []
+    with pytest.raises(Exception, match="twice or out of order"):
+        write(rows.union(rows.filter("row_idx = 5")).repartition(1).sortWithinPartitions("layer", "pooling", "row_idx"))
+    assert os.listdir(tmp_path) == []
+    for bad in (m.filter("row_idx <> 0"), m.withColumn("vec", F.expr("if(row_idx = 3, array(float(1)), vec)")), m.withColumn("vec", F.expr("if(row_idx = 3, null, vec)"))):
+        with pytest.raises(ValueError, match="vectors of length"):
+            sinks.export_npy(bad, str(tmp_path))
+    assert os.listdir(tmp_path) == []
+
+
+def test_npy_filters_choose_files_and_rows(spark, tmp_path):
+    data, m = matrix_rows(spark)
+    sinks.export_npy(m, str(tmp_path))
+    (tmp_path / "emb_layer9_cls.npy").write_bytes(b"not an array")
+    npy = lambda where: readers.scan(spark, "npy", where, path=str(tmp_path), rows="50")
+    one = npy("layer = 1 and pooling in ('cls', 'max') and row_idx >= 120 and row_idx < 260")
+    got = one.orderBy("row_idx").collect()  # the broken file is not opened
+    assert [r.row_idx for r in got] == list(range(120, 260)) and np.array_equal([r.vec for r in got], data[1, "cls"][120:260])
+    assert one.rdd.getNumPartitions() == 3
+    assert "EqualTo(layer,1)" in pushed(one) and "In(pooling" in pushed(one)
+    assert npy("layer > 2 and layer < 9").count() == 0 and npy("layer <> 9 and pooling like 'mean%'").count() == 603
+    with pytest.raises(Exception, match="magic|pickle|Cannot load"):
+        npy(None).collect()
+    assert readers.embedding_bundle(spark, str(tmp_path), [1, 2], ["cls"]).count() == 603
+
+
+def test_pushed_filters_stay_with_their_scan(spark, tmp_path):
+    """Further filters, and queries without them, see the scan's rows and no others."""
+    for n in "abc":
+        (tmp_path / f"{n}.png").write_bytes(n.encode())
+    name = lambda d: sorted(os.path.basename(r.path) for r in d.collect())
+    ab = readers.scan(spark, "listing", ~F.col("path").endswith("c.png"), path=str(tmp_path))
+    a, b = (ab.filter(F.col("path").endswith(f"{n}.png")) for n in "ab")
+    assert name(a) == ["a.png"] and name(ab) == ["a.png", "b.png"] and name(b) == ["b.png"] and ab.count() == 2
+    assert name(a.union(ab).union(b)) == ["a.png", "a.png", "b.png", "b.png"]
+    every = readers.scan(spark, "listing", path=str(tmp_path))
+    assert name(every.filter(F.col("path").endswith("a.png"))) == ["a.png"] and every.count() == 3
+
+
+def test_listing_filters_skip_folders(spark, tmp_path):
+    for n in ("a/one.png", "a/deep/two.png", "ab/three.png", "b/four.png", "five.png"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * len(n))
+    scan = lambda where: readers.scan(spark, "listing", where, path=str(tmp_path))
+    under = scan(F.col("path").startswith(f"{tmp_path}/a/"))
+    name = lambda d: sorted(os.path.relpath(r.path, tmp_path) for r in d.collect())
+    assert name(under) == ["a/deep/two.png", "a/one.png"] and under.rdd.getNumPartitions() == 2  # the folder itself and a
+    assert "StringStartsWith(path" in pushed(under)
+    assert name(scan(F.col("path").contains("t") & ~F.col("path").endswith("three.png") & (F.col("bytes") > 10))) == ["a/deep/two.png"]
+    assert name(scan(F.col("path") == f"{tmp_path}/b/four.png")) == ["b/four.png"]
+    assert name(readers.image_paths(spark, str(tmp_path), where=F.col("path").startswith(f"{tmp_path}/b"))) == ["b/four.png"]
+
+
+def test_xlsx_filters_choose_files_sheets_and_rows(spark, tmp_path):
+    head = ["Patent_ID", "Section", "Value"]
+    book(tmp_path / "a.xlsx", {"Review": [head, ["P1", "T1", "x"], ["P2", "T2", None], ["P3", "T2", "y"]], "Notes": [head, ["N1", "T2", "z"]]})
+    (tmp_path / "b.xlsx").write_bytes(b"not a workbook")
+    cols = "Patent_ID string, Section string, Value string, _source_file string, _sheet string, row_ord long"
+    scan = lambda where: readers.scan(spark, "xlsx", where and f"_source_file = 'a.xlsx' and {where}", cols, path=str(tmp_path / "*.xlsx"))
+    assert [(r.Patent_ID, r._sheet) for r in scan("true").orderBy("row_ord").collect()] == [("P1", "Review"), ("P2", "Review"), ("P3", "Review"), ("N1", "Notes")]
+    t2 = scan("Section = 'T2' and Value is not null and _sheet in ('Review', 'x')")
+    assert [r.Patent_ID for r in t2.collect()] == ["P3"]
+    assert all(x in pushed(t2) for x in ("EqualTo(_source_file,a.xlsx)", "EqualTo(Section,T2)", "IsNotNull(Value)"))
+    assert [r.Patent_ID for r in scan("Value <> 'x' and _sheet <> 'Notes'").collect()] == ["P3"]  # unknown is not true
+    assert [r.Patent_ID for r in readers.review_long(spark, str(tmp_path / "*.xlsx"), where="_source_file like 'a%' and Section = 'T1'").collect()] == ["P1"]
+    with pytest.raises(Exception, match="zip"):
+        scan(None).collect()
