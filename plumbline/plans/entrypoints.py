@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import catalog, embeddings, encode, labels, lineage, pairs
-from plumbline.sources import readers
+from plumbline.session import cut
+from plumbline.sources import ledger, readers
 
 
 def label_export(spark: SparkSession, reviews: str, metadata: str, *, ingest_date: str, manifest: str | None = None, image_dir: str | None = None, year_bins: int = 3) -> dict[str, DataFrame]:
@@ -55,6 +57,22 @@ def frozen_extraction(spark: SparkSession, manifest: str, make: Callable[[], enc
     }
 
 
+def refreshed_extraction(spark: SparkSession, images: str, store: str, make: Callable[..., encode.Encoder], layers: list[int], poolings: list[str], settings: str = "") -> DataFrame:
+    """Entry B over a folder, again and again: (path, layer, pooling, vec ...) of the files that are there now, encoding new and changed ones alone.
+
+    Results are kept in ``store`` for one model, layers and poolings; another ``settings``, layer or pooling starts anew.
+    """
+    digest = hashlib.sha256(repr((sorted(layers), sorted(poolings), settings)).encode()).hexdigest()[:16]
+    name = F.regexp_replace("path", "^.*/", "")
+
+    def build(files: DataFrame) -> DataFrame:
+        rows = cut(files.select("path").withColumn("row_idx", F.monotonically_increasing_id()))
+        figures = readers.with_content(rows).withColumns({"figure_id": name, "patent_id": F.lit(None).cast("string"), "figure_type": F.lit("main")})
+        return encode.encode_images(figures, make, layers, poolings).join(rows, "row_idx").drop("row_idx")
+
+    return ledger.refresh(spark, store, digest, readers.image_paths(spark, images), build)
+
+
 def pair_preparation(canon: DataFrame, class_col: str, style_cols: list[str], *, seed: int = 42, epoch: int = 0, min_count: int = 2) -> dict[str, DataFrame]:
     """Entry C up to the gradient step: eligible rows and this epoch's partner of each."""
     table = pairs.pair_table(canon, class_col, style_cols, min_count)

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from plumbline.functions.text import IMAGE_NAME, SAMPLE_NAME
 from plumbline.schemas import PROCESSING_MANIFEST, REVIEW_LONG
@@ -302,6 +303,27 @@ def image_bytes(spark: SparkSession, folder: str, recursive: bool = True) -> Dat
     return df.select("path", "content").filter(F.col("path").rlike(IMAGE_NAME))
 
 
+def with_content(files: DataFrame, path: str = "path") -> DataFrame:
+    """``files`` with the content of each, read by the task that has the row; a file that is gone by then has null.
+
+    For some files of a large folder, of which ``binaryFile`` would read every one.
+    """
+    fields = StructType([*files.schema.fields, StructField("content", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                try:
+                    with open(one.column(b.schema.get_field_index(path))[0].as_py().removeprefix("file:"), "rb") as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    data = None
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([data], pa.binary())], names=[*b.schema.names, "content"])
+
+    return files.mapInArrow(run, fields)
+
+
 def embedding_bundle(spark: SparkSession, folder: str, layers: list[int], poolings: list[str]) -> DataFrame:
     """Npy matrices zipped with metadata.parquet on row_idx. Files of other matrices are not opened."""
     m = scan(spark, "npy", F.col("layer").isin(layers) & F.col("pooling").isin(poolings), path=folder)
