@@ -21,9 +21,11 @@ from plumbline.session import cut, join_null_safe
 
 #: Rows of a block at most, bytes of its vectors at most, and rows of a product made at once.
 ROWS, BYTES, STRIPE = 4096, 8 << 20, 256
-BINS = 8192
+BINS = 1 << 16
+#: Blocks whose results a task holds while their tiles pass; more are written before their end, and met again after.
+HELD = 8
 #: Values of one counted range that are sorted; ranges with more are counted again in finer ones.
-RANGE = 4_000_000
+RANGE = 500_000
 
 
 def blocks(m: DataFrame, id_col: str, vec: str = "vec", extra: str | None = None, rows: int = ROWS) -> DataFrame:
@@ -77,7 +79,8 @@ def blocks(m: DataFrame, id_col: str, vec: str = "vec", extra: str | None = None
             yield out()
 
     order = [*KEYS, "id"]
-    packed = flat.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, f"layer int, pooling string, seq long, dim int, ids array<{kind}>, extras array<long>, data binary")
+    parts = max(1, -(-flat.count() // (4 * rows)))  # a part fills some blocks, and has one at most that is not full a matrix
+    packed = flat.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, f"layer int, pooling string, seq long, dim int, ids array<{kind}>, extras array<long>, data binary")
     packed = cut(packed.withColumn("part", F.spark_partition_id()).withColumn("single", F.lit(wide == "float")))
     # One row a block: its place among the blocks of its matrix, which is the order of ids.
     names = packed.select(*KEYS, "part", "seq").distinct().withColumn("block", F.row_number().over(Window.partitionBy(*KEYS).orderBy("part", "seq")) - 1)
@@ -97,8 +100,21 @@ def tiles(packed: DataFrame) -> DataFrame:
     return join_null_safe(a, b, [*KEYS, "lo", "hi"])
 
 
+def row_tiles(packed: DataFrame) -> DataFrame:
+    """One row a block ``lo`` and a block ``hi`` of its matrix, itself included; a block's rows lie together, so a task can
+    add up a block over all others and write it once."""
+    name = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("ids", "extras", "data")]
+    a = packed.select(*KEYS, "dim", "single", F.col("block").alias("lo"), *name("a"))
+    b = packed.select(*KEYS, F.col("block").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)).alias("lo"), *name("b"))
+    return join_null_safe(b, a, [*KEYS, "lo"])
+
+
+def _rows(t: dict, side: str) -> np.ndarray:
+    return np.frombuffer(t[f"data_{side}"], np.float32 if t["single"] else np.float64).reshape(-1, t["dim"]).astype(np.float64)
+
+
 def _unit(t: dict, side: str) -> np.ndarray:
-    v = np.frombuffer(t[f"data_{side}"], np.float32 if t["single"] else np.float64).reshape(-1, t["dim"]).astype(np.float64)
+    v = _rows(t, side)
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.where(norm == 0, 1.0, norm)
 
@@ -111,22 +127,35 @@ def stripes(t: dict) -> Iterator[tuple[int, np.ndarray]]:
         yield i, a[i : i + STRIPE] @ b.T
 
 
+def distances(t: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """``stripes`` of Euclidean distances; a row's distance to itself is zero."""
+    a = _rows(t, "a")
+    b = a if t["lo"] == t["hi"] else _rows(t, "b")
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    for i in range(0, len(a), STRIPE):
+        d = np.sqrt(np.maximum(aa[i : i + STRIPE, None] + bb[None] - 2 * (a[i : i + STRIPE] @ b.T), 0))
+        if t["lo"] == t["hi"]:
+            d[np.arange(len(d)), np.arange(i, i + len(d))] = 0
+        yield i, d
+
+
 def upper(t: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Stripes with a mask of the pairs to count: all, or on the diagonal those after the row."""
     for i, c in stripes(t):
         yield i, c, np.ones(c.shape, bool) if t["lo"] < t["hi"] else np.arange(c.shape[1])[None] > np.arange(i, i + len(c))[:, None]
 
 
-def on_tiles(tiled: DataFrame, f: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def on_tiles(tiled: DataFrame, f: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``f`` over the tiles of a task, one at a time; what it adds up over them is written once a task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for i in range(b.num_rows):
                 one = b.slice(i, 1)
                 t = {n: one.column(k)[0].as_py() for k, n in enumerate(one.schema.names) if not n.startswith(("ids", "extras"))}
-                t |= {n: one.column(k).flatten() for k, n in enumerate(one.schema.names) if n.startswith(("ids", "extras"))}
-                yield from f(t)
+                yield t | {n: one.column(k).flatten() for k, n in enumerate(one.schema.names) if n.startswith(("ids", "extras"))}
 
-    return tiled.mapInArrow(run, schema)
+    return tiled.mapInArrow(lambda batches: f(each(batches)), schema)
 
 
 def _keyed(t: dict, n: int, /, **cols) -> pa.RecordBatch:
@@ -137,10 +166,11 @@ def _keyed(t: dict, n: int, /, **cols) -> pa.RecordBatch:
 def all_pairs(m: DataFrame, id_col: str, vec: str = "vec", rows: int = ROWS) -> DataFrame:
     """(layer, pooling, i, j, cos), i before j, of every pair; a stripe of a tile at a time."""
 
-    def pairs(t: dict) -> Iterator[pa.RecordBatch]:
-        for at, c, use in upper(t):
-            i, j = np.nonzero(use)
-            yield _keyed(t, len(i), i=t["ids_a"].take(pa.array(i + at)), j=t["ids_b"].take(pa.array(j)), cos=c[use])
+    def pairs(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for t in some:
+            for at, c, use in upper(t):
+                i, j = np.nonzero(use)
+                yield _keyed(t, len(i), i=t["ids_a"].take(pa.array(i + at)), j=t["ids_b"].take(pa.array(j)), cos=c[use])
 
     kind = m.schema[id_col].dataType.simpleString()
     return on_tiles(tiles(blocks(m, id_col, vec, rows=rows)), pairs, f"layer int, pooling string, i {kind}, j {kind}, cos double")
@@ -161,15 +191,16 @@ def cosine_summary(m: DataFrame, id_col: str, vec: str = "vec", probs: tuple[flo
     spark = m.sparkSession
     tiled = tiles(blocks(m, id_col, vec, rows=rows))
 
-    def moments(t: dict) -> Iterator[pa.RecordBatch]:
-        n, mean, m2 = 0, 0.0, 0.0
-        for _, c, use in upper(t):
-            x = c[use]
-            if len(x):
-                d, k = x.mean() - mean, len(x)
-                m2 += ((x - x.mean()) ** 2).sum() + d * d * n * k / (n + k)
-                mean, n = mean + d * k / (n + k), n + k
-        yield _keyed(t, 1, n=[n], mean=[float(mean)], m2=[float(m2)])
+    def moments(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for t in some:
+            n, mean, m2 = 0, 0.0, 0.0
+            for _, c, use in upper(t):
+                x = c[use]
+                if len(x):
+                    d, k = x.mean() - mean, len(x)
+                    m2 += ((x - x.mean()) ** 2).sum() + d * d * n * k / (n + k)
+                    mean, n = mean + d * k / (n + k), n + k
+            yield _keyed(t, 1, n=[n], mean=[float(mean)], m2=[float(m2)])
 
     each = cut(on_tiles(tiled, moments, "layer int, pooling string, n long, mean double, m2 double").filter("n > 0"))
     whole = each.groupBy(*KEYS).agg(F.sum("n").alias("n_pairs"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("cos_mean"))
@@ -193,18 +224,27 @@ def cosine_summary(m: DataFrame, id_col: str, vec: str = "vec", probs: tuple[flo
         return np.append(lo + np.arange(BINS) * ((hi - lo) / BINS), hi)
 
     def split(open_ranges: dict) -> dict:
-        def counts(t: dict) -> Iterator[pa.RecordBatch]:
-            for lo, hi in open_ranges.get((t["layer"], t["pooling"]), ()):
-                total, edge = np.zeros(BINS, np.int64), edges(lo, hi)
-                for _, c, use in upper(t):
-                    x = c[use & (c >= lo) & (c < hi)]
-                    b = np.minimum((x - lo) / (hi - lo) * BINS, BINS - 1).astype(np.int64)
-                    b += x >= edge[b + 1]  # the edges decide, not the rounding of the division
-                    b -= x < edge[b]
-                    total += np.bincount(b, minlength=BINS)
-                at = np.flatnonzero(total)
-                if len(at):
-                    yield _keyed(t, len(at), lo=np.full(len(at), lo), bin=at, n=total[at])
+        def counts(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, np.ndarray] = {}
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for (layer, pooling, lo), total in held.items():
+                    at = np.flatnonzero(total)
+                    yield _keyed({"layer": layer, "pooling": pooling}, len(at), lo=np.full(len(at), lo), bin=at, n=total[at])
+                held.clear()
+
+            for t in some:
+                for lo, hi in open_ranges.get((t["layer"], t["pooling"]), ()):
+                    total, edge = held.setdefault((t["layer"], t["pooling"], lo), np.zeros(BINS, np.int64)), edges(lo, hi)
+                    for _, c, use in upper(t):
+                        x = c[use & (c >= lo) & (c < hi)]
+                        b = np.minimum((x - lo) / (hi - lo) * BINS, BINS - 1).astype(np.int64)
+                        b += x >= edge[b + 1]  # the edges decide, not the rounding of the division
+                        b -= x < edge[b]
+                        total += np.bincount(b, minlength=BINS)
+                if len(held) > 64:
+                    yield from out()
+            yield from out()
 
         rows_ = on_tiles(tiled, counts, "layer int, pooling string, lo double, bin long, n long").groupBy(*KEYS, "lo", "bin").agg(F.sum("n").alias("n")).collect()  # BINS a range
         out: dict = {}
@@ -227,12 +267,13 @@ def cosine_summary(m: DataFrame, id_col: str, vec: str = "vec", probs: tuple[flo
 
     ranges = ranges_of(state)
 
-    def values(t: dict) -> Iterator[pa.RecordBatch]:
-        for lo, hi in ranges.get((t["layer"], t["pooling"]), ()):
-            for _, c, use in upper(t):
-                x, n = np.unique(c[use & (c >= lo) & (c < hi)], return_counts=True)
-                if len(x):
-                    yield _keyed(t, len(x), lo=np.full(len(x), lo), x=x, n=n)
+    def values(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for t in some:
+            for lo, hi in ranges.get((t["layer"], t["pooling"]), ()):
+                for _, c, use in upper(t):
+                    x, n = np.unique(c[use & (c >= lo) & (c < hi)], return_counts=True)
+                    if len(x):
+                        yield _keyed(t, len(x), lo=np.full(len(x), lo), x=x, n=n)
 
     seen = on_tiles(tiled, values, "layer int, pooling string, lo double, x double, n long").groupBy(*KEYS, "lo", "x").agg(F.sum("n").alias("n"))
     seen = seen.withColumn("upto", F.sum("n").over(Window.partitionBy(*KEYS, "lo").orderBy("x")))
@@ -270,27 +311,73 @@ def nearest(m: DataFrame, id_col: str, k: int, vec: str = "vec", apart: str | No
     With ``apart``, a column of integers such as a fold, neighbours come from rows of another value only.
     """
 
-    def best(t: dict) -> Iterator[pa.RecordBatch]:
-        ids_a, ids_b = t["ids_a"], t["ids_b"]
-        ea, eb = (t[f"extras_{s}"].to_numpy(zero_copy_only=False) for s in "ab")
-        x_b, a_of_b = np.full((len(ids_b), k), -np.inf), np.zeros((len(ids_b), k), np.int64)  # for b's rows, over the stripes so far
-        for at, c in stripes(t):
-            c = np.where(np.isnan(c), -np.inf, np.round(c, 12) + 0.0)
-            if apart:
-                c[ea[at : at + len(c), None] == eb[None]] = -np.inf
-            if t["lo"] == t["hi"]:
-                c[np.arange(len(c)), np.arange(at, at + len(c))] = -np.inf
-            x, j = _top(c, k)
-            i, r = np.nonzero(x > -np.inf)
-            yield _keyed(t, len(i), id=ids_a.take(pa.array(i + at)), neighbour=ids_b.take(pa.array(j[i, r])), cos=x[i, r])
-            if t["lo"] < t["hi"]:
-                rows_a = np.concatenate([a_of_b, np.broadcast_to(np.arange(at, at + len(c)), (len(ids_b), len(c)))], axis=1)
-                x_b, j = _top(np.concatenate([x_b, c.T], axis=1), k)
-                a_of_b = np.take_along_axis(rows_a, j, axis=1)
-        i, r = np.nonzero(x_b > -np.inf)
-        yield _keyed(t, len(i), id=ids_b.take(pa.array(i)), neighbour=ids_a.take(pa.array(a_of_b[i, r])), cos=x_b[i, r])
+    def best(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}  # a block's rows: cosines, places and ids of the best so far
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (layer, pooling, _), (ids, x, _, near) in held.items():
+                i, r = np.nonzero(x > -np.inf)
+                yield _keyed({"layer": layer, "pooling": pooling}, len(i), id=ids.take(pa.array(i)), neighbour=pa.array(near[i, r], ids.type), cos=x[i, r])
+            held.clear()
+
+        for t in some:
+            key = (t["layer"], t["pooling"], t["lo"])
+            if key not in held:
+                if len(held) >= HELD:
+                    yield from out()
+                n = len(t["ids_a"])
+                held[key] = [t["ids_a"], np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.empty((n, k), object)]
+            _, x, place, near = held[key]
+            ids_b, (ea, eb) = t["ids_b"].to_numpy(zero_copy_only=False), (t[f"extras_{s}"].to_numpy(zero_copy_only=False) for s in "ab")
+            for at, c in stripes(t):
+                c = np.where(np.isnan(c), -np.inf, np.round(c, 12) + 0.0)
+                rows_ = slice(at, at + len(c))
+                if apart:
+                    c[ea[rows_, None] == eb[None]] = -np.inf
+                if t["lo"] == t["hi"]:
+                    c[np.arange(len(c)), np.arange(at, at + len(c))] = -np.inf
+                x_new, j = _top(c, k)
+                both = [np.concatenate(z, axis=1) for z in ((x[rows_], x_new), (place[rows_], (t["hi"] << 32) + j), (near[rows_], ids_b[j]))]
+                o = np.argsort(both[1], axis=1, kind="stable")  # places are in the order of ids
+                o = np.take_along_axis(o, np.argsort(-np.take_along_axis(both[0], o, axis=1), axis=1, kind="stable"), axis=1)[:, :k]
+                x[rows_], place[rows_], near[rows_] = (np.take_along_axis(z, o, axis=1) for z in both)
+        yield from out()
 
     kind = m.schema[id_col].dataType.simpleString()
-    found = on_tiles(tiles(blocks(m, id_col, vec, apart, rows)), best, f"layer int, pooling string, id {kind}, neighbour {kind}, cos double")
+    found = on_tiles(row_tiles(blocks(m, id_col, vec, apart, rows)), best, f"layer int, pooling string, id {kind}, neighbour {kind}, cos double")
     order = Window.partitionBy(*KEYS, "id").orderBy(F.desc("cos"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*KEYS, "id", "rank", "neighbour", "cos")
+
+
+def class_distances(m: DataFrame, id_col: str, label: str, vec: str = "vec", rows: int = ROWS) -> DataFrame:
+    """(layer, pooling, id, label, total): the sum of each row's Euclidean distances to all rows of each class.
+
+    ``label`` is a column of integers. A block's sums are added up over the tiles of its task, so what is shuffled is a
+    row and class, never a pair.
+    """
+
+    def sums(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[pa.Array, dict]] = {}  # a block's rows: the sum by class
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (layer, pooling, _), (ids, by) in held.items():
+                for c, total in by.items():
+                    yield _keyed({"layer": layer, "pooling": pooling}, len(ids), id=ids, label=np.full(len(ids), c), total=total)
+            held.clear()
+
+        for t in some:
+            key = (t["layer"], t["pooling"], t["lo"])
+            if key not in held:
+                if len(held) >= HELD:
+                    yield from out()
+                held[key] = (t["ids_a"], {})
+            classes, code = np.unique(t["extras_b"].to_numpy(zero_copy_only=False), return_inverse=True)
+            of_b, by = np.eye(len(classes))[code], held[key][1]
+            for at, d in distances(t):
+                for c, x in zip(classes, (d @ of_b).T):
+                    by.setdefault(int(c), np.zeros(len(t["ids_a"])))[at : at + len(d)] += x
+        yield from out()
+
+    kind = m.schema[id_col].dataType.simpleString()
+    found = on_tiles(row_tiles(blocks(m, id_col, vec, label, rows)), sums, f"layer int, pooling string, id {kind}, label long, total double")
+    return found.groupBy(*KEYS, "id", "label").agg(F.sum("total").alias("total"))
