@@ -1,8 +1,8 @@
 """Evaluation of labelled vectors: probes, stability, hierarchical clustering, confounds and gates (X-series).
 
-An evaluation set is one labelled matrix, after PCA: some hundreds of rows in the reference, at most
-``MAX_ROWS`` here (more raise). It is the only thing that reaches the driver; what repeats over it (queries,
-permutations, resamplings) is a Spark table whose rows the executors work on, each with the set at hand.
+The nearest-neighbour and ridge probes and the silhouette work on tables of any size: tiles, fold sums and ranks.
+What repeats a fit hundreds of times (logistic probe, bootstrap, Ward linkage) takes an ``Evaluation``, one
+labelled matrix after PCA: some hundreds of rows in the reference, at most ``MAX_ROWS`` here (more raise).
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.operators import tiles
+from plumbline.operators.ranks import running_total, spearman
 from plumbline.operators.structure import cosine_silhouette, pca_variance, random_baseline, separation_ratio, spread_seeds
+from plumbline.session import cut
 
 MAX_ROWS = 50_000
 
@@ -42,9 +46,15 @@ def reduced(df: DataFrame, idx: str, label: str, vec: str, n_pca: int = 50) -> D
 
 
 def stratified_fold(rows: DataFrame, folds: int, seed: int) -> DataFrame:
-    """Adds ``fold``: within each class, rows in seeded order are dealt to the folds in turn."""
-    w = Window.partitionBy("y").orderBy(F.xxhash64("i", F.lit(seed)), "i")
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    """Adds ``fold``: rows by class and in seeded order are dealt to the folds in turn, so a class's shares differ by one row at most."""
+    one = rows.withColumns({"_h": F.xxhash64("i", F.lit(seed)), "_one": F.lit(1)})
+    return running_total(one, ["y", "_h", "i"], "_one", "_at").withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_h", "_one", "_at")
+
+
+def fold_count(rows: DataFrame, folds: int) -> int:
+    """As many folds as the smallest class has rows, two at least."""
+    least = rows.groupBy("y").count().agg(F.min("count")).first()[0]
+    return max(2, min(folds, least or 0))
 
 
 @dataclasses.dataclass
@@ -57,10 +67,10 @@ class Evaluation:
     @classmethod
     def of(cls, rows: DataFrame, folds: int = 5, seed: int = 42) -> Evaluation:
         """From (i, y, x), in order of i; as many folds as the smallest class has rows, five at most."""
-        sizes = [r["count"] for r in rows.groupBy("y").count().collect()]  # one row a class
-        if sum(sizes) > MAX_ROWS:
-            raise ValueError(f"{sum(sizes)} rows; an evaluation set has at most {MAX_ROWS}: sample it first (seeded_sample)")
-        got = stratified_fold(rows, max(2, min([folds, *sizes])), seed).orderBy("i").collect() if sizes else []
+        n = rows.count()
+        if n > MAX_ROWS:
+            raise ValueError(f"{n} rows; an evaluation set has at most {MAX_ROWS}: sample it first (seeded_sample)")
+        got = stratified_fold(rows, fold_count(rows, folds), seed).orderBy("i").collect() if n else []
         return cls(np.array([r.i for r in got]), np.array([r.y for r in got]), np.array([r.x for r in got], float).reshape(len(got), -1), np.array([r.fold for r in got], int))
 
 
@@ -82,28 +92,26 @@ def auc(y: np.ndarray, score: np.ndarray) -> float:
 def knn_probe(df: DataFrame, idx: str, label: str, vec: str, k: int = 5, n_pca: int = 50, folds: int = 5, seed: int = 42) -> DataFrame:
     """Cosine k-nearest vote on PCA features out of stratified folds: accuracy and macro-F1, averaged over folds.
 
-    Ties of the vote go to the lesser class, ties of distance to the lesser id. Queries are a Spark table.
+    Ties of the vote go to the lesser class, ties of distance (at 12 decimals) to the lesser id. Neighbours are
+    found by tiles over all rows; no task or driver holds the set.
     """
-    rows = reduced(df, idx, label, vec, n_pca)
-    e = Evaluation.of(rows, folds, seed)
-    unit = e.x / np.maximum(np.linalg.norm(e.x, axis=1, keepdims=True), 1e-300) if len(e.ids) else e.x
-    classes, code = np.unique(e.y, return_inverse=True) if len(e.ids) else (np.empty(0), np.empty(0, int))
-
-    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            at = f["at"].to_numpy()
-            s = np.where(e.fold[at][:, None] == e.fold[None], -np.inf, unit[at] @ unit.T)
-            near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            tally = np.stack([(code[near] == c).sum(axis=1) for c in range(len(classes))], axis=1)
-            yield pd.DataFrame({"fold": e.fold[at], "y": code[at], "p": tally.argmax(axis=1)})
+    rows = cut(reduced(df, idx, label, vec, n_pca))
+    rows = cut(stratified_fold(rows, fold_count(rows, folds), seed))
+    near = tiles.nearest(rows.withColumns({"layer": F.lit(0), "pooling": F.lit("probe")}), "i", k, vec="x", apart="fold")
+    votes = near.join(rows.select(F.col("i").alias("neighbour"), F.col("y").alias("p")), "neighbour").groupBy("id", "p").agg(F.count("*").alias("n"))
+    first = votes.withColumn("_o", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "p"))).filter("_o = 1")  # k rows a window at most
+    guess = rows.select(F.col("i").alias("id"), "y", "fold").join(first.select("id", "p"), "id")
+    return fold_scores(guess)
 
-    got = df.sparkSession.range(len(e.ids)).withColumnRenamed("id", "at").mapInPandas(vote, "fold int, y long, p long")
 
-    def measured(f: pd.DataFrame) -> pd.DataFrame:
-        y, p = f["y"].to_numpy(), f["p"].to_numpy()
-        return pd.DataFrame({"accuracy": [float((y == p).mean())], "f1": [macro_f1(y, p)], "n": [len(f)]})
-
-    return got.groupBy("fold").applyInPandas(measured, "accuracy double, f1 double, n long").agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("macro_f1"), F.sum("n").alias("n"))
+def fold_scores(guess: DataFrame) -> DataFrame:
+    """(accuracy, macro_f1, n) of ``guess(fold, y, p)``, averaged over folds; macro over the classes that a fold has or guesses."""
+    cells = cut(guess.groupBy("fold", "y", "p").agg(F.count("*").alias("n")))
+    right = cells.groupBy("fold").agg((F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
+    side = lambda c: cells.select("fold", F.col(c).alias("c"), "n", F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
+    per = side("y").unionByName(side("p")).groupBy("fold", "c").agg((F.sum("hit") / F.sum("n")).alias("f1"))  # both sides' hits over both sides' rows
+    f1 = per.groupBy("fold").agg(F.avg("f1").alias("f1"))
+    return right.join(f1, "fold").agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("macro_f1"), F.sum("n").alias("n"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -161,19 +169,63 @@ def logistic_probe(df: DataFrame, idx: str, label: str, vec: str, n_pca: int = 5
     return one.select("accuracy", "balanced_acc", "macro_f1", "auc", ((beaten + 1) / (F.size("null_") + 1)).alias("p_value"), F.lit(chance).cast("double").alias("chance"))
 
 
+def fold_sums(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By fold, the sum of z z^T over its rows, with z the features, the target and 1: all that a ridge needs. ``rows(fold, x, t)``.
+
+    What reaches the driver grows with the folds and the square of the dimension, not with the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fold, t = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            z = np.concatenate([x, t[:, None], np.ones((len(t), 1))], axis=1)
+            for f in np.unique(fold):
+                held[int(f)] = z[fold == f].T @ z[fold == f] + held.get(int(f), 0)
+        for f, s in held.items():
+            i, j = np.indices(s.shape, np.int32).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), f, np.int32)), pa.array(i), pa.array(j), pa.array(s.ravel())], names=["fold", "i", "j", "v"])
+
+    cells = rows.select("fold", "x", "t").mapInArrow(run, "fold int, i int, j int, v double").groupBy("fold", "i", "j").agg(F.sum("v").alias("v")).collect()
+    d = 1 + max((c.i for c in cells), default=0)
+    out: dict[int, np.ndarray] = {}
+    for c in cells:
+        out.setdefault(c.fold, np.zeros((d, d)))[c.i, c.j] = c.v
+    return out
+
+
+def _ridge_of(s: np.ndarray, alpha: float) -> np.ndarray:
+    """Weights and bias, on the raw features, of the ridge on features standardised by the population deviation."""
+    n, k = s[-1, -1], len(s) - 2
+    mean, m = s[:k, -1] / n, s[k, -1] / n
+    cov, cross = s[:k, :k] / n - np.outer(mean, mean), s[:k, k] / n - mean * m
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    w = np.linalg.solve(n * cov / np.outer(sd, sd) + alpha * np.eye(k), n * cross / sd) / sd
+    return np.append(w, m - mean @ w)
+
+
 def ridge_cv(df: DataFrame, idx: str, target: str, vec: str, n_pca: int = 50, alpha: float = 10.0, folds: int = 5, seed: int = 42) -> DataFrame:
-    """X19 out of fold: ridge on features standardised (population deviation) by the other folds; R2 and Spearman."""
-    e = Evaluation.of(reduced(df, idx, target, vec, n_pca).withColumns({"_t": F.col("y").cast("double"), "y": F.lit(0)}).select("i", "y", F.concat("x", F.array("_t")).alias("x")), folds, seed)
-    y, x, pred = e.x[:, -1], e.x[:, :-1], np.zeros(len(e.ids))
-    for f in np.unique(e.fold):
-        train, test = e.fold != f, e.fold == f
-        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        a, b, m = (x[train] - mean) / sd, (x[test] - mean) / sd, y[train].mean()
-        pred[test] = b @ np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ (y[train] - m)) + m
-    r2 = 1 - ((y - pred) ** 2).sum() / max(((y - y.mean()) ** 2).sum(), 1e-300) if len(y) else None
-    rho = float(np.corrcoef(pd.Series(y).rank(), pd.Series(pred).rank())[0, 1]) if len(y) > 1 else None
-    return df.sparkSession.createDataFrame([(None if r2 is None else float(r2), rho, len(y))], "r2 double, spearman double, n long")
+    """X19 out of fold: ridge on features standardised (population deviation) by the other folds; R2, Spearman and rows.
+
+    One pass adds each fold's products; a fold's model comes from the sums of the others, and rows are predicted
+    where they are. Without rows, or with a constant target, R2 is null.
+    """
+    rows = cut(reduced(df, idx, target, vec, n_pca).withColumns({"t": F.col("y").cast("double"), "y": F.lit(0)}))
+    rows = cut(stratified_fold(rows, fold_count(rows, folds), seed))
+    sums = fold_sums(rows)
+    if not sums:
+        return df.sparkSession.createDataFrame([(None, None, 0)], "r2 double, spearman double, n long")
+    models = {f: _ridge_of(sum(s for g, s in sums.items() if g != f), alpha) if len(sums) > 1 else np.zeros(len(s) - 1) for f, s in sums.items()}
+    weights = F.create_map(*[e for f, w in models.items() for e in (F.lit(f), F.array(*[F.lit(float(x)) for x in w]))])[F.col("fold")]
+    guess = F.aggregate(F.zip_with(F.concat("x", F.array(F.lit(1.0))), weights, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e)
+    pred = cut(rows.select("t", guess.alias("p")))
+    fit = pred.agg(F.sum((F.col("t") - F.col("p")) ** 2).alias("rest"), (F.var_pop("t") * F.count("*")).alias("all_"), F.count("*").alias("n"))
+    fit = fit.select(F.when(F.col("all_") > 0, 1 - F.col("rest") / F.col("all_")).alias("r2"), "n")
+    return fit.join(spearman(pred, "t", "p"), F.lit(True)).select("r2", "spearman", "n")
 
 
 def kmeans(x: np.ndarray, k: int, n_init: int, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
@@ -269,29 +321,18 @@ def bootstrap_stability(df: DataFrame, idx: str, label: str, vec: str, k: int =
 def euclidean_silhouette(df: DataFrame, idx: str, label: str, vec: str) -> DataFrame:
     """X9 as the reference measures it: mean Euclidean distance to the own class (without oneself) against the nearest other.
 
-    Distances aren't linear in the vectors, so each row meets the whole evaluation set, held by the executors.
+    Tiles add each row's distances by class, so rows meet in blocks and no pair is kept; with one class, or alone in
+    it, a row's silhouette is 0.
     """
     rows = df.filter(F.col(label).isNotNull()).select(F.col(idx).alias("i"), F.col(label).alias("y"), V.as_double(F.col(vec)).alias("x"))
-    e = Evaluation.of(rows)
-    classes, code = np.unique(e.y, return_inverse=True) if len(e.ids) else (np.empty(0), np.empty(0, int))
-    one = np.eye(len(classes))[code] if len(classes) else np.zeros((0, 0))
-    count = one.sum(axis=0)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            at = f["id"].to_numpy()
-            d = np.sqrt(np.maximum(((e.x[at, None] - e.x[None]) ** 2).sum(axis=2), 0)) @ one
-            own = code[at]
-            r = np.arange(len(at))
-            a = d[r, own] / np.maximum(count[own] - 1, 1)
-            other = d / count
-            other[r, own] = np.inf
-            b = other.min(axis=1)
-            s = np.where((count[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pd.DataFrame({idx: e.ids[at], "silhouette": s})
-
-    steps = max(1, len(e.ids) // 128)
-    return df.sparkSession.range(0, len(e.ids), 1, steps).mapInPandas(run, f"{idx} {dict(rows.dtypes)['i']}, silhouette double")
+    sizes = running_total(rows.groupBy("y").agg(F.count("*").alias("n"), F.lit(1).alias("_one")), ["y"], "_one", "code").drop("_one")
+    coded = cut(rows.join(sizes, "y").select("i", "x", "code", F.lit(0).alias("layer"), F.lit("all").alias("pooling")))
+    total = tiles.class_distances(coded, "i", "code", "x").select(F.col("id").alias("i"), F.col("label").alias("g"), "total")
+    each = total.join(coded.select("i", F.col("code").alias("own")), "i").join(sizes.select(F.col("code").alias("g"), "n"), "g")
+    inside = F.when((F.col("g") == F.col("own")) & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))
+    s = each.groupBy("i").agg(F.max(inside).alias("a"), F.min(F.when(F.col("g") != F.col("own"), F.col("total") / F.col("n"))).alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300)))
+    return s.select(F.col("i").alias(idx), value.alias("silhouette"))
 
 
 def permutation_separation(df: DataFrame, idx: str, label: str, vec: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import probes, structure
+from plumbline.operators import probes, ranks, structure
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +68,6 @@ def test_ridge_is_the_closed_form(frame, points):
     w = np.linalg.solve(z.T @ z + 10 * np.eye(8), z.T @ (y - y.mean()))
     r2 = 1 - ((y - y.mean() - z @ w) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert structure.ridge_probe(frame, "y", "v").first().r2 == pytest.approx(r2, abs=1e-9)
-    assert probes.ridge_cv(frame, "i", "y", "v").first().r2 > 0.5
 
 
 def test_permutations_against_pairs(frame, points):
@@ -119,6 +118,79 @@ def test_gates_and_signal(spark):
 
 def test_too_large_evaluation_sets_raise(frame, monkeypatch):
     monkeypatch.setattr(probes, "MAX_ROWS", 100)
-    for f in (probes.knn_probe, probes.permutation_separation, probes.bootstrap_stability):
+    for f in (probes.logistic_probe, probes.permutation_separation, probes.bootstrap_stability):
         with pytest.raises(ValueError, match="at most"):
             f(frame, "i", "y", "v")
+
+
+def folds_of(frame, n, **how):
+    rows = probes.reduced(frame, "i", "y", "v", **how)
+    got = probes.stratified_fold(rows, n, 42).orderBy("i").collect()
+    return np.array([r.y for r in got]), np.array([r.x for r in got]), np.array([r.fold for r in got])
+
+
+def test_folds_share_every_class(frame):
+    y, _, fold = folds_of(frame, 5)
+    for c in (0, 1, 2):
+        n = np.bincount(fold[y == c], minlength=5)
+        assert n.sum() == 40 and n.max() - n.min() <= 1
+
+
+def test_knn_probe_against_brute_force(spark, frame):
+    noisy = frame.withColumn("y", F.when(F.pmod(F.xxhash64("i"), F.lit(4)) == 0, (F.col("y") + 1) % 3).otherwise(F.col("y")))
+    y, x, fold = folds_of(noisy, 5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    s[fold[:, None] == fold[None]] = -np.inf
+    p = np.array([np.bincount(y[np.argsort(-r, kind="stable")[:5]], minlength=3).argmax() for r in s])
+    got = probes.knn_probe(noisy, "i", "y", "v").first()
+    assert got.n == 120 and got.accuracy == pytest.approx(np.mean([(p == y)[fold == f].mean() for f in range(5)]))
+    assert got.macro_f1 == pytest.approx(np.mean([probes.macro_f1(y[fold == f], p[fold == f]) for f in range(5)]))
+    assert tuple(probes.knn_probe(frame.limit(0), "i", "y", "v").first()) == (None, None, None)
+
+
+def test_ridge_out_of_fold_against_numpy(spark, frame):
+    r = np.random.default_rng(5)
+    target = {i: float(c + t) for i, c, t in zip(range(120), np.repeat([0, 1, 2], 40), r.normal(size=120))}
+    df = frame.drop("y").join(spark.createDataFrame(list(target.items()), "i long, y double"), "i")
+    rows = probes.reduced(df, "i", "y", "v").withColumns({"t": F.col("y"), "y": F.lit(0)})
+    got = probes.stratified_fold(rows, 5, 42).orderBy("i").collect()
+    x, t, fold = np.array([g.x for g in got]), np.array([g.t for g in got]), np.array([g.fold for g in got])
+    pred = np.zeros(120)
+    for f in range(5):
+        a = fold != f
+        z = lambda v: (v - x[a].mean(axis=0)) / x[a].std(axis=0)  # noqa: B023, E731
+        w = np.linalg.solve(z(x[a]).T @ z(x[a]) + 10 * np.eye(x.shape[1]), z(x[a]).T @ (t[a] - t[a].mean()))
+        pred[~a] = z(x[~a]) @ w + t[a].mean()
+    rank = lambda v: np.argsort(np.argsort(v))
+    one = probes.ridge_cv(df, "i", "y", "v").first()
+    assert one.n == 120 and one.r2 == pytest.approx(1 - ((t - pred) ** 2).sum() / ((t - t.mean()) ** 2).sum()) and one.r2 > 0.2
+    assert one.spearman == pytest.approx(np.corrcoef(rank(t), rank(pred))[0, 1])
+    assert tuple(probes.ridge_cv(df.limit(0), "i", "y", "v").first()) == (None, None, 0)
+
+
+def test_ranks_and_running_totals(spark):
+    values = [3.0, 1.0, None, 3.0, 2.0, 3.0, -1.0, 1.0]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double").repartition(5)
+    got = {r.i: r.r for r in ranks.average_rank(df, "v", "r").collect()}
+    assert got == {0: 6.0, 1: 2.5, 2: None, 3: 6.0, 4: 4.0, 5: 6.0, 6: 1.0, 7: 2.5}
+    big = spark.range(5000).withColumn("a", F.col("id") % 7).repartition(9)
+    total = np.cumsum(np.arange(5000) % 7)
+    assert all(r.t == total[r.id] for r in ranks.running_total(big, ["id"], "a", "t").collect())
+    assert ranks.running_total(big.limit(0), ["id"], "a", "t").count() == 0
+
+
+def test_euclidean_silhouette_against_numpy(spark, frame, points):
+    x, y = points
+    rows = frame.withColumn("y", F.when(F.col("i") == 5, 9).otherwise(F.col("y")).cast("string"))  # one alone in its class
+    c = np.where(np.arange(120) == 5, 9, y)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for i in range(120):
+        own = (c == c[i]) & (np.arange(120) != i)
+        b = min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        want.append((b - d[i, own].mean()) / max(b, d[i, own].mean()) if own.any() else 0.0)
+    got = {r.i: r.silhouette for r in probes.euclidean_silhouette(rows, "i", "y", "v").collect()}
+    assert [got[i] for i in range(120)] == pytest.approx(want)
+    assert {r.silhouette for r in probes.euclidean_silhouette(frame.filter("y = 0"), "i", "y", "v").collect()} == {0.0}
+    assert probes.euclidean_silhouette(frame.limit(0), "i", "y", "v").count() == 0
