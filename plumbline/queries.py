@@ -11,7 +11,7 @@ from plumbline.functions import text as X
 from plumbline.functions import vectors as V
 from plumbline.operators import embeddings as E
 from plumbline.operators import labels as L
-from plumbline.operators import catalog, lineage, pairs, probes, structure, tiles
+from plumbline.operators import catalog, lineage, pairs, probes, structure, tiles, training
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import table
 
@@ -87,12 +87,12 @@ _PROBS = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.95, 0.999, 1.0]
 
 
 @query(
-    f"SELECT l_returnflag, count(l_extendedprice) AS n_valid, unnest(range({len(_PROBS)}))::INTEGER AS k, round(unnest(quantile_cont(l_extendedprice::DOUBLE, {_PROBS})), 6) AS value FROM lineitem GROUP BY l_returnflag"
+    f"SELECT source, count(n_chars) AS n_valid, unnest(range({len(_PROBS)}))::INTEGER AS k, round(unnest(quantile_cont(n_chars::DOUBLE, {_PROBS})), 6) AS value FROM documents GROUP BY source"
 )
-def exact_quantiles_by_flag(spark, d):
+def exact_quantiles_by_source(spark, d):
     """Interpolated quantiles of each group by distributed selection."""
-    q = exact_quantiles(table(spark, d, "lineitem"), "l_extendedprice", _PROBS, ["l_returnflag"])
-    return rounded(q.select("l_returnflag", "n_valid", F.posexplode("quantiles").alias("k", "value")))
+    q = exact_quantiles(table(spark, d, "documents"), "n_chars", _PROBS, ["source"])
+    return rounded(q.select("source", "n_valid", F.posexplode("quantiles").alias("k", "value")))
 
 
 @query(
@@ -454,6 +454,19 @@ def cluster_indices(spark, d):
     return rounded(structure.cluster_indices(table(spark, d, "embeddings"), "label", "embedding"))
 
 
+@query()
+def contrastive_head(spark, d):
+    """M4/M5: two epochs of the last block of a head on the frozen vectors, with pairs of one label and another style."""
+    rows = table(spark, d, "embeddings").withColumn("style", F.col("vec_id") % 4).select("vec_id", "label", "style", "embedding")
+    vec = lambda i, v: rows.select(F.col("vec_id").alias(i), F.col("embedding").alias(v))
+
+    def pairs_of(epoch: int) -> DataFrame:
+        return pairs.sampled_partner(rows, "vec_id", "label", "style", 42, epoch).join(vec("anchor", "a"), "anchor").join(vec("partner", "b"), "partner")
+
+    _, history = training.train(spark, pairs_of, training.new_head(64, 2), 2, last_blocks=1, batches_per_step=32)
+    return rounded(spark.createDataFrame([(h["epoch"], h["n_batches"], h["avg_loss"]) for h in history], "epoch int, n_batches long, avg_loss double"))
+
+
 @query()
 def pca_variance(spark, d):
     """All components."""

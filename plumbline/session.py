@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +31,35 @@ def table(spark: SparkSession, base: str, name: str):
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the folder that spark.checkpoint.dir names, so that lineage ends there and a lost executor costs a re-read.
-
-    Only a local session without the setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session without the setting gets one of its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-cut-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, so that lineage ends there and a lost executor costs a re-read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as Parquet in the shared folder while the block lasts: filters on the order they were written in skip files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def join_null_safe(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner", where: Column | None = None) -> DataFrame:
     """``a`` joined with ``b`` on columns of one name, null meeting null, and on ``where``; both may come from one written table."""
     right = b.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in b.columns])
