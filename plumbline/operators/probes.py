@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators import tiles
 from plumbline.operators.ranks import running_total, spearman
-from plumbline.operators.structure import cosine_silhouette, pca_variance, random_baseline, separation_ratio, spread_seeds
+from plumbline.operators.structure import cosine_silhouette, pca_variance, random_baseline, separation_ratio, spread_seeds, stated_baseline
 from plumbline.session import cut
 
 MAX_ROWS = 50_000
@@ -411,8 +411,11 @@ def structure_report(matrices: DataFrame, idx: str, label: str, vec: str = "vec"
     return out
 
 
-def distance_against_random(df: DataFrame, vec: str, seed: int = 42) -> DataFrame:
-    """Mean cosine distance over all pairs, of the rows and of a Gaussian matrix of the same shape, from sums."""
+def distance_against_random(df: DataFrame, vec: str, seed: int = 42, idx: str | None = None) -> DataFrame:
+    """Mean cosine distance over all pairs, of the rows and of a Gaussian matrix of the same shape, from sums.
+
+    With ``idx`` the matrix is the one of ``stated_baseline``, the same for each id wherever the rows lie.
+    """
 
     def mean_distance(rows: DataFrame, out: str) -> DataFrame:
         u = rows.select(V.l2_zero_safe(F.col(vec)).alias("u"))
@@ -420,7 +423,8 @@ def distance_against_random(df: DataFrame, vec: str, seed: int = 42) -> DataFram
         whole = u.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("tt"))
         return own.join(whole, F.lit(True)).select((1 - (F.col("tt") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias(out))
 
-    return mean_distance(df, "real_mean").join(mean_distance(random_baseline(df, vec, seed), "random_mean"), F.lit(True))
+    chance = stated_baseline(df, idx, vec, seed) if idx else random_baseline(df, vec, seed)
+    return mean_distance(df, "real_mean").join(mean_distance(chance, "random_mean"), F.lit(True))
 
 
 def first_component_gate(df: DataFrame, vec: str, seed: int = 42, least: float = 3.0) -> DataFrame:

@@ -6,6 +6,7 @@ pairs: mean cosine distance to a group is 1 - u . mean(unit vectors of the group
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.session import cut
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -139,13 +141,21 @@ def random_baseline(df: DataFrame, vec: str, seed: int = 42) -> DataFrame:
     return df.select(F.transform(V.as_double(F.col(vec)), lambda x: x).alias(vec)).withColumn(vec, F.transform(F.col(vec), lambda x, i: F.randn(seed)))
 
 
+def stated_baseline(df: DataFrame, idx: str, vec: str, seed: int = 42) -> DataFrame:
+    """Gaussian numbers in the shape of ``vec`` that any engine can state: Box-Muller of two uniforms from the md5 of id, place and seed."""
+    mark = lambda p: F.md5(F.concat_ws(":", F.col(idx).cast("string"), p.cast("string"), F.lit(str(seed))))
+    part = lambda h, at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    draw = lambda h: F.sqrt(-2 * F.log(part(h, 1))) * F.cos(2 * math.pi * part(h, 9))
+    return df.withColumn(vec, F.transform(F.sequence(F.lit(1), F.size(vec)), lambda p: draw(mark(p))))
+
+
 def kmeans_best(df: DataFrame, vec: str, k: int, n_init: int = 20, seed: int = 42, rounds: int = 50, seed_rows: int = 2000) -> DataFrame:
     """The restart with the least cost over all rows; adds ``cluster``.
 
     All restarts move together: a round is one job that sums each restart's clusters, partly in the tasks, so
     the driver sees n_init x k sums. Seeds are chosen by k-means++ among about ``seed_rows`` rows.
     """
-    rows = df.select(V.as_double(F.col(vec)).alias("v"))
+    rows = cut(df.select(V.as_double(F.col(vec)).alias("v")))  # every round reads it
     n = rows.count()
     if not n:
         return df.withColumn("cluster", F.lit(None).cast("int"))

@@ -547,6 +547,41 @@ def cluster_mix(spark, d):
     return rounded(structure.cluster_mix(table(spark, d, "embeddings").withColumn("c", c), "c", "label"))
 
 
+_MARK = "md5(vec_id || ':' || p || ':42')"
+_DRAW = f"sqrt(-2 * ln((('0x' || substr({_MARK}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * (('0x' || substr({_MARK}, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
+
+
+@query(
+    f"WITH g AS (SELECT vec_id, p, {_DRAW} x FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) p FROM embeddings)), n AS (SELECT vec_id, sqrt(sum(x * x)) n FROM g GROUP BY vec_id), w AS (SELECT p, x / n v FROM g JOIN n USING (vec_id)), "
+    "t AS (SELECT sum(s * s) t FROM (SELECT p, sum(v) s FROM w GROUP BY p)), q AS (SELECT sum(v * v) q FROM w), k AS (SELECT count(*)::DOUBLE k FROM n) SELECT round(1 - (t - q) / (k * (k - 1)), 6) AS random_mean FROM t, q, k"
+)
+def distance_of_stated_random(spark, d):
+    """The random half, of numbers that SQL can state."""
+    return rounded(probes.distance_against_random(table(spark, d, "embeddings"), "embedding", idx="vec_id").select("random_mean"))
+
+
+@query(
+    "WITH c AS (SELECT vec_id r, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) p FROM embeddings), a AS (SELECT p, avg(x) m FROM c GROUP BY p), z AS (SELECT r, p, x - m x FROM c JOIN a USING (p)), "
+    "v AS (SELECT x.p i, y.p j, avg(x.x * y.x) v FROM z x JOIN z y USING (r) GROUP BY ALL) SELECT (SELECT count(*) FROM a) AS n_components, 1.0::DOUBLE AS total, round(sum(v * v) / sum(v) FILTER (i = j) ** 2, 6) AS squares FROM v"
+)
+def pca_moments(spark, d):
+    """Components, sum and sum of squares of the explained shares: the trace and the square norm of the covariance."""
+    shares = structure.pca_variance(table(spark, d, "embeddings"), "embedding", 64)
+    return rounded(shares.agg(F.count("*").alias("n_components"), F.sum("explained").alias("total"), F.sum(F.col("explained") ** 2).alias("squares")))
+
+
+@query(
+    f"SELECT 'sep_ratio' AS measure, sep_ratio AS value, '>' AS sign, 1.0::DOUBLE AS \"limit\", sep_ratio > 1.0 AS passed FROM ({ORACLES['separation_ratio']}) "
+    f"UNION ALL SELECT 'davies_bouldin', davies_bouldin, '<', 2.0::DOUBLE, davies_bouldin < 2.0 FROM ({ORACLES['cluster_indices']})"
+)
+def measured_gates(spark, d):
+    """X20 over measures of the labelled embeddings."""
+    e = table(spark, d, "embeddings")
+    sep = structure.separation_ratio(e, "label", "embedding").select(F.lit("sep_ratio").alias("measure"), F.col("sep_ratio").alias("value"))
+    spread = structure.cluster_indices(e, "label", "embedding").select(F.lit("davies_bouldin").alias("measure"), F.col("davies_bouldin").alias("value"))
+    return rounded(probes.gates(sep.unionByName(spread)))
+
+
 class LengthEncoder:
     """Stand-in whose tokens SQL can state: content length modulo 97, plus layer, plus token times dimension."""
 
@@ -679,6 +714,36 @@ def metadata_counts(spark, d):
     return L.metadata_counts(_canonical(spark, d))
 
 
+def _architectures(spark, d) -> DataFrame:
+    """Orders as label rows of one to three architectures a customer, with fields that the data decide."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    suffix = F.element_at(F.array(F.lit(""), F.lit("_arch2"), F.lit("_arch3")), (k % 3 + 1).cast("int"))
+    return L.build_wide(o.select(
+        F.concat(F.lit("US"), "o_custkey", F.when(F.col("o_custkey") % 2 == 0, suffix).otherwise("")).alias("Patent_ID"), F.lit("G1").alias("Section"),
+        F.concat(F.lit("f"), (k % 5).cast("string")).alias("Field"), F.col("o_orderstatus").alias("Value"), k.alias("row_ord"),
+    ))
+
+
+_ARCHS = (
+    "a AS (SELECT 'US' || o_custkey base, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 ELSE 0 END + 1 arch, o_orderkey % 5 f, o_orderstatus v, o_orderkey k FROM orders), "
+    "w AS (SELECT base, arch, arg_max(v, k) FILTER (f = 0) f0, arg_max(v, k) FILTER (f = 4) f4 FROM a GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH {_ARCHS} SELECT base || CASE WHEN arch > 1 THEN '_arch' || arch ELSE '' END AS \"Patent_ID\", base AS base_patent_id, arch::INTEGER AS arch_index, (count(*) OVER (PARTITION BY base))::INTEGER AS n_architectures, count(*) OVER (PARTITION BY base) > 1 AS multi_arch, f0 AS \"G1_f0\", f4 AS \"G1_f4\" FROM w"
+)
+def architectures(spark, d):
+    """A3, A4, F2: wide rows of patents with several architectures."""
+    return _architectures(spark, d).select("Patent_ID", "base_patent_id", "arch_index", "n_architectures", "multi_arch", "G1_f0", "G1_f4")
+
+
+@query("SELECT DISTINCT 'G1_f' || (o_orderkey % 5) AS attribute FROM orders")
+def attributes_of_wide(spark, d):
+    """P14 over the columns that a pivot has found."""
+    return spark.createDataFrame([(c,) for c in L.attribute_columns(_architectures(spark, d))], "attribute string")
+
+
 @query("SELECT unnest(['wing', 'G1_tail', 'Section']) AS attribute")
 def attribute_columns(spark, d):
     """What isn't bookkeeping."""
