@@ -1,13 +1,12 @@
 """Evaluation of labelled vectors: probes, stability, hierarchical clustering, confounds and gates (X-series).
 
-The nearest-neighbour and ridge probes and the silhouette work on tables of any size: tiles, fold sums and ranks.
-What repeats a fit hundreds of times (logistic probe, bootstrap, Ward linkage) takes an ``Evaluation``, one
-labelled matrix after PCA: some hundreds of rows in the reference, at most ``MAX_ROWS`` here (more raise).
+All of it but Ward linkage works on tables of any size: neighbours and distances by tiles, ridge from fold sums, and
+what repeats a fit hundreds of times (logistic probe, bootstrap, permutations) with all repetitions moving together,
+a pass over the rows a round. Rows never reach the driver.
 """
 
 from __future__ import annotations
 
-import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
-from plumbline.operators import tiles
+from plumbline.operators import resampling, tiles
 from plumbline.operators.ranks import running_total, spearman
 from plumbline.operators.structure import cosine_silhouette, pca_variance, random_baseline, separation_ratio, spread_seeds, stated_baseline
 from plumbline.session import cut
 
-MAX_ROWS = 50_000
 
 
 def binary_labels(df: DataFrame, category: str = "shrouded_open", out: str = "y") -> DataFrame:
@@ -57,23 +55,6 @@ def fold_count(rows: DataFrame, folds: int) -> int:
     return max(2, min(folds, least or 0))
 
 
-@dataclasses.dataclass
-class Evaluation:
-    ids: np.ndarray
-    y: np.ndarray
-    x: np.ndarray
-    fold: np.ndarray
-
-    @classmethod
-    def of(cls, rows: DataFrame, folds: int = 5, seed: int = 42) -> Evaluation:
-        """From (i, y, x), in order of i; as many folds as the smallest class has rows, five at most."""
-        n = rows.count()
-        if n > MAX_ROWS:
-            raise ValueError(f"{n} rows; an evaluation set has at most {MAX_ROWS}: sample it first (seeded_sample)")
-        got = stratified_fold(rows, fold_count(rows, folds), seed).orderBy("i").collect() if n else []
-        return cls(np.array([r.i for r in got]), np.array([r.y for r in got]), np.array([r.x for r in got], float).reshape(len(got), -1), np.array([r.fold for r in got], int))
-
-
 def macro_f1(y: np.ndarray, p: np.ndarray) -> float:
     out = []
     for c in np.unique(np.concatenate([y, p])):
@@ -114,59 +95,43 @@ def fold_scores(guess: DataFrame) -> DataFrame:
     return right.join(f1, "fold").agg(F.avg("accuracy").alias("accuracy"), F.avg("f1").alias("macro_f1"), F.sum("n").alias("n"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights and bias of the penalised logistic regression (penalty |w|^2 / 2c, no penalty on the bias), by Newton steps."""
-    a = np.c_[x, np.ones(len(x))]
-    w, ridge = np.zeros(a.shape[1]), np.diag([1.0 / c] * x.shape[1] + [1e-9])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def _one_against_rest(e: Evaluation, code: np.ndarray, classes: int) -> np.ndarray:
-    """Out-of-fold scores, a column a class, of features standardised by the other folds."""
-    out = np.zeros((len(code), classes))
-    for f in np.unique(e.fold):
-        train, test = e.fold != f, e.fold == f
-        mean, sd = e.x[train].mean(axis=0), e.x[train].std(axis=0)
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        a, b = (e.x[train] - mean) / sd, (e.x[test] - mean) / sd
-        for c in range(classes):
-            w = fit_logistic(a, (code[train] == c).astype(float))
-            out[test, c] = b @ w[:-1] + w[-1]
-    return out
+def areas(scored: DataFrame, n: int) -> DataFrame:
+    """(c, area) from ``scored(code, s array)`` of n rows: the share of (class c, other) pairs in order by the c-th score, ties a half."""
+    each = scored.select("code", F.posexplode("s").alias("c", "v"))
+    values = each.groupBy("c", "v").agg(F.count("*").alias("n"), F.count_if(F.col("code") == F.col("c")).alias("pos"))
+    ranked = running_total(values, ["c", "v"], "n", "upto").withColumn("rank", F.col("upto") - F.col("c") * n - (F.col("n") - 1) / 2.0)
+    pos = F.sum("pos")
+    return ranked.groupBy("c").agg(((F.sum(F.col("pos") * F.col("rank")) - pos * (pos + 1) / 2.0) / (pos * (F.lit(n) - pos))).alias("area"))
 
 
 def logistic_probe(df: DataFrame, idx: str, label: str, vec: str, n_pca: int = 50, folds: int = 5, n_perm: int = 200, min_per_class: int = 2, seed: int = 42) -> DataFrame:
     """One row of accuracy, balanced accuracy, macro-F1, AUC (mean over classes) and permutation p of the AUC.
 
-    Two classes or more, one against the rest; classes under ``min_per_class`` rows are left out. Each
-    permutation of the labels is one row of a Spark table, so all of them run in one job.
+    Two classes or more, one against the rest; classes under ``min_per_class`` rows are left out. All permutations of
+    the labels move together (``resampling.Logistic``), so a round is one pass over the rows, however many there are.
+    The permutations' AUCs are counted in 1,024 ranges of the score, the real one exactly.
     """
+    spark = df.sparkSession
     rows = reduced(df, idx, label, vec, n_pca)
-    rows = rows.join(rows.groupBy("y").count().filter(F.col("count") >= min_per_class).select("y"), "y", "left_semi")
-    e = Evaluation.of(rows, folds, seed)
-    classes, code = np.unique(e.y, return_inverse=True) if len(e.ids) else (np.empty(0), np.empty(0, int))
-    k = len(classes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p in f["id"]:
-                y = code if p == 0 else code[np.random.default_rng([seed, int(p)]).permutation(len(code))]
-                s = _one_against_rest(e, y, k)
-                hit = s.argmax(axis=1)
-                yield pd.DataFrame({"p": [p], "accuracy": [(hit == y).mean()], "balanced": [np.mean([(hit[y == c] == c).mean() for c in range(k)])], "f1": [macro_f1(y, hit)], "auc": [np.mean([auc((y == c).astype(int), s[:, c]) for c in range(k)])]})
-
-    runs = df.sparkSession.range(0, n_perm + 1 if k > 1 else 0).repartition(max(1, min(64, n_perm))).mapInPandas(run, "p long, accuracy double, balanced double, f1 double, auc double")
-    real = lambda c: F.max(F.when(F.col("p") == 0, F.col(c)))
-    one = runs.agg(real("accuracy").alias("accuracy"), real("balanced").alias("balanced_acc"), real("f1").alias("macro_f1"), real("auc").alias("auc"), F.collect_list(F.when(F.col("p") > 0, F.col("auc"))).alias("null_"))
-    beaten = F.size(F.filter("null_", lambda x: x >= F.col("auc")))
-    chance = float(np.bincount(code).max() / len(code)) if len(code) else None
-    return one.select("accuracy", "balanced_acc", "macro_f1", "auc", ((beaten + 1) / (F.size("null_") + 1)).alias("p_value"), F.lit(chance).cast("double").alias("chance"))
+    classes = rows.groupBy("y").agg(F.count("*").alias("n"), F.lit(1).alias("_one")).filter(F.col("n") >= min_per_class)
+    classes = cut(running_total(classes, ["y"], "_one", "_c").select("y", "n", (F.col("_c") - 1).cast("int").alias("code")))
+    sizes = [r.n for r in classes.orderBy("code").collect()]  # one row a class
+    n = sum(sizes)
+    schema = "accuracy double, balanced_acc double, macro_f1 double, auc double, p_value double, chance double"
+    if len(sizes) < 2:
+        return spark.createDataFrame([(None, None, None, None, 1.0, 1.0 if n else None)], schema)
+    rows = stratified_fold(cut(rows.join(classes.select("y", "code"), "y")), max(2, min([folds, *sizes])), seed)
+    rows = running_total(rows.withColumn("_one", F.lit(1)), ["i"], "_one", "_at").select((F.col("_at") - 1).cast("long").alias("at"), "code", "fold", "x")
+    rows = cut(rows)
+    fits = resampling.Logistic(rows, fold_sums(rows.withColumn("t", F.lit(0.0))), sizes, n_perm, seed)
+    w = fits.fit()
+    scored = cut(fits.scored(w))
+    guess = scored.select(F.lit(0).alias("fold"), F.col("code").alias("y"), (F.array_position("s", F.array_max("s")) - 1).cast("int").alias("p"))
+    one = fold_scores(guess).first()
+    balanced = guess.groupBy("y").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("r")).agg(F.avg("r")).first()[0]
+    area = areas(scored, n).agg(F.avg("area")).first()[0]
+    beaten = int((fits.null_areas(w) >= area).sum()) if n_perm else 0
+    return spark.createDataFrame([(one.accuracy, balanced, one.macro_f1, area, (beaten + 1) / (n_perm + 1), max(sizes) / n)], schema)
 
 
 def fold_sums(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -228,29 +193,12 @@ def ridge_cv(df: DataFrame, idx: str, target: str, vec: str, n_pca: int = 50, al
     return fit.join(spearman(pred, "t", "p"), F.lit(True)).select("r2", "spearman", "n")
 
 
-def kmeans(x: np.ndarray, k: int, n_init: int, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
-    """Centres of the best of ``n_init`` restarts (k-means++ seeds)."""
-    best, least = x[:k], np.inf
-    for _ in range(n_init):
-        c = spread_seeds(x, k, rng)
-        for _ in range(rounds):
-            at = nearest(x, c)
-            new = np.stack([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[nearest(x, c)]) ** 2).sum()
-        if cost < least:
-            best, least = c, cost
-    return best
-
-
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c**2).sum(axis=1)[None] - 2 * x @ c.T).argmin(axis=1)
+def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
+    return rand_of(pd.crosstab(a, b).to_numpy().astype(float))
 
 
-def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
-    t = pd.crosstab(a, b).to_numpy().astype(float)
+def rand_of(t: np.ndarray) -> float:
+    """The adjusted Rand index of a table of counts."""
     two = lambda n: (n * (n - 1) / 2).sum()
     s, sa, sb, all_ = two(t), two(t.sum(axis=1)), two(t.sum(axis=0)), two(np.array([t.sum()]))
     expected, top = sa * sb / all_ if all_ else 0.0, (sa + sb) / 2
@@ -302,20 +250,27 @@ def ward_clusters(df: DataFrame, idx: str, label: str, vec: str, k: int = 4, n_p
     return rows.withColumn("all_", F.lit(1)).groupBy("all_").applyInPandas(run, f"i {kind}, cluster int")
 
 
-def bootstrap_stability(df: DataFrame, idx: str, label: str, vec: str, k: int = 4, n_boot: int = 200, n_pca: int = 39, n_init: int = 20, boot_init: int = 10, seed: int = 42) -> DataFrame:
-    """X11: mean and deviation of the ARI between a reference k-means and those of resampled rows, predicted on all rows."""
-    e = Evaluation.of(reduced(df, idx, label, vec, n_pca), seed=seed)
-    reference = nearest(e.x, kmeans(e.x, k, n_init, np.random.default_rng(seed))) if len(e.ids) else e.fold
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for b in f["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                c = kmeans(e.x[rng.integers(0, len(e.x), len(e.x))], k, boot_init, rng)
-                yield pd.DataFrame({"b": [b], "ari": [adjusted_rand(reference, nearest(e.x, c))]})
+def bootstrap_stability(df: DataFrame, idx: str, label: str, vec: str, k: int = 4, n_boot: int = 200, n_pca: int = 39, n_init: int = 20, boot_init: int = 10, seed: int = 42, seed_rows: int = 2000) -> DataFrame:
+    """X11: mean and deviation of the ARI between a reference k-means and those of resampled rows, predicted on all rows.
 
-    runs = df.sparkSession.range(n_boot if len(e.ids) >= k else 0).repartition(max(1, min(64, n_boot))).mapInPandas(run, "b long, ari double")
-    return runs.agg(F.avg("ari").alias("ari_mean"), F.stddev_pop("ari").alias("ari_std"), F.count("*").alias("n_boot"))
+    A resampling draws each row a Poisson(1) number of times, which the row states by itself; all resamplings and
+    restarts move together, a round a pass. Restarts begin at k-means++ seeds among about ``seed_rows`` rows.
+    """
+    rows = cut(reduced(df, idx, label, vec, n_pca).select(F.xxhash64("i").alias("key"), "x"))
+    n = rows.count()
+    schema = "ari_mean double, ari_std double, n_boot long"
+    if n < k:
+        return df.sparkSession.createDataFrame([(None, None, 0)], schema)
+    some = rows.filter(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, seed_rows / n) * (1 << 30))).orderBy("key").collect() or rows.limit(k).collect()
+    x = np.array([r.x for r in some])
+    starts = lambda m, tag: np.stack([spread_seeds(x, k, np.random.default_rng([seed, tag, i])) for i in range(m)])
+    centres, cost = resampling.weighted_kmeans(rows, starts(n_init, 0), 1, 0, seed)
+    reference = centres[cost.argmin()]
+    centres, cost = resampling.weighted_kmeans(rows, starts(n_boot * boot_init, 1), boot_init, n_boot, seed)
+    best = cost.reshape(n_boot, boot_init).argmin(axis=1)
+    tables = resampling.cluster_tables(rows, reference, centres.reshape(n_boot, boot_init, k, -1)[np.arange(n_boot), best])
+    ari = np.array([rand_of(t) for t in tables])
+    return df.sparkSession.createDataFrame([(float(ari.mean()), float(ari.std()), n_boot)], schema)
 
 
 def euclidean_silhouette(df: DataFrame, idx: str, label: str, vec: str) -> DataFrame:
@@ -335,43 +290,43 @@ def euclidean_silhouette(df: DataFrame, idx: str, label: str, vec: str) -> DataF
     return s.select(F.col("i").alias(idx), value.alias("silhouette"))
 
 
-def permutation_separation(df: DataFrame, idx: str, label: str, vec: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:
-    """Null distribution of the separation ratio under seeded relabelling, all permutations in one job.
+def permutation_separation(df: DataFrame, idx: str, label: str, vec: str, n_perm: int = 2000, seed: int = 42, numbers: int = 1 << 22) -> DataFrame:
+    """Null distribution of the separation ratio under seeded relabelling.
 
-    The ratio needs only the classes' sums of unit vectors. A task adds its rows' vectors for every permutation
-    (an array of permutations x classes x dimensions), and the partial sums meet by permutation.
+    The ratio needs only the classes' sums of unit vectors. A row states its label under each permutation by itself
+    (``resampling.permuted`` of its number), a task adds its rows' vectors by permutation and class, and the tasks'
+    sums meet. A pass takes as many permutations as ``numbers`` sums allow. Without two classes, or a class of two,
+    every figure is null.
     """
     base = df.filter(F.col(label).isNotNull()).select(F.col(idx).alias("i"), F.col(label).alias("y"), F.col(vec).alias("v"))
     sizes = [r["count"] for r in base.groupBy("y").count().orderBy("y").collect()]  # one row a class
-    edges, n, k = np.cumsum(sizes), int(sum(sizes)), len(sizes)
-    if n > MAX_ROWS:
-        raise ValueError(f"{n} rows; an evaluation set has at most {MAX_ROWS}: sample it first (seeded_sample)")
-    units = base.select((F.row_number().over(Window.orderBy("i")) - 1).alias("r"), V.l2_zero_safe(F.col("v")).alias("u"))
-    tasks = max(1, min(16, n_perm // 50))
-    spread = units.select("r", "u", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("t"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        u, r = np.array(f["u"].tolist(), float), f["r"].to_numpy()
-        out = []
-        for p in range(int(f["t"].iloc[0]), n_perm, tasks):
-            y = np.searchsorted(edges, np.random.default_rng([seed, p]).permutation(n), side="right")[r]
-            s = np.zeros((k, u.shape[1]))
-            np.add.at(s, y, u)
-            out.append((p, float((s * s).sum())))
-        return pd.DataFrame(out, columns=["p", "ss"])
-
-    null = spread.groupBy("t").applyInPandas(run, "p long, ss double")
-    fixed = units.agg(F.sum(V.dot(F.col("u"), F.col("u"))).alias("q"))
-    whole = units.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("tt"))
-    inside = float(sum(c * (c - 1) / 2 for c in sizes))
+    n, k, inside = sum(sizes), len(sizes), sum(c * (c - 1) / 2 for c in sizes)
     between = n * (n - 1) / 2 - inside
-    ratio = (1 - (F.col("tt") - F.col("ss")) / 2 / between) / (1 - (F.col("ss") - F.col("q")) / 2 / inside)
-    d = null.join(fixed, F.lit(True)).join(whole, F.lit(True)).select(ratio.alias("x")).join(separation_ratio(base, "y", "v").select(F.col("sep_ratio").alias("o")), F.lit(True))
-    o = F.first("o")
-    return d.agg(
-        o.alias("observed"), F.avg("x").alias("null_mean"), ((o - F.avg("x")) / F.stddev_pop("x")).alias("z_score"),
-        ((F.count_if(F.col("x") >= F.col("o")) + 1) / (F.count("*") + 1)).alias("p_value"), (o - F.avg("x")).alias("effect_size"),
-    )
+    schema = "observed double, null_mean double, z_score double, p_value double, effect_size double"
+    if not inside or not between:
+        return df.sparkSession.createDataFrame([(None,) * 5], schema)
+    units = running_total(base.select("i", V.l2_zero_safe(F.col("v")).alias("x"), F.lit(1).alias("_one")), ["i"], "_one", "_at")
+    units = cut(units.select((F.col("_at") - 1).cast("long").alias("at"), "x"))
+    d = units.select(F.size("x")).first()[0]
+    q = units.agg(F.sum(V.dot(F.col("x"), F.col("x")))).first()[0]
+    edges, squares = np.cumsum(sizes), []
+    step = max(1, numbers // (k * d))
+    for first in range(1, n_perm + 1, step):
+        which = np.arange(first, min(first + step, n_perm + 1))
+
+        def sums(b: pa.RecordBatch) -> np.ndarray:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            y = np.searchsorted(edges, resampling.permuted(b.column(0).to_numpy(), n, which, seed), side="right")  # noqa: B023
+            return np.stack([(y == c).T.astype(float) @ x for c in range(k)], axis=1).ravel()
+
+        got = resampling.summed(units, ["at", "x"], sums, len(which) * k * d).reshape(len(which), k, d)
+        squares.append((got**2).sum(axis=(1, 2)))
+        whole = (got[0].sum(axis=0) ** 2).sum()  # the sum over all rows, under any permutation
+    ss = np.concatenate(squares)
+    null = (1 - (whole - ss) / 2 / between) / (1 - (ss - q) / 2 / inside)
+    o = separation_ratio(base, "y", "v").first().sep_ratio
+    z = float((o - null.mean()) / null.std()) if null.std() > 0 else None
+    return df.sparkSession.createDataFrame([(o, float(null.mean()), z, float(((null >= o).sum() + 1) / (n_perm + 1)), float(o - null.mean()))], schema)
 
 
 def derive_confounds(metadata: DataFrame, labels: DataFrame, key: str = "patent_id", date: str = "priority_date", assignee: str = "assignee", pattern: str = "(?i)bell|textron") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import probes, ranks, structure
+from plumbline.operators import probes, ranks, resampling, structure
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +75,9 @@ def test_permutations_against_pairs(frame, points):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d, up = 1 - u @ u.T, np.triu_indices(len(u), 1)
     ratio = lambda c: (lambda s: d[up][~s].mean() / d[up][s].mean())((c[:, None] == c[None])[up])
-    null = [ratio(y[np.random.default_rng([42, p]).permutation(len(y))]) for p in range(100)]
+    places = resampling.permuted(np.arange(120), 120, np.arange(1, 101), 42).T
+    assert all(sorted(p) == list(range(120)) for p in places)
+    null = [ratio(y[p]) for p in places]
     got = probes.permutation_separation(frame, "i", "y", "v", n_perm=100).first()
     assert got.observed == pytest.approx(ratio(y)) and got.null_mean == pytest.approx(np.mean(null))
     assert got.z_score == pytest.approx((ratio(y) - np.mean(null)) / np.std(null)) and got.p_value == pytest.approx(1 / 101)
@@ -116,11 +118,78 @@ def test_gates_and_signal(spark):
     assert [r[0] for r in spark.createDataFrame([(3.0,), (2.9,), (None,)], "x double").select(probes.gate("pc1_ratio", F.col("x"))).collect()] == [True, False, False]
 
 
-def test_too_large_evaluation_sets_raise(frame, monkeypatch):
-    monkeypatch.setattr(probes, "MAX_ROWS", 100)
-    for f in (probes.logistic_probe, probes.permutation_separation, probes.bootstrap_stability):
-        with pytest.raises(ValueError, match="at most"):
-            f(frame, "i", "y", "v")
+def test_permutations_and_weights():
+    for n in (1, 2, 5, 64, 65, 1000):
+        p = resampling.permuted(np.arange(n), n, np.arange(1, 40), 7)
+        assert (np.sort(p, axis=0) == np.arange(n)[:, None]).all()
+    assert abs(np.corrcoef(np.arange(1000), resampling.permuted(np.arange(1000), 1000, np.array([3]), 7)[:, 0])[0, 1]) < 0.1
+    w = resampling.poisson_weights(np.arange(5000).astype(np.uint64) * np.uint64(977), 40, 1)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03 and abs((w == 0).mean() - np.exp(-1)) < 0.005
+    assert abs(np.corrcoef(w.T) - np.eye(40)).max() < 0.06 and (w == resampling.poisson_weights(np.arange(5000).astype(np.uint64) * np.uint64(977), 40, 1)).all()
+
+
+def test_logistic_fits_against_newton(spark, frame):
+    """Real and permuted labels against a plain Newton fit of each fold, class and permutation."""
+    y, x, fold = folds_of(frame, 5)
+    r = np.random.default_rng(0)
+    y = np.where(r.random(120) < 0.4, r.integers(0, 3, 120), y)
+    order = np.argsort(y, kind="stable")  # permutations label places by class sizes
+    sizes = np.bincount(y).tolist()
+    rows = spark.createDataFrame([(int(i), int(y[i]), int(fold[i]), x[i].tolist(), 0.0) for i in order], "at long, code int, fold int, x array<double>, t double").repartition(4)
+    fits = resampling.Logistic(rows, probes.fold_sums(rows), sizes, 3, 42)
+    w = fits.fit(rounds=200, close=1e-9)
+    place = resampling.permuted(np.arange(120), 120, np.arange(1, 4), 42)
+    labels = np.concatenate([y[:, None], np.searchsorted(np.cumsum(sizes), place, side="right")], axis=1)
+    scores = np.zeros((4, 120, 3))
+    for f in range(5):
+        a = fold != f
+        z = np.c_[(x - x[a].mean(axis=0)) / x[a].std(axis=0), np.ones(120)]
+        for p in range(4):
+            for c in range(3):
+                v, t, ridge = np.zeros(z.shape[1]), (labels[a, p] == c).astype(float), np.diag([1.0] * x.shape[1] + [1e-9])
+                for _ in range(30):
+                    s = 1 / (1 + np.exp(-z[a] @ v))
+                    v += np.linalg.solve((z[a] * (s * (1 - s))[:, None]).T @ z[a] + ridge, z[a].T @ (t - s) - ridge @ v)
+                assert w[f, p, c] == pytest.approx(v, abs=1e-5)
+                scores[p, ~a, c] = z[~a] @ v
+    got = {r.c: r.area for r in probes.areas(fits.scored(w), 120).collect()}
+    assert got == pytest.approx({c: probes.auc((y == c).astype(int), scores[0, :, c]) for c in range(3)})
+    for p, area in enumerate(fits.null_areas(w), 1):
+        assert area == pytest.approx(np.mean([probes.auc((labels[:, p] == c).astype(int), scores[p, :, c]) for c in range(3)]), abs=2e-3)
+
+
+def test_resampled_kmeans_is_weighted_kmeans(spark, frame, points):
+    x, _ = points
+    rows = frame.select(F.xxhash64("i").alias("key"), F.col("v").alias("x"))
+    keys = np.array([r.key for r in frame.select("i", F.xxhash64("i").alias("key")).orderBy("i").collect()])
+    starts = np.stack([x[[1, 50, 100]], x[[2, 3, 4]], x[[7, 60, 90]], x[[5, 6, 110]]])
+    centres, cost = resampling.weighted_kmeans(rows, starts, 2, 2, 9)
+    w = resampling.poisson_weights(keys.view(np.uint64), 2, 9)
+    for s in range(4):
+        c, u = starts[s].copy(), w[:, s // 2]
+        for _ in range(50):
+            d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+            at, total = d.argmin(axis=1), (u * d.min(axis=1)).sum()
+            new = np.stack([(u[at == j, None] * x[at == j]).sum(axis=0) / u[at == j].sum() if u[at == j].sum() else c[j] for j in range(3)])
+            if np.allclose(new, c, atol=1e-6):
+                c = new
+                break
+            c = new
+        assert centres[s] == pytest.approx(c) and cost[s] == pytest.approx(total)
+    t = resampling.cluster_tables(rows, centres[0], centres[1:])
+    near = lambda c: ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    for s in range(3):
+        want = np.zeros((3, 3))
+        np.add.at(want, (near(centres[0]), near(centres[s + 1])), 1)
+        assert (t[s] == want).all() and probes.rand_of(t[s]) == probes.adjusted_rand(near(centres[0]), near(centres[s + 1]))
+
+
+def test_probes_without_rows_or_classes(spark, frame):
+    none, one = frame.limit(0), frame.filter("y = 1")
+    assert tuple(probes.logistic_probe(none, "i", "y", "v", n_perm=3).first()) == (None, None, None, None, 1.0, None)
+    assert tuple(probes.logistic_probe(one, "i", "y", "v", n_perm=3).first()) == (None, None, None, None, 1.0, 1.0)
+    assert tuple(probes.bootstrap_stability(none, "i", "y", "v").first()) == (None, None, 0)
+    assert set(probes.permutation_separation(one, "i", "y", "v", n_perm=3).first()) == {None} == set(probes.permutation_separation(none, "i", "y", "v", n_perm=3).first())
 
 
 def folds_of(frame, n, **how):
