@@ -205,7 +205,7 @@ class Logistic:
             self.bound.append(np.linalg.inv(h / 4 + self.ridge))
         self.design, self.shape = Design(sum(sizes), sizes, n_perm, seed, folds, mean, sd), (len(folds), n_perm + 1, len(sizes), d + 1)
 
-    def fit(self, rounds: int = 25, close: float = 1e-6) -> np.ndarray:
+    def fit(self, rounds: int = 25, close: float = 1e-4) -> np.ndarray:
         """Weights (folds, 1 + permutations, classes, dimension + 1)."""
         nf, p, k, d = self.shape
         w, design = np.zeros(self.shape), self.design
