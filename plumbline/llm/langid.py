@@ -28,7 +28,6 @@ from plumbline.llm.common import Scratch, arrow, id_kind, rows_of
 
 DIM = 4096
 _NOT_LETTER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts(text: str) -> np.ndarray:
@@ -118,7 +117,7 @@ def predict(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame
             for i in range(0, len(b), 256):
                 part = b.slice(i, 256)
                 texts = rows_of(part, "text")
-                ok = np.array([bool(t and _LETTER.search(t)) for t in texts])
+                ok = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
                 lang, score, far = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if ok.any() and model.langs:
                     at = np.flatnonzero(ok)

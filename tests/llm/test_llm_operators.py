@@ -498,6 +498,8 @@ def test_language_by_centroid(spark, empty):
     assert all(0 <= r.score <= 1 for r in got.values()) and sum(got[i].rejected for i in range(100)) <= len(model.owner)  # a cluster's farthest own row lies below its quantile
     assert {r.lang_pred for r in langid.predict(df, langid.learn(df.limit(0), Scratch(spark, "t"))).collect()} == {"und"}
     assert langid.predict(empty, model).count() == 0
+    marks = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ①"), (3, "_-_"), (4, "漢"), (5, "½ a")], "doc_id long, text string")  # numerals are no letters
+    assert {r.doc_id for r in langid.predict(marks, model).collect() if r.lang_pred == "und"} >= {1, 2, 3}
 
 
 def pgm(a):
