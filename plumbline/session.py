@@ -31,6 +31,13 @@ def table(spark: SparkSession, base: str, name: str):
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
+def row_place(df: DataFrame) -> Column:
+    """The row's place in the files of a table that was read and not yet changed: the files in order of name, then the row in its file."""
+    files = sorted(df.inputFiles())
+    rank = F.lit(0) if len(files) < 2 else F.create_map(*[F.lit(x) for pair in zip(files, range(len(files))) for x in pair])[F.col("_metadata.file_path")]
+    return rank.cast("long") * (1 << 40) + F.col("_metadata.row_index")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only a local session without the setting gets one of its own."""
     sc = spark.sparkContext
