@@ -10,6 +10,10 @@ from plumbline.functions.text import basename
 from plumbline.schemas import require_columns
 
 
+#: Hexadecimal digits of the seeded order that cut a class into parts: at most 4,096 of them.
+PART_DIGITS = 3
+
+
 def eligible_classes(df: DataFrame, cls: str, style: str, min_count: int = 2) -> DataFrame:
     """Classes with enough rows and at least two styles."""
     g = df.filter(F.col(cls).isNotNull()).groupBy(cls).agg(F.count("*").alias("n"), F.count_distinct(style).alias("n_styles"))
@@ -44,20 +48,32 @@ def least_partner(df: DataFrame, idx: str, cls: str, style: str) -> DataFrame:
 def sampled_partner(df: DataFrame, idx: str, cls: str, style: str, seed: int = 42, epoch: int = 0) -> DataFrame:
     """A seeded random partner of the same class and another style, another for each epoch.
 
-    Rows of a class are laid on a ring in seeded order; the partner is the next row of another style.
-    It's one sort per class instead of the class squared: the next other style after a run of the same
-    style is found by carrying the following run's head backwards.
+    Rows of a class are laid on a ring in seeded order; the partner is the next row of another style, that is the
+    head of the run after the row's own. The order is a hash, so its first digits cut a class into parts of even
+    size, and a task sorts a part. A part's last run looks on among a few rows that stand for the parts: of each the
+    first, the first of another style than that, and the last.
     """
     h = F.md5(F.concat_ws(":", F.col(idx).cast("string"), F.lit(str(seed)), F.lit(str(epoch))))
     rows = df.filter(F.col(cls).isNotNull() & F.col(style).isNotNull()).select(F.col(idx).alias("i"), F.col(cls).alias("c"), F.col(style).alias("s"), h.alias("h"))
-    w = Window.partitionBy("c").orderBy("h", "i")
-    runs = rows.withColumn("n", F.lead("s").over(w)).withColumn("ni", F.lead("i").over(w))
-    ahead = Window.partitionBy("c").orderBy("h", "i").rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("n") != F.col("s"), F.col("ni")), ignorenulls=True).over(ahead)
-    first = rows.groupBy("c").agg(F.min_by("s", F.struct("h", "i")).alias("s0"), F.min_by("i", F.struct("h", "i")).alias("i0"))
-    second = runs.filter("n <> s").groupBy("c").agg(F.min_by("ni", F.struct("h", "i")).alias("i1"))
-    wrap = F.when(F.col("s") != F.col("s0"), F.col("i0")).otherwise(F.col("i1"))
-    return runs.withColumn("nx", nxt).join(first, "c").join(second, "c").select(F.col("i").alias("anchor"), F.coalesce("nx", wrap).alias("partner"))
+    rows = rows.withColumn("part", F.substring("h", 1, PART_DIGITS))
+    runs = _next_head(rows, ["c", "part"], ["h", "i"])
+    at = F.struct("h", "i", "s")
+    own = runs.groupBy("c", "part").agg(F.min(at).alias("a"), F.min_by("nx", F.when(F.col("nx").isNotNull(), F.struct("h", "i"))).alias("b"), F.max(at).alias("z"))
+    stand = own.select("c", "part", F.posexplode(F.array(F.struct("a.i", "a.s"), "b", F.struct("z.i", "z.s"))).alias("place", "e")).filter("e is not null")
+    stand = stand.select("c", "part", "place", "e.i", "e.s")
+    ahead = _next_head(stand, ["c"], ["part", "place"]).filter("place = 2").select("c", "part", F.col("nx.i").alias("on"))
+    first = stand.groupBy("c").agg(F.min_by(F.struct("i", "s"), F.struct("part", "place")).alias("f"))
+    other = stand.join(first, "c").filter("s <> f.s").groupBy("c", "f").agg(F.min_by("i", F.struct("part", "place")).alias("i1"))
+    wrap = F.when(F.col("s") != F.col("f.s"), F.col("f.i")).otherwise(F.col("i1"))
+    return runs.join(ahead, ["c", "part"]).join(other, "c").select(F.col("i").alias("anchor"), F.coalesce("nx.i", "on", wrap).alias("partner"))
+
+
+def _next_head(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``nx``, the (i, s) of the next row of another style ``s`` in its group, or null: one pass from the group's end."""
+    back = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
+    n = rows.withColumn("n", F.lag(F.struct("i", "s")).over(back))
+    head = F.when(F.col("n.s") != F.col("s"), F.col("n"))
+    return n.withColumn("nx", F.last(head, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).drop("n")
 
 
 def nt_xent(pairs: DataFrame, batch: str, a: str, b: str, pair_id: str, temperature: float = 0.07) -> DataFrame:

@@ -4,6 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from plumbline.operators import pairs
 from plumbline.queries import ORACLES, QUERIES
 
 
@@ -27,3 +30,19 @@ def same_as_sql(spark, d, name, table):
 @pytest.mark.parametrize("name", ["image_table", "image_counts", "main_images"])
 def test_first_of_tied_line_items(spark, tied, name):
     same_as_sql(spark, tied, name, "lineitem")
+
+
+@pytest.mark.parametrize("digits", [0, 1, 3])
+def test_partners_over_parts(spark, tmp_path, monkeypatch, digits):
+    """Long runs of one style, a class with two styles of which one is rare, one with a single style, rows without one."""
+    rows = [(i, "a", "x" if i % 97 else "y") for i in range(400)] + [(i, "b", "pq r"[i % 4].strip() or None) for i in range(400, 460)] + [(i, "c", "x") for i in range(460, 480)] + [(480, None, "x"), (481, "d", "x"), (482, "d", "z")]
+    pd.DataFrame(rows, columns=["doc_id", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
+    monkeypatch.setattr(pairs, "PART_DIGITS", digits)
+    same_as_sql(spark, tmp_path, "sampled_pairs", "documents")
+
+
+def test_partners_take_one_pass(spark):
+    """No frame that reaches to its group's end, which Spark adds up anew for each row: 200,000 rows of a class took minutes."""
+    df = spark.range(10).select(F.col("id").alias("i"), F.lit("c").alias("c"), (F.col("id") % 3).alias("s"))
+    plan = pairs.sampled_partner(df, "i", "c", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
