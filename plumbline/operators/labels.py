@@ -25,6 +25,10 @@ NON_ATTRIBUTES = (
 )
 
 
+#: Source files that are numbered in an aggregate; names of more are aggregated as they are.
+FILES = 1000
+
+
 def pool_long(frames: list[DataFrame]) -> DataFrame:
     """Union by name in file order; mandatory columns checked; null ids rejected."""
     out = frames[0]
@@ -56,12 +60,26 @@ def triple_counts(long: DataFrame) -> DataFrame:
 
 def pivot_first_non_null(df: DataFrame, keys: list[str], field: str, value: str, order: str, fields: list | None = None) -> DataFrame:
     """A2: first non-null value per key and field; keys with only nulls disappear."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys).pivot(field, fields).agg(F.min_by(value, order))
+    return _pivot(df.filter(F.col(value).isNotNull()), keys, field, value, order, fields, F.min_by)
 
 
 def pivot_keep_last(df: DataFrame, keys: list[str], field: str, value: str, order: str, fields: list | None = None) -> DataFrame:
     """The last row wins even when its value is null; keys with only nulls remain."""
-    return df.groupBy(*keys).pivot(field, fields).agg(F.max_by(value, order))
+    return _pivot(df, keys, field, value, order, fields, F.max_by)
+
+
+def _pivot(df: DataFrame, keys: list[str], field: str, value: str, order: str, fields: list | None, pick, flags: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """All fields of a key in one aggregate; a null field is the column ``null``.
+
+    ``flags`` names further columns, each a field and an expression of the value. Spark aggregates numbers and booleans
+    by hashing, but sorts all rows for a single text; so who needs only the flags of a field should read those.
+    """
+    if fields is None:
+        fields = [r[0] for r in df.groupBy(field).count().orderBy(field).collect()]  # the columns to be
+    of = lambda f: F.when(F.col(field).eqNullSafe(F.lit(f)) & F.col(order).isNotNull(), F.col(order))
+    cells = [pick(F.col(value), of(f)).alias("null" if f is None else str(f)) for f in fields]
+    cells += [pick(c, of(f)).alias(name) for name, (f, c) in (flags or {}).items()]
+    return df.groupBy(*keys).agg(*cells) if cells else df.select(*keys).distinct()
 
 
 def surplus_rows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,8 +121,13 @@ def uncertain_flag(df: DataFrame, unsure: DataFrame, key: str = "Patent_ID", out
 
 
 def first_source(long: DataFrame, key: str = "Patent_ID", source: str = "_source_file", order: str = "row_ord", out: str = "label_source_file") -> DataFrame:
-    """The file that a key is first seen in."""
-    return long.groupBy(key).agg(F.min_by(source, order).alias(out))
+    """The file that a key is first seen in. Up to FILES files are numbered, so that rows are aggregated by hashing."""
+    files = [r[0] for r in long.select(source).distinct().limit(FILES + 1).collect()]
+    if len(files) > FILES:
+        return long.groupBy(key).agg(F.min_by(source, order).alias(out))
+    number = F.coalesce(F.create_map(*[F.lit(x) for i, f in enumerate(files) if f is not None for x in (f, i)])[F.col(source)], F.lit(-1)) if any(f is not None for f in files) else F.lit(-1)
+    first = long.groupBy(key).agg(F.min_by(number, order).alias("_n"))
+    return first.select(key, F.get(F.array(*[F.lit(f).cast("string") for f in files]), F.when(F.col("_n") >= 0, F.col("_n"))).alias(out) if files else F.lit(None).cast("string").alias(out))
 
 
 def join_metadata(wide: DataFrame, meta: DataFrame, id_col: str = "Record Number", bins: int = 3, order: str = "row_ord") -> DataFrame:
@@ -152,7 +175,9 @@ def add_quantile_bin(df: DataFrame, col: str, out: str, q: int) -> DataFrame:
 def image_table(long: DataFrame, existing_paths: DataFrame | None = None) -> DataFrame:
     """A2 on the image section, with index and flags; ``existing_paths(path)`` drives image_exists."""
     rows = long.filter((F.col("Section") == "T2") & F.col("Image_Path").isNotNull())
-    img = pivot_first_non_null(rows, ["Patent_ID", "Image_Path"], "Field", "Value", "row_ord")
+    value = F.col("Value")
+    flags = {"is_main": ("isMain", X.truthy(value, ("main",))), "approved": ("status", F.lower(value) == "approved")}
+    img = _pivot(rows.filter(value.isNotNull()), ["Patent_ID", "Image_Path"], "Field", "Value", "row_ord", None, F.min_by, flags)
     for c in ("isMain", "status", "arch"):
         if c not in img.columns:
             img = img.withColumn(c, F.lit(None).cast("string"))
@@ -161,8 +186,8 @@ def image_table(long: DataFrame, existing_paths: DataFrame | None = None) -> Dat
         {
             "base_patent_id": X.arch_base(pid),
             "arch_index": X.arch_index(F.col("arch"), pid),
-            "is_main": X.truthy(F.col("isMain"), ("main",)),
-            "approved": F.coalesce(F.lower("status") == "approved", F.lit(False)),
+            "is_main": F.coalesce("is_main", F.lit(False)),
+            "approved": F.coalesce("approved", F.lit(False)),
         }
     )
     if existing_paths is None:
@@ -174,9 +199,9 @@ def image_table(long: DataFrame, existing_paths: DataFrame | None = None) -> Dat
 def select_main_images(images: DataFrame) -> DataFrame:
     """First approved, existing main image of each architecture."""
     ok = images.filter("is_main and approved and image_exists")
-    first = keep_first(ok, ["base_patent_id", "arch_index"], "Image_Path")
-    keep = [c for c in STYLE_FIELDS if c in images.columns]
-    return first.select("base_patent_id", "arch_index", F.col("Image_Path").alias("image_path"), *[F.col(c).alias("perspective" if c == "per" else c) for c in keep])
+    rank = F.struct("Image_Path", "Patent_ID")  # tells images apart, so the columns come from one row, and those nobody reads are not carried
+    keep = [F.min_by(c, rank).alias("perspective" if c == "per" else c) for c in STYLE_FIELDS if c in images.columns]
+    return ok.groupBy("base_patent_id", "arch_index").agg(F.min("Image_Path").alias("image_path"), *keep)
 
 
 def metadata_counts(canon: DataFrame) -> DataFrame:

@@ -46,3 +46,10 @@ def test_partners_take_one_pass(spark):
     df = spark.range(10).select(F.col("id").alias("i"), F.lit("c").alias("c"), (F.col("id") % 3).alias("s"))
     plan = pairs.sampled_partner(df, "i", "c", "s")._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()
+
+
+def test_image_flags_aggregate_by_hashing(spark, tied):
+    """A text among the aggregates makes Spark sort every image row before the shuffle."""
+    for name in ("image_table", "image_counts"):
+        plan = QUERIES[name](spark, str(tied))._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
