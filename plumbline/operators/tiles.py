@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from plumbline.operators.embeddings import KEYS
 from plumbline.session import cut, join_null_safe
 
-#: Rows of a block at most, bytes of its vectors at most, and rows of a product made at once.
-ROWS, BYTES, STRIPE = 4096, 8 << 20, 256
+#: Rows of a block where few blocks do, bytes of its vectors at most, and numbers of a product made at once.
+ROWS, BYTES, STRIPE = 4096, 32 << 20, 1 << 20
+#: Blocks that a table is cut into, about: each is sent to every other, so as long as BYTES allow it what is moved grows with the rows.
+GROUPS = 24
 BINS = 1 << 16
 #: Blocks whose results a task holds while their tiles pass; more are written before their end, and met again after.
 HELD = 8
@@ -28,9 +30,11 @@ HELD = 8
 RANGE = 500_000
 
 
-def blocks(m: DataFrame, id_col: str, vec: str = "vec", extra: str | None = None, rows: int = ROWS) -> DataFrame:
+def blocks(m: DataFrame, id_col: str, vec: str = "vec", extra: str | None = None, rows: int | None = None) -> DataFrame:
     """(layer, pooling, block, n_blocks, ids, extras, dim, data): rows in order of id, at most ``rows`` and BYTES a block.
 
+    Without ``rows`` a block has ROWS of them or a share of GROUPS, whichever is more.
+
     Rows without a vector or with an empty one are left out. ``extra`` is a column of integers that goes along, or
     None. Vectors of a matrix must have one length.
     """
@@ -38,6 +42,8 @@ def blocks(m: DataFrame, id_col: str, vec: str = "vec", extra: str | None = None
     own = (F.col(extra) if extra else F.lit(0)).cast("long").alias("extra")
     flat = m.filter(F.size(vec) > 0).select(*[F.col(k).alias(k) for k in KEYS], F.col(id_col).alias("id"), own, F.col(vec).cast(f"array<{wide}>").alias("v"))
     kind = flat.schema["id"].dataType.simpleString()
+    total = flat.count()
+    rows = rows or max(ROWS, -(-total // GROUPS))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size, seq = None, [], 0, 0
@@ -79,7 +85,7 @@ def blocks(m: DataFrame, id_col: str, vec: str = "vec", extra: str | None = None
             yield out()
 
     order = [*KEYS, "id"]
-    parts = max(1, -(-flat.count() // (4 * rows)))  # a part fills some blocks, and has one at most that is not full a matrix
+    parts = max(1, -(-total // (4 * rows)))  # a part fills some blocks, and has one at most that is not full a matrix
     packed = flat.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, f"layer int, pooling string, seq long, dim int, ids array<{kind}>, extras array<long>, data binary")
     packed = cut(packed.withColumn("part", F.spark_partition_id()).withColumn("single", F.lit(wide == "float")))
     # One row a block: its place among the blocks of its matrix, which is the order of ids.
@@ -123,8 +129,9 @@ def stripes(t: dict) -> Iterator[tuple[int, np.ndarray]]:
     """(first row of a, cosines of the next rows of a with all of b)."""
     a = _unit(t, "a")
     b = a if t["lo"] == t["hi"] else _unit(t, "b")
-    for i in range(0, len(a), STRIPE):
-        yield i, a[i : i + STRIPE] @ b.T
+    step = max(1, STRIPE // max(len(b), 1))
+    for i in range(0, len(a), step):
+        yield i, a[i : i + step] @ b.T
 
 
 def distances(t: dict) -> Iterator[tuple[int, np.ndarray]]:
@@ -132,8 +139,9 @@ def distances(t: dict) -> Iterator[tuple[int, np.ndarray]]:
     a = _rows(t, "a")
     b = a if t["lo"] == t["hi"] else _rows(t, "b")
     aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    for i in range(0, len(a), STRIPE):
-        d = np.sqrt(np.maximum(aa[i : i + STRIPE, None] + bb[None] - 2 * (a[i : i + STRIPE] @ b.T), 0))
+    step = max(1, STRIPE // max(len(b), 1))
+    for i in range(0, len(a), step):
+        d = np.sqrt(np.maximum(aa[i : i + step, None] + bb[None] - 2 * (a[i : i + step] @ b.T), 0))
         if t["lo"] == t["hi"]:
             d[np.arange(len(d)), np.arange(i, i + len(d))] = 0
         yield i, d
@@ -163,7 +171,7 @@ def _keyed(t: dict, n: int, /, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(first | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
 
 
-def all_pairs(m: DataFrame, id_col: str, vec: str = "vec", rows: int = ROWS) -> DataFrame:
+def all_pairs(m: DataFrame, id_col: str, vec: str = "vec", rows: int | None = None) -> DataFrame:
     """(layer, pooling, i, j, cos), i before j, of every pair; a stripe of a tile at a time."""
 
     def pairs(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +189,7 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return int(np.floor(at)), int(np.ceil(at)), at
 
 
-def cosine_summary(m: DataFrame, id_col: str, vec: str = "vec", probs: tuple[float, ...] = (0.05, 0.5, 0.95), rows: int = ROWS, most: int = RANGE) -> DataFrame:
+def cosine_summary(m: DataFrame, id_col: str, vec: str = "vec", probs: tuple[float, ...] = (0.05, 0.5, 0.95), rows: int | None = None, most: int = RANGE) -> DataFrame:
     """A15 over every pair: (layer, pooling, n_pairs, cos_mean, cos_std, cos_pXX ...), population deviation, exact interpolated percentiles.
 
     Tiles count the values of equal ranges; the ranges that hold a wanted rank are counted again in finer ones while
@@ -305,7 +313,7 @@ def _top(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return best, at
 
 
-def nearest(m: DataFrame, id_col: str, k: int, vec: str = "vec", apart: str | None = None, rows: int = ROWS) -> DataFrame:
+def nearest(m: DataFrame, id_col: str, k: int, vec: str = "vec", apart: str | None = None, rows: int | None = None) -> DataFrame:
     """(layer, pooling, id, rank, neighbour, cos): the k rows most like each row, ties at 12 decimals by id; a row with NaN has none.
 
     With ``apart``, a column of integers such as a fold, neighbours come from rows of another value only.
@@ -349,7 +357,7 @@ def nearest(m: DataFrame, id_col: str, k: int, vec: str = "vec", apart: str | No
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*KEYS, "id", "rank", "neighbour", "cos")
 
 
-def class_distances(m: DataFrame, id_col: str, label: str, vec: str = "vec", rows: int = ROWS) -> DataFrame:
+def class_distances(m: DataFrame, id_col: str, label: str, vec: str = "vec", rows: int | None = None) -> DataFrame:
     """(layer, pooling, id, label, total): the sum of each row's Euclidean distances to all rows of each class.
 
     ``label`` is a column of integers. A block's sums are added up over the tiles of its task, so what is shuffled is a

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import pairs
+from plumbline.operators import pairs, tiles
 from plumbline.queries import ORACLES, QUERIES
 
 
@@ -53,3 +53,11 @@ def test_image_flags_aggregate_by_hashing(spark, tied):
     for name in ("image_table", "image_counts"):
         plan = QUERIES[name](spark, str(tied))._jdf.queryExecution().executedPlan().toString()
         assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_blocks_of_a_large_table_stay_few(spark):
+    """Each block is sent to all others, so their number may not grow with the rows."""
+    m = spark.range(300_000).select(F.lit(0).alias("layer"), F.lit("cls").alias("pooling"), "id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    packed = tiles.blocks(m, "id")
+    n, rows = packed.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    assert rows == 300_000 and n <= 1.5 * tiles.GROUPS
