@@ -21,7 +21,7 @@ from plumbline.functions import vectors as V
 from plumbline.operators import resampling, tiles
 from plumbline.operators.ranks import running_total, spearman
 from plumbline.operators.structure import cosine_silhouette, pca_variance, random_baseline, separation_ratio, spread_seeds, stated_baseline
-from plumbline.session import cut
+from plumbline.session import cut, spread
 
 
 
@@ -373,13 +373,18 @@ def distance_against_random(df: DataFrame, vec: str, seed: int = 42, idx: str |
     """
 
     def mean_distance(rows: DataFrame, out: str) -> DataFrame:
-        u = rows.select(V.l2_zero_safe(F.col(vec)).alias("u"))
-        own = u.agg(F.sum(V.dot(F.col("u"), F.col("u"))).alias("q"), F.count("*").alias("n"))
-        whole = u.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.sum("x").alias("x")).agg(F.sum(F.col("x") * F.col("x")).alias("tt"))
-        return own.join(whole, F.lit(True)).select((1 - (F.col("tt") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias(out))
-
+        v, zero = V.as_double(F.col("v")), F.lit(0.0)
+        size = F.sqrt(F.aggregate(v, zero, lambda s, x: s + x * x))
+        u = rows.select(v.alias("v"), F.when(size == 0, 1.0).otherwise(size).alias("size"))  # a column, so that it is found once a row
+        cells = u.select(F.posexplode("v").alias("d", "x"), "size").select("d", (F.col("x") / F.col("size")).alias("x"))
+        whole = cells.groupBy("d").agg(F.sum("x").alias("x"), F.sum(F.col("x") * F.col("x")).alias("q"))
+        whole = whole.agg(F.sum(F.col("x") * F.col("x")).alias("tt"), F.sum("q").alias("q"))
+        return whole.join(rows.agg(F.count("*").alias("n")), F.lit(True)).select((1 - (F.col("tt") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias(out))
+
+    if idx:
+        df = spread(df.select(idx, vec), idx)
     chance = stated_baseline(df, idx, vec, seed) if idx else random_baseline(df, vec, seed)
-    return mean_distance(df, "real_mean").join(mean_distance(chance, "random_mean"), F.lit(True))
+    return mean_distance(df.select(F.col(vec).alias("v")), "real_mean").join(mean_distance(chance.select(F.col(vec).alias("v")), "random_mean"), F.lit(True))
 
 
 def first_component_gate(df: DataFrame, vec: str, seed: int = 42, least: float = 3.0) -> DataFrame:

@@ -146,7 +146,8 @@ def stated_baseline(df: DataFrame, idx: str, vec: str, seed: int = 42) -> DataFr
     mark = lambda p: F.md5(F.concat_ws(":", F.col(idx).cast("string"), p.cast("string"), F.lit(str(seed))))
     part = lambda h, at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     draw = lambda h: F.sqrt(-2 * F.log(part(h, 1))) * F.cos(2 * math.pi * part(h, 9))
-    return df.withColumn(vec, F.transform(F.sequence(F.lit(1), F.size(vec)), lambda p: draw(mark(p))))
+    marks = F.transform(F.sequence(F.lit(1), F.size(vec)), lambda p: mark(p))  # a list of its own, so that a digest is made once
+    return df.withColumn(vec, F.transform(marks, lambda h: draw(h)))
 
 
 def kmeans_best(df: DataFrame, vec: str, k: int, n_init: int = 20, seed: int = 42, rounds: int = 50, seed_rows: int = 2000) -> DataFrame:

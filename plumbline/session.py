@@ -38,6 +38,11 @@ def row_place(df: DataFrame) -> Column:
     return rank.cast("long") * (1 << 40) + F.col("_metadata.row_index")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """The rows dealt by a column over two tasks a core: a file's rows lie in as few tasks as it has row groups, often one."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only a local session without the setting gets one of its own."""
     sc = spark.sparkContext

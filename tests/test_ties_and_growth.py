@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import pairs, tiles
+from plumbline.operators import pairs, probes, tiles
 from plumbline.queries import ORACLES, QUERIES
 
 
@@ -61,3 +61,11 @@ def test_blocks_of_a_large_table_stay_few(spark):
     packed = tiles.blocks(m, "id")
     n, rows = packed.agg(F.count("*"), F.sum(F.size("ids"))).first()
     assert rows == 300_000 and n <= 1.5 * tiles.GROUPS
+
+
+def test_stated_numbers_are_made_in_many_tasks(spark):
+    """A file of one row group is one task, in which all digests were made."""
+    df = spark.range(50).coalesce(1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    got = probes.distance_against_random(df, "v", idx="id").select("random_mean")
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert 0.5 < got.first()[0] < 1.5
