@@ -23,6 +23,8 @@ from plumbline.operators.ranks import running_total, spearman
 from plumbline.operators.structure import cosine_silhouette, pca_variance, random_baseline, separation_ratio, spread_seeds, stated_baseline
 from plumbline.session import cut, spread
 
+#: Rows from which a table is dealt over all cores before it is read round by round.
+SPREAD_FROM = 10_000
 
 
 def binary_labels(df: DataFrame, category: str = "shrouded_open", out: str = "y") -> DataFrame:
@@ -258,6 +260,8 @@ def bootstrap_stability(df: DataFrame, idx: str, label: str, vec: str, k: int =
     """
     rows = cut(reduced(df, idx, label, vec, n_pca).select(F.xxhash64("i").alias("key"), "x"))
     n = rows.count()
+    if n > SPREAD_FROM:  # each task sends all sums, so few rows stay in few tasks
+        rows = cut(spread(rows, "key"))
     schema = "ari_mean double, ari_std double, n_boot long"
     if n < k:
         return df.sparkSession.createDataFrame([(None, None, 0)], schema)

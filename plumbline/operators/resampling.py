@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a task works on at once.
 CHUNK = 512
+#: Centres that a round moves by no more than this are at rest: sums of the same rows differ in their last bits alone.
+STILL = 1e-12
 #: Numbers of a sum that travel together.
 PART = 1 << 16
 _U = np.uint64
@@ -106,8 +108,10 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(places, squared distances) of the nearest of each set's centres, both (rows, sets)."""
     r, k, d = centres.shape
     flat = centres.reshape(r * k, d)
-    far = (x * x).sum(axis=1)[:, None] - 2 * x @ flat.T + (flat * flat).sum(axis=1)[None]
-    far = np.maximum(far.reshape(len(x), r, k), 0)
+    far = x @ (-2 * flat.T)
+    far += (x * x).sum(axis=1)[:, None]
+    far += (flat * flat).sum(axis=1)[None]
+    far = np.maximum(far, 0, out=far).reshape(len(x), r, k)
     return far.argmin(axis=2), far.min(axis=2)
 
 
@@ -118,24 +122,28 @@ def weighted_kmeans(rows: DataFrame, starts: np.ndarray, repeats: int, n_boot: i
     """
     r, k, d = starts.shape
     centres, cost = starts.copy(), np.full(r, np.inf)
+    moving = np.arange(r)  # a set whose centres a round leaves as they are would stay so: it is done
     for _ in range(rounds):
-        here = centres
+        here, which = centres[moving], moving
 
         def sums(b: pa.RecordBatch) -> np.ndarray:
-            x = _matrix(b, "x")
-            w = np.repeat(poisson_weights(b.column(0).to_numpy().view(np.uint64), n_boot, seed), repeats, axis=1) if n_boot else np.ones((len(x), r))
+            x, m = _matrix(b, "x"), len(which)  # noqa: B023
+            w = poisson_weights(b.column(0).to_numpy().view(np.uint64), n_boot, seed)[:, which // repeats] if n_boot else np.ones((len(x), m))  # noqa: B023
             at, far = _nearest(x, here)  # noqa: B023
-            out, size = np.zeros((r, k, d)), np.zeros((r, k))
+            out, size = np.zeros((m, k, d)), np.zeros((m, k))
             for j in range(k):
                 share = w * (at == j)
                 out[:, j], size[:, j] = share.T @ x, share.sum(axis=0)
             return np.concatenate([out.ravel(), size.ravel(), (w * far).sum(axis=0)])
 
-        got = summed(rows, ["key", "x"], sums, r * k * d + r * k + r)
-        total, size, cost = got[: r * k * d].reshape(r, k, d), got[r * k * d : r * k * (d + 1)].reshape(r, k), got[-r:]
-        centres = np.where(size[:, :, None] > 0, total / np.maximum(size, 1e-300)[:, :, None], here)
-        if np.allclose(centres, here, atol=1e-6):
+        m = len(moving)
+        got = summed(rows, ["key", "x"], sums, m * k * d + m * k + m)
+        total, size, cost[moving] = got[: m * k * d].reshape(m, k, d), got[m * k * d : m * k * (d + 1)].reshape(m, k), got[-m:]
+        new = np.where(size[:, :, None] > 0, total / np.maximum(size, 1e-300)[:, :, None], here)
+        centres[moving] = new
+        if np.allclose(new, here, atol=1e-6):
             break
+        moving = moving[np.abs(new - here).max(axis=(1, 2)) > STILL]
     return centres, cost
 
 

@@ -1,12 +1,13 @@
 """Results that ties or a table's size once changed, against SQL or plain counts."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import pairs, probes, tiles
+from plumbline.operators import pairs, probes, resampling, tiles
 from plumbline.queries import ORACLES, QUERIES
 
 
@@ -69,3 +70,17 @@ def test_stated_numbers_are_made_in_many_tasks(spark):
     got = probes.distance_against_random(df, "v", idx="id").select("random_mean")
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert 0.5 < got.first()[0] < 1.5
+
+
+def test_restarts_at_rest_are_not_summed_again(spark, monkeypatch):
+    """One restart begins at the clusters' means and is done at once; the other goes on, and both end as if alone."""
+    x = [[0.0], [0.1], [0.2], [5.0], [5.1], [5.2], [9.0], [9.1]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "key long, x array<double>")
+    rest, far = np.array([[0.1], [5.1], [9.05]]), np.array([[0.0], [0.1], [0.2]])
+    sizes, summed = [], resampling.summed
+    monkeypatch.setattr(resampling, "summed", lambda r, c, f, size: sizes.append(size) or summed(r, c, f, size))
+    both = resampling.weighted_kmeans(rows, np.stack([rest, far]), 1, 0, 1)
+    assert sizes[0] == 2 * sizes[-1] and len(sizes) > 2
+    for i, start in enumerate((rest, far)):
+        alone = resampling.weighted_kmeans(rows, start[None], 1, 0, 1)
+        assert np.allclose(both[0][i], alone[0][0]) and np.isclose(both[1][i], alone[1][0])
