@@ -18,16 +18,20 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _divided(v: Column, by: Column) -> Column:
+    """``v`` over one number, found once: an expression in the lambda itself would be evaluated for each element."""
+    return F.get(F.transform(F.array(by), lambda n: F.transform(as_double(v), lambda x: x / n)), F.lit(0))
+
+
 def l2_floor(v: Column, eps: float = 1e-12) -> Column:
     """V1: divide by max(norm, eps)."""
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(as_double(v), lambda x: x / n)
+    return _divided(v, F.greatest(norm(v), F.lit(eps)))
 
 
 def l2_zero_safe(v: Column) -> Column:
     """V2: a zero vector stays as it is."""
     n = norm(v)
-    return F.transform(as_double(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    return _divided(v, F.when(n == 0, 1.0).otherwise(n))
 
 
 def cosine(a: Column, b: Column) -> Column:

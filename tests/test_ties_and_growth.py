@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import vectors as V
 from plumbline.operators import pairs, probes, resampling, tiles
 from plumbline.queries import ORACLES, QUERIES
 
@@ -84,3 +85,11 @@ def test_restarts_at_rest_are_not_summed_again(spark, monkeypatch):
     for i, start in enumerate((rest, far)):
         alone = resampling.weighted_kmeans(rows, start[None], 1, 0, 1)
         assert np.allclose(both[0][i], alone[0][0]) and np.isclose(both[1][i], alone[1][0])
+
+
+def test_norm_is_found_once_a_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>")
+    for f in (V.l2_zero_safe, V.l2_floor):
+        got = df.select(f(F.col("v")).alias("u"))
+        assert [r.u for r in got.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+        assert "transform(array(" in got._jdf.queryExecution().optimizedPlan().toString()  # bound outside the elements' lambda
