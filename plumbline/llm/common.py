@@ -55,10 +55,10 @@ class Scratch:
         self.spark, self.path = spark, f"{base.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._leave)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and reads it again; an empty frame keeps its schema."""
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """Writes ``df`` and reads it again; an empty frame keeps its schema. ``options`` are the writer's."""
         to = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(to)
+        df.write.option("compression", "zstd").options(**options).mode("overwrite").parquet(to)
         return self.spark.read.schema(df.schema).parquet(to)
 
     def keep_with(self, df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:

@@ -15,7 +15,7 @@ from there at least length - v + 1 equal bytes. That bounds what must be sorted:
    buckets by name, and sorted one bucket at a time.
 
 Texts are first packed into blocks; tasks hash a block at a time, buckets hold names of the block's
-positions as packed arrays, and answers are bits in the shared folder, read back by the block that asked.
+positions as packed arrays, and answers are bits in the shared folder, of which the block that asked reads its own.
 Memory is bounded by a block and by a bucket, whose number grows with the input; a task holds one bucket.
 Strings are ordered by their names, not by their bytes: names keep 56 bits beside the bucket's, and equal names
 are taken for equal strings, so one of n unlike strings in a bucket is taken for a repeat with a chance of n / 2^56. A string that a third of
@@ -38,6 +38,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import shared
 from plumbline.llm.common import Scratch, arrow, dealt, docs_view
 
+#: Positions that are hashed at a time.
+SLICE = 1 << 16
+#: Row groups and pages of the blocks' table end after each block that fills them; by default Parquet looks only after
+#: 100 rows, so that a task held all its texts in one page.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
@@ -78,12 +83,22 @@ class Names:
         n = len(data)
         cls = type(self)
         if len(cls._power) <= n:
-            cls._power, cls._inverse = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+            cls._power, cls._inverse = (np.full(n + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+            for x in (cls._power, cls._inverse):
+                x[0] = 1
+                np.cumprod(x, out=x)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._codes[data] * self._power[:n], out=self.sums[1:])
+        for i in range(0, n, SLICE):
+            j = min(i + SLICE, n)
+            np.cumsum(self._codes[data[i:j]] * self._power[i:j], out=self.sums[i + 1 : j + 1])
+            self.sums[i + 1 : j + 1] += self.sums[i]
 
     def at(self, start: np.ndarray, length: int) -> np.ndarray:
-        return _mixed((self.sums[start + length] - self.sums[start]) * self._inverse[start])
+        out = np.empty(len(start), np.uint64)
+        for i in range(0, len(start), SLICE):
+            s = start[i : i + SLICE]
+            out[i : i + SLICE] = _mixed((self.sums[s + length] - self.sums[s]) * self._inverse[s])
+        return out
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -232,13 +247,15 @@ def _answers(base: str, step: str, g: int, names: np.ndarray, bits: int, files:
     got = []
     for k in np.unique(bucket):
         key = f"{step}-{k}"
-        if key not in files:
-            files[key] = (shared.get(base, f"{key}-g"), shared.get(base, f"{key}-at"), shared.get(base, key))
-        gs, at, packed = files[key]
+        if key not in files or files[key][0] != g >> 32:  # of each bucket the places of the blocks that one task packed
+            gs, at = (shared.get(base, f"{key}-{x}", mapped=False) for x in ("g", "at"))
+            lo, hi = np.searchsorted(gs, [g >> 32 << 32, (g >> 32) + 1 << 32])
+            files[key] = (g >> 32, gs[lo:hi].copy(), at[lo : hi + 1].copy())
+        _, gs, at = files[key]
         i = int(np.searchsorted(gs, g))
         a, z = int(at[i]), int(at[i + 1])
         lo, hi = a // 4, -(-z // 4)
-        two = np.unpackbits(packed[lo:hi], bitorder="little").reshape(-1, 2)[a - lo * 4 : z - lo * 4]
+        two = np.unpackbits(shared.part(base, key, lo, hi), bitorder="little").reshape(-1, 2)[a - lo * 4 : z - lo * 4]
         got.append(two[:, 0] | (two[:, 1] << 1))
     out = np.zeros(len(names), np.uint8)
     if got:
@@ -252,7 +269,7 @@ def deduplicate(docs: DataFrame, length: int = 200, v: int = 133, block_bytes: i
     d, need, reach = difference_cover(v), length - v + 1, v - 1
     scratch = Scratch(docs.sparkSession, "suffix")
     base = shared.folder(scratch, "answers")
-    packed = scratch.keep(blocks(docs, block_bytes), "blocks")
+    packed = scratch.keep(blocks(docs, block_bytes), "blocks", **SMALL_GROUPS)
     total = packed.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     bits = max(2, int(total * len(d) / v * 7 * 3 / bucket_bytes).bit_length())  # sorting takes about three times a bucket
     n = 1 << bits
@@ -270,14 +287,14 @@ def deduplicate(docs: DataFrame, length: int = 200, v: int = 133, block_bytes: i
 
     def near(block: Block, p: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Starts of the strings around the positions that go on, each once."""
-        edge = np.zeros(len(block.data) + 1, np.int64)
+        edge = np.zeros(len(block.data) + 1, np.int32)
         at = p[code >= 2]
         own = block.owner(at)
         lo, hi = np.maximum(at - reach, block.start[own]), np.minimum(at, block.stop[own] - length) + 1
         ok = lo < hi
         np.add.at(edge, lo[ok], 1)
         np.add.at(edge, hi[ok], -1)
-        return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        return np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
 
     def step(which: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,12 +333,12 @@ def deduplicate(docs: DataFrame, length: int = 200, v: int = 133, block_bytes: i
                 code = _answers(base, "tie", g, rank, bits, files)
                 s = near(block, p, code)
                 s = s[_answers(base, "suffix", g, names.at(s, length), bits, files) > 0]
-                edge = np.zeros(len(block.data) + 1, np.int64)
+                edge = np.zeros(len(block.data) + 1, np.int32)
                 solved = p[(code & 1 > 0) & whole]
                 for lo, hi in ((solved - reach, solved + length), (s, s + length)):
                     np.add.at(edge, lo, 1)
                     np.add.at(edge, hi, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
                 rows = []
                 for x, a, z in zip(ids, block.start, block.stop):
                     m = gone[a:z]
