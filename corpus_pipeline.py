@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word-shingle similarity 0.8 stays."""
+    """One document of each class of five-word-shingle similarity 0.8 stays: SimHash links, verified, and the pairs they miss."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 

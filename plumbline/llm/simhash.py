@@ -166,7 +166,7 @@ def _forest(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(fp)
     root = np.arange(n)
     for i in range(n):
-        near = np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= tau) + i + 1
+        near = np.flatnonzero(np.bitwise_count((fp[i + 1 :] ^ fp[i]).view(np.uint64)) <= tau) + i + 1
         if len(near):
             olds = np.unique(np.append(root[near], root[i]))
             if len(olds) > 1:
@@ -186,7 +186,7 @@ def _links_within(rows: DataFrame, tau: int) -> DataFrame:
         small = size <= 16
         for d in range(1, int(size[small].max(initial=1))):
             i = np.flatnonzero((group[:-d] == group[d:]) & small[group[:-d]])
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= tau]
+            i = i[np.bitwise_count((fp[i] ^ fp[i + d]).view(np.uint64)) <= tau]  # of a signed number it would count the absolute value's bits
             us.append(fp[i])
             vs.append(fp[i + d])
         for g in np.flatnonzero(~small):
@@ -259,10 +259,14 @@ def components(docs: DataFrame, shingle: int = 3, tau: int = 2) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Below: near-duplicates by similarity, for deduplication. A fingerprint of 64 bits tells 0.8 from 0.5
-# only at ten and more differing bits, where no partition of 64 bits is selective. So candidates are found
-# by bands of least hashes of the shingle sets, as many keys for a long text as for a short one, and pairs
-# are verified by shingles.
+# Below: near-duplicates by similarity, for deduplication. Fingerprints within TAU bits are linked first, by the
+# Hamming join above, and their pairs verified by shingles. A fingerprint of 64 bits tells 0.8 from 0.5
+# only at ten and more differing bits, where no partition of 64 bits is selective. So what is similar and
+# farther apart than TAU bits is completed from bands of least hashes of the shingle sets, as many keys for a
+# long text as for a short one, verified in the same way.
+
+#: Differing bits up to which fingerprints make candidates of the deduplication.
+TAU = 3
 
 SKETCH = 512
 #: Least hashes of a band, and bands. Two sets of similarity s share no band with probability
@@ -332,13 +336,28 @@ def _bucket_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("key", "chunk", "home", "guest", "doc_id", "root", "n", "sk").repartition("key", "chunk").sortWithinPartitions("key", "chunk").transform(arrow(run, "a long, b long"))
 
 
+def print_pairs(reps: DataFrame, scratch: Scratch, tau: int = TAU) -> DataFrame:
+    """(a, b) of ``reps(doc_id, fp)`` whose fingerprints differ in ``tau`` bits at most, enough to connect all such.
+
+    A fingerprint is stood for by its least doc_id; rows of one fingerprint are chained, large groups in chunks.
+    """
+    first = scratch.keep(reps.groupBy("fp").agg(F.min("doc_id").alias("d"), F.count("*").alias("c")), "first")
+    end = lambda c, d: first.select(F.col("fp").alias(c), F.col("d").alias(d))
+    across = hamming_links(first, tau, scratch, "print").join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    many = reps.select("doc_id", "fp").join(first.filter("c > 1"), "fp").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / BUCKET)))
+    before = F.lag("doc_id").over(Window.partitionBy("fp", "chunk").orderBy("doc_id"))
+    within = many.select(F.coalesce(before, "d").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
+    return across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id, n_links): classes that all pairs with Jaccard similarity of word shingles of at least ``similarity`` connect.
 
     Texts with the same words collapse first, so groups of copies cost one row. A similar pair shares a key of
-    ``band_keys`` but for a chance of 5e-8 at most (at ROWS and BANDS as they are, for 0.8). First each text
-    meets the next of its bucket, which connects most of a family. Then in each bucket all pairs of still different classes are compared, but for those that size or sketch rule
-    out; large buckets are dealt out in chunks. Only the exact similarity makes a link. n_links counts the links
+    ``band_keys`` but for a chance of 5e-8 at most (at ROWS and BANDS as they are, for 0.8). First texts whose
+    SimHash fingerprints differ in TAU bits at most are linked. Then texts of different classes that are next to each
+    other in a bucket meet, which connects most of a family. Then in each bucket all pairs of still different classes
+    are compared, but for those that size or sketch rule out; large buckets are dealt out in chunks. Only the exact similarity makes a link. n_links counts the links
     verified, not every similar pair. Null and empty texts form one class.
     """
     spark = docs.sparkSession
@@ -349,18 +368,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         for b in batches:
             rows = []
             for t in rows_of(b, "text"):
-                h = np.unique(shingle_hashes(t, shingle))
-                rows.append((xxhash.xxh128_digest(word_spans(t)[0]), len(h), band_keys(h), parity_sketch(h)))
+                all_h = shingle_hashes(t, shingle)
+                h = np.unique(all_h)
+                rows.append((xxhash.xxh128_digest(word_spans(t)[0]), len(h), band_keys(h), parity_sketch(h), fingerprint(all_h)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                names=["doc_id", "words", "n", "keys", "sk"],
+                 pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.int64())],
+                names=["doc_id", "words", "n", "keys", "sk", "fp"],
             )
 
-    prints = scratch.keep(view.transform(arrow(run, "doc_id long, words binary, n long, keys array<long>, sk array<long>")), "prints")
+    prints = scratch.keep(view.transform(arrow(run, "doc_id long, words binary, n long, keys array<long>, sk array<long>, fp long")), "prints")
     copies = scratch.keep(prints.groupBy("words").agg(F.min("doc_id").alias("rep")), "copies")
     reps = prints.join(copies.select("words", F.col("rep").alias("doc_id")), ["words", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = scratch.keep(reps.select("doc_id", "n", "sk", "keys"), "reps")
+    reps = scratch.keep(reps.select("doc_id", "n", "sk", "keys", "fp"), "reps")
     named = scratch.keep(prints.select("doc_id", "words"), "named")
     scratch.drop("prints")
 
@@ -385,16 +405,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         scratch.drop(f"{name}-sets")
         return out
 
+    apart = sum((F.bit_count(F.get("sk_a", F.lit(i)).bitwiseXOR(F.get("sk_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+
+    def close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Pairs of different roots that may be similar by size and sketch."""
+        side = lambda c: rows.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sk").alias(f"sk_{c}"), F.col("root").alias(f"root_{c}"))
+        may = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= far * (F.col("n_a") + F.col("n_b")) + 1e-6)
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("root_a") != F.col("root_b")).filter(may).select("a", "b")
+
+    by_print = scratch.keep(print_pairs(reps, scratch), "by-print")
+    links = verified(scratch.keep(close(by_print, slim.withColumn("root", F.col("doc_id"))), "close-print"), "print")
+    comp = connected_components(links, scratch, "cc-print").withColumnRenamed("node", "doc_id")
+    rooted = scratch.keep(slim.join(comp, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+
     beside = F.lead("doc_id").over(Window.partitionBy("key", "chunk").orderBy(F.xxhash64("key", "doc_id"), "doc_id"))
     chain = shared.select("doc_id", beside.alias("next")).filter("next is not null")
     chain = scratch.keep(chain.select(F.least("doc_id", "next").alias("a"), F.greatest("doc_id", "next").alias("b")).distinct(), "chain")
-    side = lambda c: slim.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sk").alias(f"sk_{c}"))
-    apart = sum((F.bit_count(F.get("sk_a", F.lit(i)).bitwiseXOR(F.get("sk_b", F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
-    close = chain.join(side("a"), "a").join(side("b"), "b").filter(
-        (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (apart <= far * (F.col("n_a") + F.col("n_b")) + 1e-6)
-    )
-    links = verified(scratch.keep(close.select("a", "b"), "close"), "first")
-    scratch.drop("chain")
+    links = links.unionByName(verified(scratch.keep(close(chain, rooted), "close"), "first"))
+    spent_prints = [f"print-{x}{i}" for x in ("sig", "big", "out") for i in range(8)]
+    for spent in ("first", "by-print", "close-print", "rooted", "chain", *spent_prints):
+        scratch.drop(spent)
     comp = connected_components(links, scratch, "cc-first").withColumnRenamed("node", "doc_id")
 
     # Buckets that hold more than one class: rows outside a bucket's largest class are guests of all its chunks.
@@ -422,6 +452,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One row of each near-duplicate class stays: the least doc_id, rows without one last. Columns are those of ``docs``.
 
+    Classes are those of ``near_duplicates``: verified SimHash links, completed by the pairs that fingerprints miss.
     Rows have a scratch key, so that rows without an id are compared like others and repeated rows leave one.
     The keys are broadcast while their counted number is bounded; beyond it the join shuffles.
     """
