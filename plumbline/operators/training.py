@@ -227,9 +227,10 @@ def train(
     for epoch in range(len(history) + 1, epochs + 1):
         batches, n = batches_of(pairs_of_epoch(epoch), batch_size, seed, epoch)
         losses, seen = 0.0, 0
-        with written(batches.repartitionByRange("batch").sortWithinPartitions("batch")) as ordered:  # a step reads the files that have its batches
+        batches = batches.withColumn("step", F.floor(F.col("batch") / batches_per_step).cast("int"))
+        with written(batches.repartitionByRange("step").sortWithinPartitions("step"), "step") as ordered:  # a step opens the files of its folder alone
             for first in range(0, n, batches_per_step):
-                loss, k, flat = gradients(ordered, params, names, temperature, first, min(first + batches_per_step, n))
+                loss, k, flat = gradients(ordered.filter(F.col("step") == first // batches_per_step), params, names, temperature, first, min(first + batches_per_step, n))
                 optimiser.step(params, _unpacked(flat / k, params, names))
                 losses, seen = losses + loss, seen + k
         history.append({"epoch": epoch, "n_batches": seen, "avg_loss": losses / seen if seen else float("nan")})

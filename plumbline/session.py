@@ -60,12 +60,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def written(df: DataFrame) -> Iterator[DataFrame]:
-    """The rows as Parquet in the shared folder while the block lasts: filters on the order they were written in skip files."""
+def written(df: DataFrame, *folders: str) -> Iterator[DataFrame]:
+    """The rows as Parquet in the shared folder while the block lasts: filters on the order they were written in skip files.
+
+    With ``folders`` each value of those columns has a folder, so that a filter on them opens no other file at all.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
