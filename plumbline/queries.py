@@ -13,7 +13,7 @@ from plumbline.operators import embeddings as E
 from plumbline.operators import labels as L
 from plumbline.operators import catalog, lineage, pairs, probes, structure, tiles, training
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.session import row_place, table
+from plumbline.session import placed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -644,7 +644,7 @@ def image_rows(spark, d) -> DataFrame:
 
     Line items may share order, part and number; of these the first in the file is the first row.
     """
-    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    li, n = placed(table(spark, d, "lineitem"), "place"), F.col("l_linenumber")
     fields = {
         "isMain": F.when(n % 3 == 0, "Main").when(n % 3 == 1, F.when(F.col("l_partkey") % 2 == 0, "TRUE").otherwise(" true")).otherwise("no"),
         "status": F.when(F.col("l_returnflag") == "N", "Approved").when(F.col("l_returnflag") == "A", " approved").otherwise(F.lit(None).cast("string")),
@@ -652,7 +652,7 @@ def image_rows(spark, d) -> DataFrame:
     }
     pid = F.concat(F.lit("US"), "l_orderkey", F.when(n % 2 == 0, "_arch2").otherwise(""))
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("Field"), v.alias("Value")) for k, v in fields.items()])).alias("c")
-    return li.select(pid.alias("Patent_ID"), F.lit("T2").alias("Section"), F.concat(F.lit("img/"), "l_partkey").alias("Image_Path"), (n.cast("long") * (1 << 56) + row_place(li)).alias("row_ord"), cells).select("*", "c.*").drop("c")
+    return li.select(pid.alias("Patent_ID"), F.lit("T2").alias("Section"), F.concat(F.lit("img/"), "l_partkey").alias("Image_Path"), (n.cast("long") * (1 << 56) + F.col("place")).alias("row_ord"), cells).select("*", "c.*").drop("c")
 
 
 _T2 = (

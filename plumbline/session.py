@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,11 +32,16 @@ def table(spark: SparkSession, base: str, name: str):
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
-def row_place(df: DataFrame) -> Column:
-    """The row's place in the files of a table that was read and not yet changed: the files in order of name, then the row in its file."""
-    files = sorted(df.inputFiles())
-    rank = F.lit(0) if len(files) < 2 else F.create_map(*[F.lit(x) for pair in zip(files, range(len(files))) for x in pair])[F.col("_metadata.file_path")]
-    return rank.cast("long") * (1 << 40) + F.col("_metadata.row_index")
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """A table that was read and not yet changed, with each row's place in its files: the files in order of name, then the row in its file."""
+    # Spark lists a local file as file:///x and names it file:/x beside its rows.
+    files = sorted(re.sub(r"^([\w+.-]+:)//(?=/)", r"\1", f) for f in df.inputFiles())
+    own = df.select("*", F.col("_metadata.row_index").alias(name), F.col("_metadata.file_path").alias("_file"))
+    if len(files) < 2:
+        return own.drop("_file")
+    ranks = F.broadcast(df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _rank long"))
+    rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("not among the files that were listed: "), "_file")).cast("long"))
+    return own.join(ranks, "_file", "left").withColumn(name, rank * (1 << 40) + F.col(name)).drop("_file", "_rank")
 
 
 def spread(df: DataFrame, by: str) -> DataFrame:
