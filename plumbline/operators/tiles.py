@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.embeddings import KEYS
-from plumbline.session import cut, join_null_safe
+from plumbline.session import cut, join_null_safe, written
 
 #: Rows of a block where few blocks do, bytes of its vectors at most, and numbers of a product made at once.
 ROWS, BYTES, STRIPE = 4096, 32 << 20, 1 << 20
 #: Blocks that a table is cut into, about: each is sent to every other, so as long as BYTES allow it what is moved grows with the rows.
 GROUPS = 24
-BINS = 1 << 16
+BINS = 1 << 14
+#: Rows of both sides of a part of a tile whose product stays in a core's cache, and rows that propose where percentiles lie.
+SIDE, PILOT = 256, 2048
 #: Blocks whose results a task holds while their tiles pass; more are written before their end, and met again after.
 HELD = 8
 #: Values of one counted range that are sorted; ranges with more are counted again in finer ones.
@@ -189,104 +191,212 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return int(np.floor(at)), int(np.ceil(at)), at
 
 
+def parts(t: dict) -> Iterator[np.ndarray]:
+    """The cosines of a tile's pairs, each pair once, flat and a part at a time; the next part is written over it."""
+    a = _unit(t, "a")
+    same = t["lo"] == t["hi"]
+    b = a if same else _unit(t, "b")
+    room = np.empty(SIDE * SIDE)
+    for i in range(0, len(a), SIDE):
+        left = a[i : i + SIDE]
+        for j in range(i if same else 0, len(b), SIDE):
+            right = b[j : j + SIDE]
+            c = np.matmul(left, right.T, out=room[: len(left) * len(right)].reshape(len(left), len(right)))
+            x = c[np.triu_indices(len(c), 1)] if same and i == j else c.reshape(-1)
+            if len(x):
+                yield x
+
+
+#: All cosines lie between these, whatever the rounding.
+LEAST, MOST = -1.0 - 1e-9, 1.0 + 1e-9
+#: Ranges this narrow are not cut again: their finer ones would be narrower than what tells numbers near 1 apart.
+FINEST = 1e-11
+
+
+def proposed(packed: DataFrame, probs: tuple[float, ...]) -> dict[tuple, list[tuple[float, float]]]:
+    """For each matrix a range a percentile in which it likely lies, by the pairs of about PILOT rows; counts of all pairs decide."""
+
+    def some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                v = _rows({"data_a": r["data"], "single": r["single"], "dim": r["dim"]}, "a")
+                k = min(len(v), -(-PILOT // r["n_blocks"]))
+                v = v[np.arange(k) * len(v) // k]
+                yield _keyed(r, 1, dim=pa.array([r["dim"]], pa.int32()), data=pa.array([v.tobytes()], pa.binary()))
+
+    def propose(rows_: pa.Table) -> pa.Table:
+        t = {"layer": rows_["layer"][0].as_py(), "pooling": rows_["pooling"][0].as_py()}
+        u = _unit({"data_a": b"".join(rows_["data"].to_pylist()), "single": False, "dim": rows_["dim"][0].as_py()}, "a")
+        n, out = len(u), []
+        c = u @ u.T
+        x = np.sort(c[np.triu_indices(n, 1)])
+        for p in probs:
+            lo, hi = LEAST, MOST
+            if n >= 64 and np.isfinite(x).all():
+                # The pairs of a row vary together, so the error of a rank is that of a mean over rows.
+                slack = 12 * (c < x[int(p * (len(x) - 1))]).mean(axis=1).std() / np.sqrt(n) + 4 / n
+                at = [int(np.floor((p + s * slack) * (len(x) - 1))) for s in (-1, 1)]
+                lo = x[at[0]] - 1e-9 if at[0] > 0 else LEAST
+                hi = x[at[1]] + 1e-9 if at[1] < len(x) - 1 else MOST
+            out.append((lo, hi))
+        return pa.Table.from_batches([_keyed(t, len(out), k=pa.array(range(len(out)), pa.int32()), lo=[float(r[0]) for r in out], hi=[float(r[1]) for r in out])])
+
+    few = packed.select(*KEYS, "n_blocks", "single", "dim", "data").mapInArrow(some_rows, "layer int, pooling string, dim int, data binary")
+    got = few.groupBy(*KEYS).applyInArrow(propose, "layer int, pooling string, k int, lo double, hi double")
+    out: dict = {}
+    for r in sorted(got.collect(), key=lambda r: r.k):  # a row a matrix and percentile
+        out.setdefault((r.layer, r.pooling), []).append((r.lo, r.hi))
+    return out
+
+
 def cosine_summary(m: DataFrame, id_col: str, vec: str = "vec", probs: tuple[float, ...] = (0.05, 0.5, 0.95), rows: int | None = None, most: int = RANGE) -> DataFrame:
     """A15 over every pair: (layer, pooling, n_pairs, cos_mean, cos_std, cos_pXX ...), population deviation, exact interpolated percentiles.
 
-    Tiles count the values of equal ranges; the ranges that hold a wanted rank are counted again in finer ones while
-    they have more than ``most`` values, then only their values are written and sorted. Matrices of under two rows
-    have no row; a vector with NaN or infinities makes its matrix's results NaN.
+    The pairs of some rows propose a range for each percentile. A pass over all pairs finds the moments, counts what lies
+    below each range and counts the range itself in finer ones; the fine range that holds a wanted rank, or what is left
+    beside a range that missed it, is counted again while it has more than ``most`` values. A last pass writes and sorts
+    only the values of those. Matrices of under two rows have no row; a vector with NaN or infinities makes its matrix's
+    results NaN.
     """
     spark = m.sparkSession
-    tiled = tiles(blocks(m, id_col, vec, rows=rows))
-
-    def moments(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        for t in some:
-            n, mean, m2 = 0, 0.0, 0.0
-            for _, c, use in upper(t):
-                x = c[use]
-                if len(x):
-                    d, k = x.mean() - mean, len(x)
-                    m2 += ((x - x.mean()) ** 2).sum() + d * d * n * k / (n + k)
-                    mean, n = mean + d * k / (n + k), n + k
-            yield _keyed(t, 1, n=[n], mean=[float(mean)], m2=[float(m2)])
-
-    each = cut(on_tiles(tiled, moments, "layer int, pooling string, n long, mean double, m2 double").filter("n > 0"))
-    whole = each.groupBy(*KEYS).agg(F.sum("n").alias("n_pairs"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("cos_mean"))
-    spread = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("cos_mean"), F.lit(2)))
-    stats = join_null_safe(each, whole, KEYS).groupBy(*KEYS, "n_pairs", "cos_mean").agg(spread.alias("m2")).collect()  # one row a matrix
-
-    # Ranges by matrix: (low, high, values below), the highest range closed. Two ranks a percentile, both in it or beside it.
-    state = {}
-    for r in stats:
-        for p in probs if np.isfinite(r.cos_mean) else ():
-            for rank in _ranks(r.n_pairs, p)[:2]:
-                state[r.layer, r.pooling, rank] = (-1.0 - 1e-9, 1.0 + 1e-9, 0, r.n_pairs)
-
-    def ranges_of(some: dict) -> dict:
-        by: dict = {}
-        for (layer, pooling, _), (lo, hi, _, _) in some.items():
-            by.setdefault((layer, pooling), set()).add((lo, hi))
-        return {k: sorted(v) for k, v in by.items()}
+    packed = blocks(m, id_col, vec, rows=rows)
+    tiled = tiles(packed).drop("ids_a", "ids_b", "extras_a", "extras_b")
 
     def edges(lo: float, hi: float) -> np.ndarray:
         return np.append(lo + np.arange(BINS) * ((hi - lo) / BINS), hi)
 
-    def split(open_ranges: dict) -> dict:
+    def counts_of(ranges: dict, moments: bool) -> DataFrame:
+        """(k, bin, n) of the ranges by their place, bin -1 for what lies below; without k the count, mean and squares of a tile."""
+
         def counts(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple, np.ndarray] = {}
+            held: dict[tuple, list] = {}  # matrix and range: counts, values not yet counted
+
+            def settle(total: np.ndarray, wait: list, lo: float, hi: float) -> None:
+                if wait:
+                    x, edge = np.concatenate(wait), edges(lo, hi)
+                    b = np.minimum((x - lo) / (hi - lo) * BINS, BINS - 1).astype(np.int64)
+                    b += x >= edge[b + 1]  # the edges decide, not the rounding of the division
+                    b -= x < edge[b]
+                    total[1:] += np.bincount(b, minlength=BINS)
+                    wait.clear()
 
             def out() -> Iterator[pa.RecordBatch]:
-                for (layer, pooling, lo), total in held.items():
+                for (layer, pooling, k), (total, wait, lo, hi) in held.items():
+                    settle(total, wait, lo, hi)
                     at = np.flatnonzero(total)
-                    yield _keyed({"layer": layer, "pooling": pooling}, len(at), lo=np.full(len(at), lo), bin=at, n=total[at])
+                    none = pa.nulls(len(at), pa.float64())
+                    yield _keyed({"layer": layer, "pooling": pooling}, len(at), k=pa.array([k] * len(at), pa.int32()), bin=at - 1, n=total[at], mean=none, m2=none)
                 held.clear()
 
             for t in some:
-                for lo, hi in open_ranges.get((t["layer"], t["pooling"]), ()):
-                    total, edge = held.setdefault((t["layer"], t["pooling"], lo), np.zeros(BINS, np.int64)), edges(lo, hi)
-                    for _, c, use in upper(t):
-                        x = c[use & (c >= lo) & (c < hi)]
-                        b = np.minimum((x - lo) / (hi - lo) * BINS, BINS - 1).astype(np.int64)
-                        b += x >= edge[b + 1]  # the edges decide, not the rounding of the division
-                        b -= x < edge[b]
-                        total += np.bincount(b, minlength=BINS)
+                own = [held.setdefault((t["layer"], t["pooling"], k), [np.zeros(BINS + 1, np.int64), [], lo, hi]) for k, (lo, hi) in enumerate(ranges.get((t["layer"], t["pooling"]), ()))]
+                n, mean, m2, waiting = 0, 0.0, 0.0, 0
+                for x in parts(t):
+                    if moments:
+                        new, k = x.mean(), len(x)
+                        off = x - new
+                        d, m2 = new - mean, m2 + np.dot(off, off)
+                        m2 += d * d * n * k / (n + k)
+                        mean, n = mean + d * k / (n + k), n + k
+                    for total, wait, lo, hi in own:
+                        below = x < lo
+                        total[0] += np.count_nonzero(below)
+                        at = np.flatnonzero((x < hi) ^ below)
+                        if len(at):
+                            wait.append(x[at])
+                            waiting += len(at)
+                    if waiting > STRIPE:
+                        for h in own:
+                            settle(*h)
+                        waiting = 0
+                for h in own:
+                    settle(*h)
+                if moments and n:
+                    yield _keyed(t, 1, k=pa.nulls(1, pa.int32()), bin=pa.nulls(1, pa.int64()), n=[n], mean=[float(mean)], m2=[float(m2)])
                 if len(held) > 64:
                     yield from out()
             yield from out()
 
-        rows_ = on_tiles(tiled, counts, "layer int, pooling string, lo double, bin long, n long").groupBy(*KEYS, "lo", "bin").agg(F.sum("n").alias("n")).collect()  # BINS a range
+        return on_tiles(tiled, counts, "layer int, pooling string, k int, bin long, n long, mean double, m2 double")
+
+    def by_range(counted: DataFrame) -> dict:
         out: dict = {}
-        for r in rows_:
-            out.setdefault((r.layer, r.pooling, r.lo), []).append((r.bin, r.n))
+        for r in counted.filter("k is not null").groupBy(*KEYS, "k", "bin").agg(F.sum("n").alias("n")).collect():  # BINS a range
+            out.setdefault((r.layer, r.pooling, r.k), []).append((r.bin, r.n))
         return {k: sorted(v) for k, v in out.items()}
 
+    def narrowed(rank: int, lo: float, hi: float, fine: list, n_pairs: int) -> tuple:
+        """The range of a rank after a count: (low, high, values below, values), the highest range of all closed."""
+        upto = 0
+        for b, n in fine:
+            if rank < upto + n:
+                e = edges(lo, hi)
+                return (LEAST, lo, 0, n) if b < 0 else (float(e[b]), float(e[b + 1]), upto, n)
+            upto += n
+        return hi, MOST, upto, n_pairs - upto
+
+    first = proposed(packed, probs)
+    with written(counts_of(first, True)) as counted:
+        each = counted.filter("k is null").select(*KEYS, "n", "mean", "m2")
+        whole = each.groupBy(*KEYS).agg(F.sum("n").alias("n_pairs"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("cos_mean"))
+        spread = F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("cos_mean"), F.lit(2)))
+        stats = join_null_safe(each, whole, KEYS).groupBy(*KEYS, "n_pairs", "cos_mean").agg(spread.alias("m2")).collect()  # one row a matrix
+        fine = by_range(counted)
+
+    # Ranges by matrix and rank; two ranks a percentile, both in it or beside it.
+    state = {}
+    for r in stats:
+        for k, p in enumerate(probs if np.isfinite(r.cos_mean) else ()):
+            for rank in _ranks(r.n_pairs, p)[:2]:
+                state[r.layer, r.pooling, rank] = narrowed(rank, *first[r.layer, r.pooling][k], fine.get((r.layer, r.pooling, k), []), r.n_pairs)
+    n_pairs = {(r.layer, r.pooling): r.n_pairs for r in stats}
+
+    def ranges_of(some: dict) -> dict:
+        by: dict = {}
+        for (layer, pooling, _), (lo, hi, _, _) in some.items():
+            by.setdefault((layer, pooling), set()).add((lo, hi))
+        return {k: sorted(v) for k, v in by.items()}
+
     while True:
-        wide = {k: v for k, v in state.items() if v[3] > most and v[1] - v[0] > 1e-13}
+        wide = {k: v for k, v in state.items() if v[3] > most and v[1] - v[0] > FINEST}
         if not wide:
             break
-        fine = split(ranges_of(wide))
-        for (layer, pooling, rank), (lo, hi, below, _) in wide.items():
-            for b, n in fine[layer, pooling, lo]:
-                if rank < below + n:
-                    break
-                below += n
-            e = edges(lo, hi)
-            state[layer, pooling, rank] = (float(e[b]), float(e[b + 1]), below, n)
+        ranges = ranges_of(wide)
+        fine = by_range(counts_of(ranges, False))
+        for (layer, pooling, rank), (lo, hi, _, _) in wide.items():
+            k = ranges[layer, pooling].index((lo, hi))
+            state[layer, pooling, rank] = narrowed(rank, lo, hi, fine[layer, pooling, k], n_pairs[layer, pooling])
 
     ranges = ranges_of(state)
 
     def values(some: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for t in some:
-            for lo, hi in ranges.get((t["layer"], t["pooling"]), ()):
-                for _, c, use in upper(t):
-                    x, n = np.unique(c[use & (c >= lo) & (c < hi)], return_counts=True)
-                    if len(x):
-                        yield _keyed(t, len(x), lo=np.full(len(x), lo), x=x, n=n)
-
-    seen = on_tiles(tiled, values, "layer int, pooling string, lo double, x double, n long").groupBy(*KEYS, "lo", "x").agg(F.sum("n").alias("n"))
-    seen = seen.withColumn("upto", F.sum("n").over(Window.partitionBy(*KEYS, "lo").orderBy("x")))
-    asked = spark.createDataFrame([(layer, pooling, rank, lo, rank - below) for (layer, pooling, rank), (lo, _, below, _) in state.items()], "layer int, pooling string, rank long, lo double, k long")
-    hit = join_null_safe(seen, F.broadcast(asked), [*KEYS, "lo"], where=(F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))  # a few rows a matrix
+            own = [(k, lo, hi, []) for k, (lo, hi) in enumerate(ranges.get((t["layer"], t["pooling"]), ()))]
+
+            def out(t: dict = t, own: list = own) -> Iterator[pa.RecordBatch]:
+                for k, _, _, wait in own:
+                    if wait:
+                        x, n = np.unique(np.concatenate(wait), return_counts=True)
+                        yield _keyed(t, len(x), k=pa.array([k] * len(x), pa.int32()), x=x, n=n)
+                        wait.clear()
+
+            waiting = 0
+            for c in parts(t) if own else ():
+                for _, lo, hi, wait in own:
+                    at = np.flatnonzero((c >= lo) & (c < hi))
+                    if len(at):
+                        wait.append(c[at])
+                        waiting += len(at)
+                if waiting > STRIPE:
+                    yield from out()
+                    waiting = 0
+            yield from out()
+
+    seen = on_tiles(tiled, values, "layer int, pooling string, k int, x double, n long").groupBy(*KEYS, "k", "x").agg(F.sum("n").alias("n"))
+    seen = seen.withColumn("upto", F.sum("n").over(Window.partitionBy(*KEYS, "k").orderBy("x")))
+    asked = [(layer, pooling, rank, ranges[layer, pooling].index((lo, hi)), rank - below) for (layer, pooling, rank), (lo, hi, below, _) in state.items()]
+    asked = spark.createDataFrame(asked, "layer int, pooling string, rank long, k int, place long")
+    hit = join_null_safe(seen, F.broadcast(asked), [*KEYS, "k"], where=(F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place")))  # a few rows a matrix
     found = {(r.layer, r.pooling, r.rank): r.x for r in hit.select(*KEYS, "rank", "x").collect()} if state else {}
     out = []
     for r in stats:

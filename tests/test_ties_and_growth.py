@@ -120,3 +120,34 @@ def test_norm_is_found_once_a_vector(spark):
         got = df.select(f(F.col("v")).alias("u"))
         assert [r.u for r in got.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
         assert "transform(array(" in got._jdf.queryExecution().optimizedPlan().toString()  # bound outside the elements' lambda
+
+
+def summary_like_numpy(spark, v, **how):
+    m = spark.createDataFrame([(0, "cls", i, x) for i, x in enumerate(v.tolist())], "layer int, pooling string, id long, vec array<double>")
+    got = tiles.cosine_summary(m, "id", **how).first()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = (u @ u.T)[np.triu_indices(len(u), 1)]
+    assert got.n_pairs == len(c)
+    assert np.allclose([got.cos_mean, got.cos_std, got.cos_p05, got.cos_p50, got.cos_p95], [c.mean(), c.std(), *np.percentile(c, [5, 50, 95])], rtol=0, atol=1e-12)
+
+
+def test_summary_compares_all_pairs_twice(spark, monkeypatch):
+    """Moments, counts, finer counts and values each made every product anew; few rows now say where to count finely at once."""
+    calls, on_tiles = [], tiles.on_tiles
+    monkeypatch.setattr(tiles, "on_tiles", lambda *a: calls.append(a) or on_tiles(*a))
+    summary_like_numpy(spark, np.random.default_rng(1).normal(size=(3000, 6)), rows=700, most=150)
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("range_", [(-0.9, -0.89), (0.9, 0.91), (0.0, 1e-12)])
+def test_summary_where_proposed_ranges_miss(spark, monkeypatch, range_):
+    """What the rows propose never decides: ranks beside their ranges are counted in the rest."""
+    monkeypatch.setattr(tiles, "proposed", lambda packed, probs: {(0, "cls"): [range_] * len(probs)})
+    summary_like_numpy(spark, np.random.default_rng(2).normal(size=(300, 6)), rows=70, most=20)
+
+
+def test_summary_of_copies(spark):
+    """Most pairs are equal but for rounding, more than are sorted from one range."""
+    v = np.random.default_rng(3).normal(size=(400, 6))
+    v[:380] = v[0]
+    summary_like_numpy(spark, v, rows=90, most=20)
